@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from ..config import ENCRYPTED_PORTS, TRUSTED_PORTS
 from .columns import filled, is_true, short_digest, text
@@ -73,7 +73,7 @@ def is_ipv4(col: Column | str) -> Column:
     return is_true(text(col).rlike(IPV4_PATTERN))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _canonical_ipv6(texts: pd.Series) -> pd.Series:
     def one(value):
         try:
@@ -81,7 +81,7 @@ def _canonical_ipv6(texts: pd.Series) -> pd.Series:
         except ValueError:
             return None
     seen = {v: one(v) for v in texts.dropna().unique()}
-    return texts.map(seen)
+    return pd.Series([seen.get(v) for v in texts], index=texts.index, dtype=object)
 
 
 def normalise_ip(col: Column | str) -> Column:

@@ -80,7 +80,7 @@ def consensus(rows: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = N
     mal = (~lab.is_benign("det_prediction")).cast("int")
 
     def shared(df: DataFrame, window) -> DataFrame:
-        recent = window.rowsBetween(-(n - 1), windoWindow.currentRow)
+        recent = window.rowsBetween(-(n - 1), Window.currentRow)
         counted = F.sum("_mal").over(recent) / F.count("_mal").over(recent)
         return df.withColumn("vote_share", F.when(F.col("_votes"), counted))
 
