@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import Config, DEFAULT, EPS
 from ..functions import network as net
-from .history import drop_history, needs_slices, slice_window, with_history
+from .history import drop_history, needs_slices, prepend, slice_window, with_history
 
 SESSION = ["sensor_id", "session_id"]
 
@@ -38,12 +38,14 @@ def next_id(logs: DataFrame) -> DataFrame:
     return logs.agg(F.coalesce(F.max("id"), F.lit(0).cast("long")).alias("max_id"))
 
 
-def session_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None) -> DataFrame:
+def session_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None,
+                     before: DataFrame | None = None) -> DataFrame:
     """Add ``time_diff`` (s), ``packet_rate`` (1/s) and ``avg_length`` over the
     last packets of the session. All in constant work per row: rolling sums are
-    differences of running sums."""
+    differences of running sums. ``before`` holds the tails of earlier batches."""
     n = cfg.rolling_window
     rows = with_history(packets, SESSION, "seq", n, slice_rows, keep=["ts_us", "length"])
+    rows = prepend(rows, before, SESSION)
     w = slice_window(SESSION, "seq")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({

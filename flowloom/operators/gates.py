@@ -8,8 +8,9 @@ from ..config import Config, DEFAULT
 from ..functions import labels as lab, network as net
 from ..functions.columns import filled, is_true
 from .features import SESSION
-from .history import drop_history, slice_window, with_history
+from .history import drop_history, prepend, slice_window, tails, with_history
 
+VOTER = [*SESSION, "flow_id"]
 DETECTION = ("det_prediction", "det_confidence", "det_binary_label", "det_attack_label")
 
 
@@ -68,25 +69,38 @@ def casts_vote(cfg: Config = DEFAULT) -> Column:
     return F.col("gate").isNull() & ~_scored_ambiguous() & ~_scored_weak(cfg)
 
 
-def consensus(rows: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None) -> DataFrame:
+def _is_malicious_vote() -> Column:
+    return (~lab.is_benign("det_prediction")).cast("int")
+
+
+def vote_tails(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """The last votes of each flow id in these scored rows, to carry on."""
+    votes = rows.filter(casts_vote(cfg)).withColumn("_mal", _is_malicious_vote())
+    return tails(votes, VOTER, "seq", ["_mal"], cfg.vote_window)
+
+
+def consensus(rows: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None,
+              before: DataFrame | None = None) -> DataFrame:
     """Add ``vote_share``: the malicious share of the last votes of the flow id.
 
     Rows that cast no vote sit in a window group of their own and get null. The
     flow step has hashed the rows by flow id, so whole-key mode sorts in place.
+    ``before`` holds the tails of votes from earlier batches.
     """
     rows = rows.withColumn("_votes", casts_vote(cfg))
-    keys = [*SESSION, "flow_id"]
+    keys = VOTER
     n = cfg.vote_window
-    mal = (~lab.is_benign("det_prediction")).cast("int")
 
     def shared(df: DataFrame, window) -> DataFrame:
         recent = window.rowsBetween(-(n - 1), Window.currentRow)
         counted = F.sum("_mal").over(recent) / F.count("_mal").over(recent)
         return df.withColumn("vote_share", F.when(F.col("_votes"), counted))
 
-    rows = rows.withColumn("_mal", mal)
+    rows = rows.withColumn("_mal", _is_malicious_vote())
     if slice_rows is None:
         whole = with_history(rows, [*keys, "_votes"], "seq", n, None)
+        earlier = None if before is None else before.withColumn("_votes", F.lit(True))
+        whole = prepend(whole, earlier, [*keys, "_votes"])
         return drop_history(shared(whole, slice_window([*keys, "_votes"], "seq")), "_votes", "_mal")
     voting = with_history(rows.filter("_votes"), [*keys, "_votes"], "seq", n, slice_rows, keep=["_mal"])
     voting = drop_history(shared(voting, slice_window([*keys, "_votes"], "seq")))

@@ -99,6 +99,31 @@ def with_history(
     return rows.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
 
 
+def prepend(rows: DataFrame, before: DataFrame | None, keys: list[str]) -> DataFrame:
+    """Put earlier rows of each key before the whole-key rows of ``with_history``.
+    ``before`` has the keys and an array ``tail`` of the columns to carry."""
+    if before is None:
+        return rows
+    earlier = before.select(*keys, F.inline("tail")).withColumns(
+        {SLICE: F.lit(0).cast("long"), CARRIED: F.lit(True)})
+    return rows.unionByName(earlier, allowMissingColumns=True)
+
+
+def tails(rows: DataFrame, keys: list[str], order: str, columns: list[str], n: int) -> DataFrame:
+    """The last ``n`` rows of each key as an array ``tail``, by map-side top-n."""
+    newest = Window.partitionBy(*keys).orderBy(F.desc(order))
+    last = rows.select(*keys, order, *columns).withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") <= n)
+    return last.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(order, *columns))).alias("tail"))
+
+
+def join_tails(before: DataFrame, now: DataFrame, keys: list[str], n: int) -> DataFrame:
+    """Tails after a batch, for the keys in it."""
+    old = before.select(*keys, F.col("tail").alias("_old"))
+    both = F.concat(F.coalesce("_old", F.slice("tail", 1, 0)), F.col("tail"))
+    start = F.greatest(F.size(both) - (n - 1), F.lit(1))
+    return now.join(old, keys, "left").select(*keys, F.slice(both, start, F.lit(n)).alias("tail"))
+
+
 def slice_window(keys: list[str], order: str) -> WindowSpec:
     return Window.partitionBy(*keys, SLICE).orderBy(order)
 

@@ -157,7 +157,7 @@ def _within(spans: Column | str, seq: Column) -> Column:
 def _ladder_schema(scope: list[str], rows: DataFrame) -> T.StructType:
     kept = [rows.schema[c] for c in scope]
     text = ("ip string, spans " + SPANS + ", steps " + STEPS + ", open_warnings int, blocked boolean, commanded boolean")
-    return T.StructType([T.StructField(f.name, f.dataType) for f in kept] + list(T._parse_datatype_string(text).fields))
+    return T.StructType([T.StructField(f.name, f.dataType) for f in kept] + T.StructType.fromDDL(text).fields)
 
 
 def _commanded_state(scope: list[str], limit: int):

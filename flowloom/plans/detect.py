@@ -18,6 +18,22 @@ class Detection:
     replay: response.Replay | None
 
 
+def usable_scorer(columns, scorer):
+    """The scorer, or None if the rows lack a feature it needs."""
+    return scorer if scorer is not None and scorer.accepts(columns) else None
+
+
+def scored_rows(rows: DataFrame, cfg: Config = DEFAULT, score_columns=None, scorer=None) -> DataFrame:
+    """Feature rows with ``gate`` and detector columns. A scorer sees only the
+    rows that are due."""
+    rows = rows.withColumn("gate", gates.gate(cfg))
+    if scorer is None:
+        return rows.withColumns(score_columns)
+    rows = write_table(rows, "features")  # read by both parts below
+    due = scorer(rows.filter(F.col("gate").isNull()))
+    return due.unionByName(rows.filter(F.col("gate").isNotNull()), allowMissingColumns=True)
+
+
 def decide_packets(packets: DataFrame, cfg: Config = DEFAULT, score_columns=None, scorer=None,
                    skew: str = "auto") -> DataFrame:
     """Features, gates, scores, votes and severity of every packet.
@@ -29,18 +45,10 @@ def decide_packets(packets: DataFrame, cfg: Config = DEFAULT, score_columns=None
     """
     size = slice_size(packets, cfg, skew)
     rows = rate_features(flow_features(session_features(packets, cfg, size), cfg, size))
-    if scorer is not None and not scorer.accepts([*rows.columns]):
-        scorer = None
+    scorer = usable_scorer(rows.columns, scorer)
     if score_columns is None and scorer is None:
         return verdict.classify(gates.metadata_rules(rows, cfg), cfg)
-
-    rows = rows.withColumn("gate", gates.gate(cfg))
-    if scorer is not None:
-        rows = write_table(rows, "features")  # read by both parts below
-        due = scorer(rows.filter(F.col("gate").isNull()))
-        rows = due.unionByName(rows.filter(F.col("gate").isNotNull()), allowMissingColumns=True)
-    else:
-        rows = rows.withColumns(score_columns)
+    rows = scored_rows(rows, cfg, score_columns, scorer)
     if size is not None:
         rows = write_table(rows, "scored")  # the sliced vote window reads it more than once
     rows = gates.decide(gates.consensus(rows, cfg, size), cfg)

@@ -16,8 +16,12 @@ from flowloom.operators import (
     verdict,
 )
 from flowloom.plans.detect import decide_packets, detect
-from flowloom.runtime import write_table
+from flowloom.runtime import new_table_path, write_table
+from flowloom.schemas import PACKETS
 from flowloom.sources.captures import capture_filter
+from flowloom.sources.logstore import current_logs
+from flowloom.streaming.flow_state import read_packet_stream
+from flowloom.streaming.live import LiveDetection, start_detection
 
 from . import oracle as o, views
 
@@ -63,7 +67,8 @@ def decisions(spark, sf, cfg=DEFAULT, skew="auto"):
 
 def preview_logs(spark, sf, time_us="ts_us"):
     rows = response.preview_action(decisions(spark, sf), static_blocklist(spark))
-    return verdict.build_logs(rows, time_us)
+    # stored, as reports run on a log table and not on the chain that fills it
+    return write_table(verdict.build_logs(rows, time_us), "logs")
 
 
 def replayed(spark, sf):
@@ -840,3 +845,30 @@ def top_classes(spark, sf):
     rows = views.flows_raw(spark, sf).select("rid").distinct().withColumn("prob", prob)
     top = training.top_classes(rows, ("a", "b", "c", "d")).select("rid", F.posexplode("top").alias("place", "t"))
     return top.select("rid", (F.col("place") + 1).alias("place"), "t.label", "t.probability")
+
+
+# --- streaming --------------------------------------------------------------
+
+def streamed_logs_table(spark, sf, files: int = 3):
+    """The packets put in ``files`` files by arrival, replayed as a stream."""
+    bounds = views.packets(spark, sf).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
+    step = (bounds["hi"] - bounds["lo"]) // files + 1
+    source = new_table_path(spark, "stream")
+    for i in range(files):
+        lo = bounds["lo"] + i * step
+        part = views.packets(spark, sf).filter((F.col("seq") >= lo) & (F.col("seq") < lo + step))
+        part.select(*PACKETS.names).coalesce(1).write.mode("append").parquet(source)
+    base = new_table_path(spark, "live")
+    sensors = views.packets(spark, sf).select("sensor_id").distinct()
+    listed = sensors.withColumn("ip", F.explode(F.array(*[F.lit(ip) for ip in o.STATIC_BLOCKED])))
+    live = LiveDetection(spark, f"{base}/logs", f"{base}/state", score_columns=stub_scores(), blocked=listed)
+    run = start_detection(read_packet_stream(spark, source, 1), live, f"{base}/checkpoint", available_now=True)
+    run.awaitTermination(600)
+    if run.exception():
+        raise run.exception()
+    return current_logs(spark, f"{base}/logs")
+
+
+@query("streamed_logs", o.chain(*o.REPLAY_LOGS, select=_LOG_SQL))
+def streamed_logs(spark, sf):
+    return with_micros(streamed_logs_table(spark, sf))
