@@ -12,6 +12,7 @@ from ..functions.labels import attack_group
 from ..runtime import write_table
 
 HASH_BITS = 62
+BUCKET_BITS = 16
 
 
 def numeric_columns(df: DataFrame) -> list[str]:
@@ -104,31 +105,28 @@ def _row_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).bitwiseAND((1 << HASH_BITS) - 1)
 
 
-def draw(df: DataFrame, label: str, quota: Column, seed: int, group_rows: int = 200_000) -> DataFrame:
+def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET_BITS) -> DataFrame:
     """Add ``drawn``: true on exactly ``quota`` rows of each class, those with
     the smallest row hashes. ``quota`` is an expression over ``count``. The
     input is read several times, so it should be a stored table.
 
     Ranking a class as a whole would put it in one task. Instead rows are
     counted per class and hash bucket, the bucket in which the quota runs out
-    is found on those counts, and only its rows are ranked. There are about
-    ``group_rows`` distinct rows to a bucket, whatever the size of the class.
+    is found on those counts, and only its rows, one in 2^bits, are ranked.
     """
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
-    counts = write_table(counts, "classes")
-    biggest = counts.agg(F.max("count")).first()[0] or 0
-    bits = max(0, (max(1, biggest // group_rows) - 1).bit_length())
     hashed = df.withColumn("_hash", _row_hash(df, seed))
     hashed = hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits))
 
     per_bucket = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(label).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    run = per_bucket.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    quotas = counts.select(F.col(label).alias("_class"), quota.cast("long").alias("_quota"))
-    edge = run.join(quotas, F.col(label).eqNullSafe(F.col("_class")))
+    of_class = Window.partitionBy(label)
+    before = of_class.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    edge = per_bucket.withColumns({
+        "_before": F.coalesce(F.sum("_n").over(before), F.lit(0)), "count": F.sum("_n").over(of_class)})
+    edge = edge.withColumn("_quota", quota.cast("long"))
     edge = edge.filter((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
-    edge = write_table(edge.select(
-        "_class", F.col("_bucket").alias("_edge"), (F.col("_quota") - F.col("_before")).alias("_left")), "edges")
+    edge = write_table(edge.select(  # one row per class
+        F.col(label).alias("_class"), F.col("_bucket").alias("_edge"),
+        (F.col("_quota") - F.col("_before")).alias("_left")), "edges")
 
     rows = hashed.join(edge, F.col(label).eqNullSafe(F.col("_class")), "left")
     at_edge = is_true(F.col("_bucket") == F.col("_edge"))

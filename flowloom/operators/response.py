@@ -256,19 +256,23 @@ def replay_response(
     while True:
         rounds += 1
         after = write_table(_advance(pairs, state, commands, blocked, warnings, keys, schema, cfg), "blocks")
-        same = ["ip", "spans", "steps"]
-        diff = (
-            after.select(*keys, *same, F.lit(1).alias("sign"))
-            .union(state.select(*keys, *same, F.lit(-1).alias("sign")))
-            .groupBy(*keys, *same).agg(F.sum("sign").alias("sign")).filter(F.col("sign") != 0)
-        )
+        done = _flipped(pairs, state, after, keys).isEmpty()
         state = after
-        if diff.isEmpty():
+        if done:
             break
 
     return Replay(_act(rows, state, blocked, keys, order, cfg), state, rejects, rounds)
 
 
+def _flipped(pairs: DataFrame, state: DataFrame, after: DataFrame, keys: list[str]) -> DataFrame:
+    """Triggers that are valid under one state and not under the other. With
+    none, another round would see the same triggers and lead to the same state."""
+    for name, table in (("old", state), ("new", after)):
+        at_dst = table.select(*keys, F.col("ip").alias("dst"), F.col("spans").alias(f"spans_{name}"))
+        pairs = pairs.join(at_dst, [*keys, "dst"], "left")
+    return pairs.filter(_within("spans_old", F.col("seq")) != _within("spans_new", F.col("seq")))
+
+
 def _mark(pairs: DataFrame, blocked: DataFrame, keys: list[str], side: str, flag: str) -> DataFrame:
     on = [c for c in keys if c in blocked.columns]
     marks = blocked.select(*on, F.col("ip").alias(side)).distinct().withColumn(flag, F.lit(True))

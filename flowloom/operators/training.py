@@ -157,10 +157,10 @@ class FlowModel:
 def _boosted(settings: TreeSettings, label: str, weight: str | None, tag: str, n_features: int) -> GBTClassifier:
     per_split = "all" if settings.column_share >= 1 else str(max(1, round(settings.column_share * n_features)))
     gbt = GBTClassifier(
-        featuresCol="_vector", labelCol=label, predictionCol=f"_pred_{tag}", rawPredictionCol=f"_raw_{tag}",
-        probabilityCol=f"_prob_{tag}", maxIter=settings.rounds, maxDepth=settings.depth, stepSize=settings.rate,
-        subsamplingRate=settings.subsample, featureSubsetStrategy=per_split, maxBins=settings.bins,
-        seed=settings.seed)
+        featuresCol="_vector", labelCol=label, predictionCol=f"_pred_{tag}", maxIter=settings.rounds,
+        maxDepth=settings.depth, stepSize=settings.rate, subsamplingRate=settings.subsample,
+        featureSubsetStrategy=per_split, maxBins=settings.bins, seed=settings.seed)
+    gbt = gbt.setRawPredictionCol(f"_raw_{tag}").setProbabilityCol(f"_prob_{tag}")
     return gbt.setWeightCol(weight) if weight else gbt
 
 
