@@ -110,7 +110,7 @@ class Config:
     recon_limit: int = 3
     # Largest window group one task should sort. Sessions above it are cut into
     # slices of this many sequence numbers, with exact carry-over between them.
-    slice_rows: int = 4_000_000
+    slice_rows: int = 2_000_000
 
 
 DEFAULT = Config()

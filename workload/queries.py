@@ -18,12 +18,14 @@ from flowloom.operators import (
 from flowloom.plans.detect import decide_packets, detect
 from flowloom.runtime import new_table_path, write_table
 from flowloom.schemas import PACKETS
-from flowloom.sources.captures import capture_filter
-from flowloom.sources.logstore import current_logs
+from flowloom.sources.captures import capture_filter, read_captures
+from flowloom.sources.flows import read_flows, write_unified
+from flowloom.sources.logstore import append_logs, current_logs, export_logs, load_logs
+from flowloom.sources.models import ModelBundle, load_models, save_models
 from flowloom.streaming.flow_state import read_packet_stream
-from flowloom.streaming.live import LiveDetection, start_detection
+from flowloom.streaming.live import LiveDetection, live_summary, notify_once, read_log_stream, start_detection
 
-from . import oracle as o, views
+from . import files, oracle as o, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -872,3 +874,162 @@ def streamed_logs_table(spark, sf, files: int = 3):
 @query("streamed_logs", o.chain(*o.REPLAY_LOGS, select=_LOG_SQL))
 def streamed_logs(spark, sf):
     return with_micros(streamed_logs_table(spark, sf))
+
+
+@query("streamed_summary", o.chain(*o.REPLAY_LOGS, select=f"""
+SELECT time_us // 5000000 * 5000000 AS window_us, count(*) AS packets, count(*) FILTER ({o.THREAT}) AS alerts,
+ count(*) FILTER (encrypted_likely) AS encrypted, count(*) FILTER (action = 'blocked') AS blocked FROM logs GROUP BY 1"""))
+def streamed_summary(spark, sf):
+    """Window counts kept by a streaming query over the stored log table."""
+    stored = new_table_path(spark, "summary-logs")
+    append_logs(replayed(spark, sf).logs, stored, 1)
+    out, check = new_table_path(spark, "summary"), new_table_path(spark, "summary-check")
+
+    def keep(batch, batch_id):
+        batch.write.mode("overwrite").parquet(f"{out}/b={batch_id}")
+
+    run = (live_summary(read_log_stream(spark, stored), "5 seconds").writeStream.outputMode("update")
+           .foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start())
+    run.awaitTermination(300)
+    last = spark.read.parquet(out).groupBy(F.unix_micros("window.start").alias("window_us")).agg(
+        F.max_by(F.struct("packets", "alerts", "encrypted", "blocked"), "b").alias("v"))
+    return last.select("window_us", "v.*")
+
+
+@query("streamed_first_alerts", o.chain(*o.REPLAY_LOGS, select=f"""
+SELECT DISTINCT lower(coalesce(source_ip, 'unknown')) || '|' || lower(label) AS alert_key
+FROM (SELECT *, {o.SHOWN_LABEL} AS label FROM logs) WHERE label <> '-'"""))
+def streamed_first_alerts(spark, sf):
+    stored = new_table_path(spark, "alert-logs")
+    append_logs(replayed(spark, sf).logs, stored, 1)
+    out, check = new_table_path(spark, "alerts"), new_table_path(spark, "alerts-check")
+    run = (notify_once(read_log_stream(spark, stored)).writeStream.format("parquet").option("path", out)
+           .option("checkpointLocation", check).trigger(availableNow=True).start())
+    run.awaitTermination(300)
+    return spark.read.parquet(out).select("alert_key")
+
+
+# --- sources and sinks ------------------------------------------------------
+
+@query("captured_packets", o.chain(*o.BASE, select="""
+SELECT sensor_id || '-' || seq // 2000 AS file, row_number() OVER (PARTITION BY sensor_id, seq // 2000 ORDER BY seq) - 1 AS n,
+ ts_us, CASE WHEN ip THEN source_ip END AS source_ip, CASE WHEN ip THEN destination_ip END AS destination_ip,
+ CASE WHEN ip THEN source_port END AS source_port, CASE WHEN ip THEN destination_port END AS destination_port,
+ CASE WHEN ip THEN protocol ELSE 'ARP' END AS protocol, CASE WHEN ip THEN protocol_number ELSE 0 END AS protocol_number,
+ CASE WHEN ip THEN ttl ELSE 0 END AS ttl, CASE WHEN ip AND protocol = 'TCP' THEN syn_flag ELSE 0 END AS syn_flag,
+ CASE WHEN ip AND protocol = 'TCP' THEN psh_flag ELSE 0 END AS psh_flag, CASE WHEN ip THEN length + 34 ELSE 42 END AS length
+FROM (SELECT *, source_ip IS NOT NULL AND protocol_number <> 0 AS ip FROM packets)"""))
+def captured_packets(spark, sf):
+    """The packets written to capture files and read back."""
+    rows = read_captures(spark, files.write_captures(views.packets(spark, sf)), chunk_packets=500)
+    name = F.regexp_extract("session_id", r"([^/]+)\.pcap$", 1)
+    return rows.select(name.alias("file"), F.col("seq").alias("n"), "ts_us", "source_ip", "destination_ip", "source_port",
+                       "destination_port", "protocol", "protocol_number", "ttl", "syn_flag", "psh_flag", "length")
+
+
+@query("capped_captures", o.chain(*o.BASE, select="""
+SELECT sensor_id || '-' || seq // 2000 AS file, least(count(*), 100) AS packets FROM packets GROUP BY 1"""))
+def capped_captures(spark, sf):
+    rows = read_captures(spark, files.write_captures(views.packets(spark, sf)), packet_limit=100)
+    return rows.groupBy(F.regexp_extract("session_id", r"([^/]+)\.pcap$", 1).alias("file")).agg(
+        F.count(F.lit(1)).alias("packets"))
+
+
+@query("csv_flows", o.chain(*o.UNIFIED, select="FROM unified"))
+def csv_flows(spark, sf):
+    """All datasets written as CSV and read back by name."""
+    flows = views.flows_raw(spark, sf)
+    given = (("cic", raw_cic(flows), ds.map_cic), ("netflow", raw_netflow(flows, 1), ds.map_netflow),
+             ("netflow", raw_netflow(flows, 2), ds.map_netflow), ("iot", raw_iot(flows), ds.map_iot))
+    mapped = []
+    for kind, raw, mapping in given:
+        # CSV strips padding inside values unless told not to; the label column keeps its own
+        path = files.write_csv(raw.withColumn("label", F.concat(F.lit("="), "label")), kind, kind == "cic")
+        rows = read_flows(spark, kind, f"{path}/*.csv").withColumn("label", F.expr("substring(label, 2)"))
+        mapped.append(mapping(rows))
+    return ds.unify(*mapped)
+
+
+@query("stored_unified", o.chain(*o.UNIFIED, select="""
+SELECT binary_label, attack_type, count(*) AS n, CAST(sum(total_bytes) AS BIGINT) AS bytes FROM unified GROUP BY ALL"""))
+def stored_unified(spark, sf):
+    path = new_table_path(spark, "unified")
+    write_unified(unified(spark, sf), path)
+    return spark.read.parquet(path).groupBy("binary_label", "attack_type").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_bytes").cast("long").alias("bytes"))
+
+
+@query("upserted_logs", o.chain(*o.LOGS, select="""
+SELECT id, CASE WHEN id % 10 = 0 THEN 'review' ELSE action END AS action, severity, flow_id, length FROM logs"""))
+def upserted_logs(spark, sf):
+    """Every log stored, then a tenth of them stored again with another action."""
+    logs, path = preview_logs(spark, sf), new_table_path(spark, "upserted")
+    append_logs(logs, path, 1)
+    append_logs(logs.filter(F.col("id") % 10 == 0).withColumn("action", F.lit("review")), path, 2)
+    return current_logs(spark, path).select("id", "action", "severity", "flow_id", "length")
+
+
+@query("migrated_logs", o.chain(*o.LOGS, select="""
+SELECT id, CASE WHEN id % 2 = 0 THEN 'LEGACY' ELSE flow_id END AS flow_id, CASE WHEN id % 2 = 0 THEN 'info' ELSE severity END AS severity,
+ CASE WHEN id % 2 = 0 THEN 'Metadata baseline' ELSE signature END AS signature,
+ CASE WHEN id % 2 = 0 THEN 'META-0000' ELSE rule_id END AS rule_id, CASE WHEN id % 2 = 1 THEN response_note END AS response_note FROM logs"""))
+def migrated_logs(spark, sf):
+    """Half of the logs stored before the later columns existed."""
+    logs, path = preview_logs(spark, sf), new_table_path(spark, "migrated")
+    even = F.col("id") % 2 == 0
+    logs.filter(even).drop("flow_id", "severity", "signature", "rule_id", "response_note").write.parquet(f"{path}/old")
+    logs.filter(~even).write.parquet(f"{path}/new")
+    return load_logs(spark, f"{path}/old", f"{path}/new").select(
+        "id", "flow_id", "severity", "signature", "rule_id", "response_note")
+
+
+@query("exported_logs", o.chain(*o.LOGS, select="""
+SELECT CAST(id AS VARCHAR) AS id, source_ip, severity, action, reason FROM logs ORDER BY logs.id DESC LIMIT 5000"""))
+def exported_logs(spark, sf):
+    path = new_table_path(spark, "export")
+    export_logs(preview_logs(spark, sf), path)
+    return spark.read.csv(path, header=True).select("id", "source_ip", "severity", "action", "reason")
+
+
+# --- models -----------------------------------------------------------------
+
+QUICK = training.TreeSettings(rounds=2, depth=3, rate=0.3, subsample=1.0, column_share=1.0, bins=16)
+
+
+def featured(spark, sf):
+    rows = prep.derive_features(prep.clean(unified(spark, sf)))
+    return write_table(prep.select_features(prep.group_attacks(rows), "binary_label", "attack_type"), "featured")
+
+
+@query("trained_two_stage")
+def trained_two_stage(spark, sf):
+    """Both models trained on the whole table, saved, loaded, and run on every
+    due packet; with few and shallow trees, to keep the check short."""
+    rows = featured(spark, sf)
+    binary = training.train_binary(rows, settings=QUICK)
+    attack = training.train_attack(rows.filter("binary_label = 'MALICIOUS'"), settings=QUICK)
+    path = new_table_path(spark, "models")
+    save_models(spark, ModelBundle(binary, attack), path)
+    scorer = scoring.ModelScorer(load_models(spark, path))
+    done = decide_packets(views.packets(spark, sf), scorer=scorer)
+    return done.groupBy("prediction", "reason", "severity").agg(F.count(F.lit(1)).alias("packets"))
+
+
+@query("evaluated_binary")
+def evaluated_binary(spark, sf):
+    """Train on four fifths, report on the rest."""
+    train, test = prep.stratified_split(featured(spark, sf), "binary_label")
+    model = training.train_binary(train, settings=QUICK)
+    scored = model.predict(test).withColumn("predicted_label", scoring.decode_label("predicted", model.classes))
+    return training.classification_report(training.confusion(scored, "binary_label", "predicted_label"))
+
+
+@query("calibrated_multiclass")
+def calibrated_multiclass(spark, sf):
+    """Multiclass trees with balanced weights and isotonic curves: mean top
+    probability per class predicted."""
+    rows = featured(spark, sf).drop("attack_type")
+    model = training.calibrate(rows, "binary_label", lambda part: training.train_multiclass(part, "binary_label", QUICK), 2)
+    scored = training.top_classes(model.probabilities(rows), model.classes).select(F.col("top")[0].alias("best"))
+    return scored.groupBy("best.label").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("best.probability").alias("mean_probability"))
