@@ -55,7 +55,7 @@ def read_flows(spark: SparkSession, kind: str, path: str, max_files: int | None
 def write_unified(df: DataFrame, path: str, fmt: str = "parquet", mode: str = "error") -> None:
     """Store the unified table, as Parquet or as CSV with a header."""
     if fmt == "csv":
-        df.write.mode(mode).csv(path, header=True)
+        df.write.mode(mode).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     elif fmt == "parquet":
         df.write.mode(mode).parquet(path)
     else:

@@ -66,7 +66,7 @@ def load_logs(spark: SparkSession, *paths: str, defaults: str = "storage") -> Da
 def export_logs(logs: DataFrame, path: str, limit: int | None = 5000, mode: str = "error") -> None:
     """The latest rows as CSV with a header, ascending; all rows if no limit."""
     rows = logs if limit is None else newest(logs, max(1, limit))
-    rows.write.mode(mode).csv(path, header=True)
+    rows.write.mode(mode).csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def clear_logs(spark: SparkSession, path: str) -> None:

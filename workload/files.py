@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import struct
+from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -34,7 +35,7 @@ def write_captures(packets: DataFrame) -> str:
     """One capture file per sensor and stretch of ``PER_FILE`` numbers."""
     folder = new_table_path(packets.sparkSession, "captures")
 
-    def write(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def write(key: tuple[Any, ...], pdf: pd.DataFrame) -> pd.DataFrame:
         from pyarrow import fs
         where, name = fs.FileSystem.from_uri(folder if "://" in folder else f"file://{folder}")
         where.create_dir(name, recursive=True)
@@ -55,5 +56,5 @@ def write_csv(df: DataFrame, name: str, padded: bool = False) -> str:
     """CSV with a header, its names padded as public files have them."""
     path = new_table_path(df.sparkSession, name)
     named = df.toDF(*[f" {c.title()}" for c in df.columns]) if padded else df
-    named.write.csv(path, header=True)
+    named.write.csv(path, header=True, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
     return path

@@ -943,10 +943,8 @@ def csv_flows(spark, sf):
              ("netflow", raw_netflow(flows, 2), ds.map_netflow), ("iot", raw_iot(flows), ds.map_iot))
     mapped = []
     for kind, raw, mapping in given:
-        # CSV strips padding inside values unless told not to; the label column keeps its own
-        path = files.write_csv(raw.withColumn("label", F.concat(F.lit("="), "label")), kind, kind == "cic")
-        rows = read_flows(spark, kind, f"{path}/*.csv").withColumn("label", F.expr("substring(label, 2)"))
-        mapped.append(mapping(rows))
+        path = files.write_csv(raw, kind, kind == "cic")
+        mapped.append(mapping(read_flows(spark, kind, f"{path}/*.csv")))
     return ds.unify(*mapped)
 
 
