@@ -4,9 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+_STEP_TABLES: ContextVar[list[str] | None] = ContextVar("step_tables", default=None)
+
 
 def build_session(name: str = "flowloom", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the library expects (UTC, AQE, no UI)."""
@@ -54,5 +59,26 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_table_path(spark, name)
+    made = _STEP_TABLES.get()
+    if made is not None:
+        made.append(path)
     df.write.mode("error").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def step_tables() -> Iterator[None]:
+    """Tables written by ``write_table`` in this block are deleted at its end.
+    For steps that store all they produce, such as a micro-batch, so that a
+    long-running stream does not fill the shared folder."""
+    made: list[str] = []
+    token = _STEP_TABLES.set(made)
+    try:
+        yield
+    finally:
+        _STEP_TABLES.reset(token)
+        from pyarrow import fs
+        for path in made:
+            uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
+            where, name = fs.FileSystem.from_uri(uri)
+            where.delete_dir(name)

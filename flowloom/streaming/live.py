@@ -12,7 +12,7 @@ from ..operators import dashboard as dash, gates, response, verdict
 from ..operators.features import SESSION, rate_features, session_features
 from ..operators.history import join_tails, tails
 from ..plans.detect import scored_rows, usable_scorer
-from ..runtime import write_table
+from ..runtime import step_tables, write_table
 from ..sources.logstore import STORED, append_logs
 from .carry import CarryTable
 from .flow_state import flow_state
@@ -84,6 +84,10 @@ class LiveDetection:
         return replay
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        with step_tables():
+            self.process(batch, batch_id)
+
+    def process(self, batch: DataFrame, batch_id: int) -> None:
         cfg = self.cfg
         rows = write_table(batch, "batch")  # the stateful step runs once
         rows, late = self.session_carry(rows, batch_id)
@@ -97,6 +101,7 @@ class LiveDetection:
             decided = gates.decide(self.vote_carry(scored, batch_id), cfg)
         decided = write_table(verdict.classify(decided, cfg), "decided")
         replay = self.response_batch(decided, batch_id)
+        replay.rejects.write.mode("overwrite").parquet(f"{self.state}/bad-sources/b={batch_id}")
         append_logs(verdict.build_logs(replay.rows), self.logs, ingested=batch_id)
 
 
