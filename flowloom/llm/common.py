@@ -81,3 +81,40 @@ def bounded_sample(df: DataFrame, by: str, of: str, rows: int, seed: int) -> Dat
     for r in counts:
         keep = F.when(F.col(by).eqNullSafe(F.lit(r[0])), part < min(2.0, 2.0 * rows / r[1]) - 1.0 + 1e-12).otherwise(keep)
     return df.filter(keep)
+
+
+def spread_keys(spark: SparkSession, n: int) -> list[int]:
+    """``n`` whole numbers that a hash partitioning over ``n`` partitions puts
+    into different partitions, so that blocks and shards are one to a task."""
+    found: dict[int, int] = {}
+    size = 16 * n
+    while len(found) < n:
+        ids = spark.range(size).select(F.col("id").cast("int").alias("v"), F.pmod(F.hash(F.col("id").cast("int")), F.lit(n)).alias("p"))
+        for r in ids.groupBy("p").agg(F.min("v").alias("v")).collect():  # n small rows
+            found[r["p"]] = r["v"]
+        size *= 4
+    return [found[i] for i in range(n)]
+
+
+def as_key(column: Column, keys: list[int]) -> Column:
+    """The key with the number in ``column``."""
+    return F.element_at(F.array(*[F.lit(k) for k in keys]), column.cast("int") + 1)
+
+
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as the top 48 bits of each, by difference; the first
+    byte tells the width. About four bytes a key in dense ranges."""
+    gaps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
+    wide = len(gaps) > 1 and gaps[1:].max() >= 1 << 32
+    first = np.array(gaps[:1], np.uint64).tobytes()
+    rest = gaps[1:] if wide else gaps[1:].astype(np.uint32)
+    return (b"\x08" if wide else b"\x04") + first + (zstandard.compress(rest.tobytes(), 1) if len(first) else b"")
+
+
+def unpack_sorted(data: bytes) -> np.ndarray:
+    """The keys of ``pack_sorted``: 48 bits each."""
+    first = np.frombuffer(data[1:9], np.uint64)
+    if not len(first):
+        return first
+    rest = np.frombuffer(zstandard.decompress(data[9:]), np.uint64 if data[0] == 8 else np.uint32).astype(np.uint64)
+    return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
