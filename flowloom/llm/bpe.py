@@ -8,12 +8,15 @@ from the left, and only the lists of the pairs to both sides change.
 Text is cut as the vocabulary file says: special tokens first, then runs
 without white space, which are normalised (NFC, lower case), cut by the
 pattern and mapped to byte symbols, with an end mark on each word's last one.
+Runs with letters from U+0530 on, where libraries differ in their Unicode
+version, are normalised and cut by the vocabulary library's own rules.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
@@ -23,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, functions as F
+from tokenizers import Tokenizer
 
 from flowloom.llm.common import slim
 
@@ -49,6 +53,7 @@ class Vocabulary:
     pairs: list[tuple[int, int]]  # by rank
     special: dict[str, int]
     pattern: str
+    rules: str                    # the file without its vocabulary
 
     @classmethod
     def load(cls, path: str) -> Vocabulary:
@@ -69,7 +74,7 @@ class Vocabulary:
         merges = {pair: (rank, ids[a + b]) for rank, (pair, (a, b)) in enumerate(zip(known, pairs))}
         symbols = byte_symbols()
         return cls(tokens, [ids[s] for s in symbols], [ids[s + end] for s in symbols], merges, known, special,
-                   steps[0]["pattern"]["Regex"])
+                   steps[0]["pattern"]["Regex"], json.dumps({**data, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
 
 
 def encode_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
@@ -146,15 +151,24 @@ class Encoder:
         self.v = v
         self.cut = regex.compile(v.pattern)
         self.marks = regex.compile("(" + "|".join(map(regex.escape, sorted(v.special, key=len, reverse=True))) + ")") if v.special else None
+        self.rare = re.compile("[\u0530-\U0010ffff]")
+        self.bytes = {s: b for b, s in enumerate(byte_symbols())}
+        self.rules = Tokenizer.from_str(v.rules)
         self.space = regex.compile(r"\s+")
         self.known: dict[str, bytes] = {}
 
+    def words(self, chunk: str) -> list[bytes]:
+        if self.rare.search(chunk):
+            text = self.rules.normalizer.normalize_str(chunk)
+            return [bytes(map(self.bytes.__getitem__, w)) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(text)]
+        text = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # each letter by itself
+        return [w.encode() for w in self.cut.findall(text)]
+
     def learn(self, chunks: set[str]) -> None:
         todo, words = list(chunks), []
         counts = []
         for c in todo:
-            text = unicodedata.normalize("NFC", c).replace("Σ", "σ").lower()  # each letter by itself
-            found = [w.encode() for w in self.cut.findall(text)]
+            found = self.words(c)
             counts.append(len(found))
             words += found
         distinct = list(dict.fromkeys(words))
