@@ -101,10 +101,10 @@ def as_key(column: Column, keys: list[int]) -> Column:
     return F.element_at(F.array(*[F.lit(k) for k in keys]), column.cast("int") + 1)
 
 
-def pack_sorted(keys: np.ndarray) -> bytes:
-    """Sorted 64-bit keys as the top 48 bits of each, by difference; the first
+def pack_sorted(keys: np.ndarray, bits: int = 48) -> bytes:
+    """Sorted 64-bit keys as the top ``bits`` of each, by difference; the first
     byte tells the width. About four bytes a key in dense ranges."""
-    gaps = np.diff(keys >> np.uint64(16), prepend=np.uint64(0))
+    gaps = np.diff(keys >> np.uint64(64 - bits), prepend=np.uint64(0))
     wide = len(gaps) > 1 and gaps[1:].max() >= 1 << 32
     first = np.array(gaps[:1], np.uint64).tobytes()
     rest = gaps[1:] if wide else gaps[1:].astype(np.uint32)
@@ -112,7 +112,7 @@ def pack_sorted(keys: np.ndarray) -> bytes:
 
 
 def unpack_sorted(data: bytes) -> np.ndarray:
-    """The keys of ``pack_sorted``: 48 bits each."""
+    """The top bits of the keys, as ``pack_sorted`` took them."""
     first = np.frombuffer(data[1:9], np.uint64)
     if not len(first):
         return first

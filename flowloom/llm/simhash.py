@@ -141,7 +141,7 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     sent = fps.mapInArrow(scatter, "shard int, fps binary, counts binary, flips binary")
-    return sent.groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+    return sent.repartition(n, "shard").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:

@@ -321,11 +321,12 @@ def _flags(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return shared, many
 
 
-def repeated_passages(docs: DataFrame) -> DataFrame:
+def repeated_passages(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
     """(doc_id, n_bytes, spans array of (start, end), kept binary, rest struct)
     for each row of ``docs``, ``rest`` holding its other columns.
 
-    Offsets count UTF-8 bytes. A null text is empty; a text below ``LENGTH``
+    Offsets count UTF-8 bytes; with ``whole_characters`` the rest of a character
+    that is cut in part is left out of ``kept``. A null text is empty; a text below ``LENGTH``
     bytes is kept. Rows with the same id count as one document, so they remove
     nothing from each other; a null id counts as larger than all others. An
     empty table gives an empty result. The blocks stay in the warehouse, as
@@ -405,15 +406,17 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
         lo, hi = np.searchsorted(begin, starts), np.searchsorted(begin, ends)
         spans = [[{"start": int(b - s), "end": int(e - s)} for b, e in zip(begin[i:j], end[i:j])] for s, i, j in zip(starts, lo, hi)]
         kept = [block.flat[s:e][~gone[s:e]].tobytes() for s, e in zip(starts, ends)]
+        if whole_characters:
+            kept = [k.decode("utf-8", "ignore").encode() for k in kept]
         return pa.table([table.column("doc_id"), pa.array(ends - starts), pa.array(spans, span), pa.array(kept, pa.binary()),
                          table.column("rest")], ["doc_id", "n_bytes", "spans", "kept", "rest"])
 
     sent = blocks.select("block", "doc_id", "text").groupBy("block").applyInArrow(
         send_anchors, "shard int, part int, block int, keys binary, counts binary")
-    known = write_table(sent.groupBy("shard").applyInArrow(_anchor_shard, ANSWER), "anchor_answers")
+    known = write_table(sent.repartition(n, "shard").groupBy("shard").applyInArrow(_anchor_shard, ANSWER), "anchor_answers")
     runs = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         send_suffixes, "shard int, part int, block int, known binary, tails binary, docs binary")
-    found = write_table(runs.groupBy("shard").applyInArrow(_suffix_shard, ANSWER), "suffix_answers")
+    found = write_table(runs.repartition(n, "shard").groupBy("shard").applyInArrow(_suffix_shard, ANSWER), "suffix_answers")
     answers = known.unionByName(found)
     schema = T.StructType([
         T.StructField("doc_id", T.LongType()), T.StructField("n_bytes", T.LongType()),
