@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import bpe, decontaminate, langid, ngrams, simhash, suffixes
+from flowloom.llm import bpe, decontaminate, langid, ngrams, postings, simhash, suffixes
 from flowloom.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,8 @@ def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = ngrams.scores(docs, trained=~in_fold("doc_id", 7, 2), weighed=in_fold("doc_id", 7, 3))
     return found.withColumn("held_out", in_fold("doc_id", 7, 2))
+
+
+@query
+def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return postings.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
