@@ -14,10 +14,12 @@ version, are normalised and cut by the vocabulary library's own rules.
 
 from __future__ import annotations
 
+import gc
 import heapq
 import json
 import re
 import unicodedata
+from array import array
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,7 +32,7 @@ from tokenizers import Tokenizer
 
 from flowloom.llm.common import slim
 
-CACHE = 200_000     # words a task remembers; it only saves time
+CACHE = 400_000     # words, and runs of text, that a task remembers; it only saves time
 PIECE = 1 << 20     # characters of a text that are cut into words in one go
 
 
@@ -49,8 +51,8 @@ class Vocabulary:
     tokens: list[str]
     first: list[int]              # id of each byte inside a word
     last: list[int]               # id of each byte at a word's end
-    merges: dict[tuple[int, int], tuple[int, int]]
-    pairs: list[tuple[int, int]]  # by rank
+    merges: dict[int, int]        # left << 32 | right: rank
+    pairs: list[tuple[int, int, int]]  # by rank: left, right, whole
     special: dict[str, int]
     pattern: str
     rules: str                    # the file without its vocabulary
@@ -70,8 +72,8 @@ class Vocabulary:
         for token, i in [*ids.items(), *special.items()]:
             tokens[i] = token
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
-        known = [(ids[a], ids[b]) for a, b in pairs]
-        merges = {pair: (rank, ids[a + b]) for rank, (pair, (a, b)) in enumerate(zip(known, pairs))}
+        known = [(ids[a], ids[b], ids[a + b]) for a, b in pairs]
+        merges = {a << 32 | b: rank for rank, (a, b, _) in enumerate(known)}
         symbols = byte_symbols()
         return cls(tokens, [ids[s] for s in symbols], [ids[s + end] for s in symbols], merges, known, special,
                    steps[0]["pattern"]["Regex"], json.dumps({**data, "added_tokens": [], "model": {"type": "BPE", "vocab": {}, "merges": []}}))
@@ -94,9 +96,9 @@ def encode_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
     for i, j in enumerate(after):
         if j >= 0:
             before[j] = i
-            m = merge((symbol[i], symbol[j]))
-            if m:
-                places[m[0]].append(i)
+            r = merge(symbol[i] << 32 | symbol[j])
+            if r is not None:
+                places[r].append(i)
     active = list(places)
     heapq.heapify(active)
     while active:
@@ -105,32 +107,31 @@ def encode_words(words: list[bytes], v: Vocabulary) -> list[list[int]]:
         if not found:
             continue
         found.sort()
-        left, right = v.pairs[rank]
-        whole = merge((left, right))[1]
+        left, right, whole = v.pairs[rank]
         for at, i in enumerate(found):
             j = after[i]
             if symbol[i] != left or j < 0 or symbol[j] != right:
                 continue  # merged meanwhile
             symbol[i], symbol[j] = whole, -1
             k = after[i] = after[j]
-            lower = False
+            lowest = rank
             if k >= 0:
                 before[k] = i
-                m = merge((whole, symbol[k]))
-                if m:
-                    if m[0] not in places:
-                        heapq.heappush(active, m[0])
-                    places[m[0]].append(i)
-                    lower = m[0] < rank
+                r = merge(whole << 32 | symbol[k])
+                if r is not None:
+                    if r not in places:
+                        heapq.heappush(active, r)
+                    places[r].append(i)
+                    lowest = min(lowest, r)
             p = before[i]
             if p >= 0:
-                m = merge((symbol[p], whole))
-                if m:
-                    if m[0] not in places:
-                        heapq.heappush(active, m[0])
-                    places[m[0]].append(p)
-                    lower |= m[0] < rank
-            if lower:  # a pair that goes first has come up: the rest waits
+                r = merge(symbol[p] << 32 | whole)
+                if r is not None:
+                    if r not in places:
+                        heapq.heappush(active, r)
+                    places[r].append(p)
+                    lowest = min(lowest, r)
+            if lowest < rank:  # a pair that goes first has come up: the rest waits
                 places[rank].extend(found[at + 1:])
                 heapq.heappush(active, rank)
                 break
@@ -156,8 +157,11 @@ class Encoder:
         self.rules = Tokenizer.from_str(v.rules)
         self.space = regex.compile(r"\s+")
         self.known: dict[str, bytes] = {}
+        self.pieces: dict[bytes, bytes] = {}
 
     def words(self, chunk: str) -> list[bytes]:
+        if chunk.isascii():
+            return [w.encode() for w in self.cut.findall(chunk.lower())]
         if self.rare.search(chunk):
             text = self.rules.normalizer.normalize_str(chunk)
             return [bytes(map(self.bytes.__getitem__, w)) for w, _ in self.rules.pre_tokenizer.pre_tokenize_str(text)]
@@ -165,18 +169,17 @@ class Encoder:
         return [w.encode() for w in self.cut.findall(text)]
 
     def learn(self, chunks: set[str]) -> None:
-        todo, words = list(chunks), []
-        counts = []
-        for c in todo:
-            found = self.words(c)
-            counts.append(len(found))
-            words += found
-        distinct = list(dict.fromkeys(words))
-        ids = dict(zip(distinct, encode_words(distinct, self.v)))
-        at = 0
-        for c, n in zip(todo, counts):
-            self.known[c] = np.array([i for w in words[at:at + n] for i in ids[w]], "<u4").tobytes()
-            at += n
+        cut = {c: self.words(c) for c in chunks}
+        needed = {w for found in cut.values() for w in found}
+        missing = needed - self.pieces.keys()
+        if len(self.pieces) + len(missing) > CACHE:
+            self.pieces.clear()
+            missing = needed
+        words = list(missing)
+        for w, ids in zip(words, encode_words(words, self.v)):
+            self.pieces[w] = array("I", ids).tobytes()
+        for c, found in cut.items():
+            self.known[c] = b"".join([self.pieces[w] for w in found])
 
     def chunks(self, text: str) -> list[str]:
         # str.split() also cuts at the four separators below, which are no white space here.
@@ -184,7 +187,7 @@ class Encoder:
             return [c for c in self.space.split(text) if c]
         return text.split()
 
-    def pieces(self, text: str) -> Iterator[str]:
+    def stretches(self, text: str) -> Iterator[str]:
         """Parts of about ``PIECE`` characters, cut at white space."""
         while len(text) > PIECE:
             m = self.space.search(text, PIECE)
@@ -217,7 +220,7 @@ class Encoder:
                 if s in self.v.special:
                     parts.append((i, "", self.v.special[s]))
                 else:
-                    parts += [(i, p, -1) for p in self.pieces(s)]
+                    parts += [(i, p, -1) for p in self.stretches(s)]
         out: list[list[bytes]] = [[] for _ in texts]
         group: list[int] = []
         size = 0
@@ -240,6 +243,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(shared.value)
+        gc.disable()  # nothing here makes cycles; the collector would only walk the caches, over and over
         for whole in parts:
             for b in slim(whole, 500):
                 ids = encoder.encode([t or "" for t in b.column("text").to_pylist()])

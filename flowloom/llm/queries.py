@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import bpe, decontaminate, langid, ngrams, postings, simhash, suffixes
+from flowloom.llm import bpe, decontaminate, langid, ngrams, pages, postings, simhash, suffixes
 from flowloom.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -75,3 +75,9 @@ def op6_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     return postings.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query
+def op3_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = table(spark, sf_dir, "pages")
+    return pages.extract(found, pages.fit(found))
