@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import bpe, decontaminate, langid, ngrams, pages, postings, simhash, suffixes
+from flowloom.llm import bpe, decontaminate, langid, licences, ngrams, pages, postings, simhash, suffixes, toxicity
 from flowloom.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -81,3 +81,18 @@ def op10_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_dom_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "pages")
     return pages.extract(found, pages.fit(found))
+
+
+@query
+def op5_clause_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(docs, labels.filter(~in_fold("doc_id", 5, 0)))
+    return toxicity.scores(docs, model).withColumn("held_out", in_fold("doc_id", 5, 0))
+
+
+@query
+def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"), licences.known(spark))
+
+
+ORACLES["op4_license_digest"] = licences.oracle()

@@ -266,13 +266,13 @@ def _resolve(group: list[tuple[int, int, bytes]], earliest: list[np.ndarray], ma
         masks[r][i] = mask
 
 
-def _anchor_shard(table: pa.Table) -> pa.Table:
+def _anchor_shard(table: pa.Table, most: int) -> pa.Table:
     """Which keys of each block are in another block, or have many contexts."""
     keys = [unpack_sorted(x) for x in table.column("keys").to_pylist()]
     counts = [unpack(x, np.uint32) for x in table.column("counts").to_pylist()]
     every, where = np.unique(np.concatenate(keys), return_inverse=True)
     blocks = np.bincount(where, minlength=len(every)) > 1
-    many = np.bincount(where, weights=np.concatenate(counts), minlength=len(every)) > MANY
+    many = np.bincount(where, weights=np.concatenate(counts), minlength=len(every)) > most
     data, at = [], 0
     for k in keys:
         w = where[at:at + len(k)]
@@ -321,13 +321,13 @@ def _flags(block: Block, answers: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return shared, many
 
 
-def repeated_passages(docs: DataFrame, whole_characters: bool = False) -> DataFrame:
+def repeated_passages(docs: DataFrame, whole_characters: bool = False, many: int = MANY) -> DataFrame:
     """(doc_id, n_bytes, spans array of (start, end), kept binary, rest struct)
     for each row of ``docs``, ``rest`` holding its other columns.
 
     Offsets count UTF-8 bytes; with ``whole_characters`` the rest of a character
     that is cut in part is left out of ``kept``. A null text is empty; a text below ``LENGTH``
-    bytes is kept. Rows with the same id count as one document, so they remove
+    bytes is kept. ``many`` changes how work is dealt out, not the result. Rows with the same id count as one document, so they remove
     nothing from each other; a null id counts as larger than all others. An
     empty table gives an empty result. The blocks stay in the warehouse, as
     table ``suffix_blocks_*``, as long as the result is read from them.
@@ -411,9 +411,12 @@ def repeated_passages(docs: DataFrame, whole_characters: bool = False) -> DataFr
         return pa.table([table.column("doc_id"), pa.array(ends - starts), pa.array(spans, span), pa.array(kept, pa.binary()),
                          table.column("rest")], ["doc_id", "n_bytes", "spans", "kept", "rest"])
 
+    def find_shared(table: pa.Table) -> pa.Table:
+        return _anchor_shard(table, many)
+
     sent = blocks.select("block", "doc_id", "text").groupBy("block").applyInArrow(
         send_anchors, "shard int, part int, block int, keys binary, counts binary")
-    known = write_table(sent.repartition(n, "shard").groupBy("shard").applyInArrow(_anchor_shard, ANSWER), "anchor_answers")
+    known = write_table(sent.repartition(n, "shard").groupBy("shard").applyInArrow(find_shared, ANSWER), "anchor_answers")
     runs = blocks.select("block", "doc_id", "text").groupBy("block").cogroup(known.groupBy("block")).applyInArrow(
         send_suffixes, "shard int, part int, block int, known binary, tails binary, docs binary")
     found = write_table(runs.repartition(n, "shard").groupBy("shard").applyInArrow(_suffix_shard, ANSWER), "suffix_answers")
