@@ -73,6 +73,18 @@ def is_ipv4(col: Column | str) -> Column:
     return is_true(text(col).rlike(IPV4_PATTERN))
 
 
+def is_ipv6(col: Column | str) -> Column:
+    """Eight groups, or fewer with one ``::``; the last two may be written as
+    an IPv4 address, and a zone may follow."""
+    plain = F.regexp_replace(text(col), "%[^%]+$", "")
+    tail = F.regexp_extract(plain, ":([0-9.]+)$", 1)
+    plain = F.when(tail.contains(".") & is_ipv4(tail), F.regexp_replace(plain, ":[0-9.]+$", ":0:0")).otherwise(plain)
+    group = "[0-9a-fA-F]{1,4}"
+    groups = F.size(F.filter(F.split(plain, ":"), lambda g: g != ""))
+    short = plain.rlike(f"^({group}(:{group})*)?::({group}(:{group})*)?$") & (groups <= 7)
+    return is_true(plain.rlike(f"^({group}:){{7}}{group}$") | short)
+
+
 @F.pandas_udf(T.StringType())
 def _canonical_ipv6(texts: pd.Series) -> pd.Series:
     def one(value):

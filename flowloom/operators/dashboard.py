@@ -6,8 +6,9 @@ Top lists order equal counts by latest appearance (highest ``id``).
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import (
     DETECTION_SOURCES, LEGACY_RULE_ID, LOG_COLUMNS, NOTE_BLOCKLISTED, SEVERITY_RANK,
@@ -137,17 +138,18 @@ def alert_queue(logs: DataFrame, k: int = 8) -> DataFrame:
     """Alerts grouped by signature, ends and severity, with their newest row."""
     alerts = enrich(logs).filter(is_threat() | is_warning())
     key = ["signature", "source_ip", "destination_ip", "severity"]
-    grouped = alerts.groupBy(*key).agg(
-        F.count(F.lit(1)).alias("count"),
-        F.max("id").alias("last_id"),
-        F.max_by(F.struct("id", "timestamp", "source_port", "destination_port"),
-                 F.struct("timestamp", "id")).alias("newest"),
-    )
+    grouped = alerts.groupBy(*key).agg(F.count(F.lit(1)).alias("count"), F.max("id").alias("last_id"))
     ranked = grouped.orderBy(severity_rank().desc(), F.desc("count"), F.desc("last_id")).limit(k)
-    return ranked.select(
-        *key, "count", "last_id", F.col("newest.id").alias("newest_id"),
-        net.endpoint("source_ip", "newest.source_port").alias("source"),
-        net.endpoint("destination_ip", "newest.destination_port").alias("destination"),
+    # The newest rows of the k groups only; the k rows are broadcast.
+    best = ranked.select(*[F.col(c).alias(f"_{c}") for c in key], "count", "last_id")
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key])
+    newest = Window.partitionBy(*key).orderBy(F.desc("timestamp"), F.desc("id"))
+    rows = alerts.select(*key, "id", "timestamp", "source_port", "destination_port").join(F.broadcast(best), same)
+    rows = rows.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1)
+    return rows.orderBy(severity_rank().desc(), F.desc("count"), F.desc("last_id")).select(
+        *key, "count", "last_id", F.col("id").alias("newest_id"),
+        net.endpoint("source_ip", "source_port").alias("source"),
+        net.endpoint("destination_ip", "destination_port").alias("destination"),
     )
 
 
@@ -205,9 +207,9 @@ def first_alerts(logs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     rows = enrich(logs).withColumn("alert_key", alert_key()).filter(F.col("alert_key").isNotNull())
     if seen is not None:
         rows = rows.join(seen.select("alert_key").distinct(), "alert_key", "left_anti")
-    cols = [c for c in logs.columns]
-    best = rows.groupBy("alert_key").agg(F.min_by(F.struct(*cols), "id").alias("row"))
-    return best.select("alert_key", "row.*")
+    first = Window.partitionBy("alert_key").orderBy("id")
+    best = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") == 1)
+    return best.select("alert_key", *[c for c in logs.columns if c != "alert_key"])
 
 
 def event_detail(logs: DataFrame, event_id: int) -> DataFrame:

@@ -65,8 +65,10 @@ def session_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int
     return drop_history(rows, "_i", "_gap", "_oldest", "_bytes", "_left")
 
 
-def flow_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None) -> DataFrame:
+def flow_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = None,
+                  before: DataFrame | None = None) -> DataFrame:
     """Add ``flow_key``, ``flow_id`` and the running and rolling flow columns.
+    ``before`` holds rows of earlier batches, see ``flow_state.flow_history``.
 
     Rows are hashed by ``flow_id`` (not by the longer key), so that the vote
     window, which is per id, needs no further shuffle.
@@ -79,6 +81,7 @@ def flow_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | N
         totals={"_n": F.lit(1).cast("long"), "_b": F.col("length").cast("long")},
         starts={"_start": F.col("ts_us")},
     )
+    rows = prepend(rows, before, keys)
     rows = rows.repartition(*SESSION, "flow_id", "_slice") if slice_rows else rows.repartition(*SESSION, "flow_id")
     w = slice_window(keys, "seq")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -1,11 +1,12 @@
 """Running and rolling windows over keys of any size.
 
-A window group is one task's work, so a key that holds a large part of all rows
-must be cut. Rows are cut into slices of ``slice_rows`` consecutive order values;
-each slice then starts from the state its key had reached before it: up to
+A window group is one task's work, so a key with more than ``slice_rows`` rows
+is cut: its range of order values into equal parts, of ``slice_rows`` rows each
+on average. Other keys stay whole. Each slice then starts from the state its key had reached before it: up to
 ``lookback`` earlier rows, the oldest of which also carries the totals so far. The state rows
-are derived in a narrow pre-pass (partial aggregates and a map-side top-n), so
-only slices, never whole keys, are sorted in one task. Results are the same as
+are derived in a narrow pre-pass over the large keys (partial aggregates and a
+map-side top-n), so they number at most ``lookback`` for each ``slice_rows``
+rows, and no large key is ever sorted in one task. Results are the same as
 those of a plain window, row for row.
 """
 
@@ -13,6 +14,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
+from ..runtime import write_table
+
 SLICE = "_slice"      # part of every window key
 CARRIED = "_carried"  # true on rows that only bring state into a slice
 
@@ -39,7 +42,7 @@ def with_history(
     ``totals`` are per-row amounts whose running sum over the slice window must
     equal the sum over the whole key; ``starts`` are values whose ``first`` must
     be that of the whole key. ``keep`` names the columns the rolling frames
-    read. ``slice_rows=None`` leaves each key whole. Order values must be
+    read. ``slice_rows=None`` leaves all keys whole. Order values must be
     unique within a key and the keys must not be null.
     """
     totals, starts, keep = totals or {}, starts or {}, keep or []
@@ -47,9 +50,16 @@ def with_history(
     if slice_rows is None:
         return rows.withColumn(SLICE, F.lit(0).cast("long")).withColumn(CARRIED, F.lit(False))
 
-    rows = rows.withColumn(SLICE, F.floor(F.col(order) / F.lit(slice_rows)).cast("long"))
+    # One row for each large key, so at most one for every slice_rows rows.
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
+    large = write_table(sizes.filter(F.col("_rows") > slice_rows).select(
+        *keys, "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_span"), F.ceil(F.col("_rows") / F.lit(slice_rows)).alias("_parts")), "large_keys")
+    part = F.floor((F.col(order) - F.col("_lo")) * F.col("_parts") / F.col("_span")).cast("long")
+    rows = rows.join(large, keys, "left").withColumn(SLICE, part)
+    cut = rows.filter(F.col(SLICE).isNotNull())
+    rows = rows.withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long"))).drop("_lo", "_span", "_parts")
     names = list(dict.fromkeys([order, *keep, *totals, *starts]))
-    slim = rows.select(*keys, SLICE, *names)
+    slim = cut.select(*keys, SLICE, *names)
     group = [*keys, SLICE]
 
     newest = Window.partitionBy(*group).orderBy(F.desc(order))

@@ -12,19 +12,21 @@ from .features import flow_count
 ALERT_SEVERITIES = ("critical", "high", "medium", "low")
 
 
-def _clamp(limit: int, top: int) -> int:
-    return max(1, min(limit, top))
+def _positive(limit: int) -> int:
+    if limit < 1:
+        raise ValueError(f"a limit is at least 1, not {limit}")
+    return limit
 
 
 def newest(logs: DataFrame, limit: int) -> DataFrame:
     """The rows with the highest ids, in ascending order. A top-n per task,
     then a merge: nothing is sorted as a whole."""
-    return logs.orderBy(F.desc("id")).limit(limit).orderBy("id")
+    return logs.orderBy(F.desc("id")).limit(_positive(limit)).orderBy("id")
 
 
 def recent_logs(logs: DataFrame, limit: int = 500) -> DataFrame:
-    """Latest rows, at most 5000, with ambiguous ones shown as warnings."""
-    return rewrite_ambiguous(newest(logs, _clamp(limit, 5000)))
+    """Latest rows, with ambiguous ones shown as warnings."""
+    return rewrite_ambiguous(newest(logs, limit))
 
 
 def rewrite_ambiguous(logs: DataFrame) -> DataFrame:
@@ -56,12 +58,12 @@ def summary(logs: DataFrame) -> DataFrame:
 
 
 def session_logs(logs: DataFrame, session_id: str, limit: int = 100) -> DataFrame:
-    return newest(logs.filter(F.col("session_id") == session_id), _clamp(limit, 500))
+    return newest(logs.filter(F.col("session_id") == session_id), limit)
 
 
 def history_logs(logs: DataFrame, session_id: str, limit: int = 100) -> DataFrame:
     """Latest rows of all other sessions."""
-    return newest(logs.filter(F.col("session_id") != session_id), _clamp(limit, 500))
+    return newest(logs.filter(F.col("session_id") != session_id), limit)
 
 
 def is_alerting() -> Column:

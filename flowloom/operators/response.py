@@ -52,10 +52,11 @@ def unblock(spark, ip: str, at=None) -> DataFrame:
 
 def blocklist(changes: DataFrame) -> DataFrame:
     """Current entries of a change log: the latest change per address, newest first."""
-    last = changes.groupBy("ip").agg(F.max_by(F.struct("op", "reason", "at"), F.struct("at", "op")).alias("c"))
+    newest = Window.partitionBy("ip").orderBy(F.desc("at"), F.desc("op"))
+    last = changes.withColumn("_n", F.row_number().over(newest)).filter(F.col("_n") == 1)
     return (
-        last.filter(F.col("c.op") == "block")
-        .select("ip", F.col("c.reason").alias("reason"), F.col("c.at").alias("created_at"))
+        last.filter(F.col("op") == "block")
+        .select("ip", "reason", F.col("at").alias("created_at"))
         .orderBy(F.desc("created_at"), "ip")
     )
 
@@ -90,9 +91,9 @@ def trigger(cfg: Config = DEFAULT) -> Column:
 
 
 def is_address(col: Column | str) -> Column:
-    """Shaped like an IPv4 or IPv6 address. JVM only."""
+    """An IPv4 or IPv6 address. JVM only."""
     c = F.col(col) if isinstance(col, str) else col
-    return net.is_ipv4(c) | is_true(c.rlike(r"^[0-9a-fA-F]*:[0-9a-fA-F:.]*(%.+)?$"))
+    return net.is_ipv4(c) | net.is_ipv6(c)
 
 
 def split_rejects(rows: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:

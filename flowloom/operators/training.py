@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 from functools import reduce
+from operator import add
 
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
@@ -13,6 +14,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..config import MODEL_FEATURES
+from ..runtime import write_table
 
 
 @dataclass(frozen=True)
@@ -43,7 +45,7 @@ def index_labels(df: DataFrame, label: str, out: str = "label_index") -> tuple[D
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """Weight rows / (classes * rows of the class). One row per class is joined on."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
+    counts = write_table(df.groupBy(label).agg(F.count(F.lit(1)).alias("_n")), "class_counts")
     totals = counts.agg(F.sum("_n").alias("rows"), F.count(F.lit(1)).alias("classes"))
     rows, classes = totals.select("rows").scalar(), totals.select("classes").scalar()
     weights = counts.select(F.col(label), (rows / (classes * F.col("_n"))).alias(out))
@@ -83,10 +85,9 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
     cuts = df.approxQuantile(list(columns), probs, 0.001)
     binned = []
     for name, edges in zip(columns, cuts):
-        inner = F.array(*[F.lit(e) for e in sorted(set(edges))])
         value = F.col(name).cast("double")
-        binned.append(F.struct(F.lit(name).alias("feature"),
-                               F.size(F.filter(inner, lambda e, v=value: e < v)).alias("bin")))
+        above = [(value > F.lit(e)).cast("int") for e in sorted(set(edges))]
+        binned.append(F.struct(F.lit(name).alias("feature"), reduce(add, above, F.lit(0)).alias("bin")))
     counts = (
         df.select(F.col(label).alias("cls"), F.explode(F.array(*binned)).alias("b"))
         .groupBy("b.feature", "b.bin", "cls").agg(F.count(F.lit(1)).alias("n"))
@@ -257,6 +258,7 @@ def per_class(cm: DataFrame) -> DataFrame:
 
 def classification_report(cm: DataFrame) -> DataFrame:
     """Per-class rows, then accuracy, macro and weighted averages."""
+    cm = write_table(cm, "confusion")  # a row for each pair of classes, read four times
     rows = per_class(cm).withColumn("label", F.col("label").cast("string"))
     measures = ("precision", "recall", "f1")
     support = F.sum("support").alias("support")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -33,13 +34,13 @@ def build_session(name: str = "flowloom", master: str | None = None, **conf: str
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local session, which has no other machine to share with, falls back
-    to a temporary folder of its own.
+    Only a session on one machine (``local``, ``local[n]``), which has no other
+    to share with, falls back to a temporary folder of its own.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[^,]*\])?", spark.sparkContext.master):
         raise RuntimeError("spark.checkpoint.dir is not set: the cluster must name a shared folder")
     path = tempfile.mkdtemp(prefix="flowloom-")
     spark.conf.set("spark.checkpoint.dir", path)
@@ -66,6 +67,15 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def delete_table(path: str) -> None:
+    """Delete a table's folder, if it is there."""
+    from pyarrow import fs
+    uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
+    where, name = fs.FileSystem.from_uri(uri)
+    if where.get_file_info(name).type == fs.FileType.Directory:
+        where.delete_dir(name)
+
+
 @contextmanager
 def step_tables() -> Iterator[None]:
     """Tables written by ``write_table`` in this block are deleted at its end.
@@ -77,8 +87,5 @@ def step_tables() -> Iterator[None]:
         yield
     finally:
         _STEP_TABLES.reset(token)
-        from pyarrow import fs
         for path in made:
-            uri = path if "://" in path else f"file://{path.removeprefix('file:')}"
-            where, name = fs.FileSystem.from_uri(uri)
-            where.delete_dir(name)
+            delete_table(path)

@@ -281,10 +281,13 @@ def read_captures(spark: SparkSession, path: str, packet_limit: int | None = Non
                   chunk_packets: int = 50_000, chunk_bytes: int = 64 << 20) -> DataFrame:
     """Packets of all capture files below a folder, one session per file.
 
-    ``packet_limit`` takes the first packets of each file, 1 to 50000; without
-    it whole files are read. Files of other formats are passed over.
+    ``packet_limit`` takes the first packets of each file; without it whole
+    files are read. Files of other formats are passed over: see
+    ``capture_rejects`` for those and for records that are cut off.
     """
-    limit = None if packet_limit is None else max(1, min(packet_limit, 50_000))
+    if packet_limit is not None and packet_limit < 1:
+        raise ValueError(f"packet_limit is at least 1, not {packet_limit}")
+    limit = packet_limit
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
     wanted = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)
     chunks = (

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+
+from ..runtime import delete_table
 
 
 class CarryTable:
@@ -10,7 +12,8 @@ class CarryTable:
 
     A batch writes only the keys it touched, into a folder of its own, and
     every ``full_every`` batches all keys. A batch reads the versions before
-    its own, so running a batch again gives the same result.
+    its own, so running a batch again gives the same result. Versions that no
+    batch can need any more are deleted.
     """
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, full_every: int = 20):
@@ -24,12 +27,14 @@ class CarryTable:
         oldest = (batch_id - 1) // self.full_every * self.full_every
         stored = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("b", T.LongType())]))
         rows = stored.parquet(self.path).filter((F.col("b") >= oldest) & (F.col("b") < batch_id))
-        values = [c for c in self.schema.names if c not in self.keys]
-        last = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*values), "b").alias("_v"))
-        return last.select(*self.keys, "_v.*").select(*self.schema.names)
+        newest = Window.partitionBy(*self.keys).orderBy(F.desc("b"))
+        return rows.withColumn("_v", F.row_number().over(newest)).filter("_v = 1").select(*self.schema.names)
 
     def save(self, batch_id: int, touched: DataFrame, before: DataFrame) -> None:
         rows = touched.select(*self.schema.names)
         if batch_id % self.full_every == 0:
             rows = rows.unionByName(before.join(touched.select(*self.keys), self.keys, "left_anti"))
         rows.write.mode("overwrite").parquet(f"{self.path}/b={batch_id}")
+        if batch_id % self.full_every == 0:  # batch_id may run again, and reads from the full version before it
+            for old in range(max(0, batch_id - 2 * self.full_every), batch_id - self.full_every):
+                delete_table(f"{self.path}/b={old}")

@@ -1,26 +1,18 @@
-"""Running flow features over a stream of packets."""
+"""State of running flows between micro-batches."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
 from ..functions import network as net
+from ..operators.features import SESSION
+from ..operators.history import join_tails, tails
 from ..schemas import PACKETS
 
-KEY = ["sensor_id", "session_id", "flow_key", "flow_id"]
-STATE = "packets bigint, bytes bigint, start_us bigint, last_seq bigint, lengths array<int>"
-ADDED = [
-    T.StructField("total_packets", T.LongType()), T.StructField("total_bytes", T.LongType()),
-    T.StructField("duration_us", T.LongType()), T.StructField("flow_duration", T.DoubleType()),
-    T.StructField("min_pkt_len", T.IntegerType()), T.StructField("max_pkt_len", T.IntegerType()),
-    T.StructField("avg_pkt_len", T.DoubleType()), T.StructField("pkt_len_std", T.DoubleType()),
-]
+FLOW = [*SESSION, "flow_id", "flow_key"]
+FLOW_STATE = ("sensor_id string, session_id string, flow_id string, flow_key string, packets bigint, bytes bigint, "
+              "start_us bigint, last_us bigint, tail array<struct<seq:bigint,length:int>>")
 
 
 def read_packet_stream(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
@@ -32,60 +24,33 @@ def read_packet_stream(spark: SparkSession, path: str, max_files: int | None = N
     return reader.parquet(path)
 
 
-def _windowed(lengths: np.ndarray, skip: int, n: int) -> dict[str, np.ndarray]:
-    """Rolling statistics of the rows after the first ``skip``."""
-    sizes = lengths.astype(np.int64)
-    sums = np.concatenate([[0], np.cumsum(sizes)])
-    squares = np.concatenate([[0], np.cumsum(sizes * sizes)])
-    end = np.arange(skip, len(sizes)) + 1
-    start = np.maximum(end - n, 0)
-    s1, s2, k = sums[end] - sums[start], squares[end] - squares[start], end - start
-    rolling = pd.Series(sizes).rolling(n, min_periods=1)
-    return {
-        "min_pkt_len": rolling.min().to_numpy()[skip:].astype(np.int32),
-        "max_pkt_len": rolling.max().to_numpy()[skip:].astype(np.int32),
-        "avg_pkt_len": s1 / k,
-        "pkt_len_std": np.sqrt((k * s2 - s1 * s1).astype(np.float64)) / k,
-    }
-
-
-def _advance(columns: list[str], n: int, idle_ms: int | None):
-    def step(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        # the rows of one flow in one batch may come in several frames, in any order
-        rows = pd.concat(list(frames), ignore_index=True).sort_values("seq", kind="stable")
-        count, size, start, last_seq, kept = state.get if state.exists else (0, 0, None, None, [])
-        if last_seq is not None:
-            rows = rows[rows["seq"] > last_seq]  # seen before, or too late to count
-        if not rows.empty:
-            if start is None:
-                start = int(rows["ts_us"].iloc[0])
-            lengths = np.concatenate([np.array(kept, dtype=np.int64), rows["length"].to_numpy(np.int64)])
-            duration = np.maximum(rows["ts_us"].to_numpy(np.int64) - start, 1)
-            out = rows.assign(
-                total_packets=count + 1 + np.arange(len(rows)),
-                total_bytes=size + np.cumsum(rows["length"].to_numpy(np.int64)),
-                duration_us=duration, flow_duration=duration / 1e6, **_windowed(lengths, len(kept), n))
-            state.update((count + len(rows), size + int(rows["length"].sum()), start,
-                          int(rows["seq"].iloc[-1]), [int(v) for v in lengths[-n:]]))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-            yield out[columns]
-    return step
-
-
-def flow_state(stream: DataFrame, cfg: Config = DEFAULT, idle_timeout: int | None = None) -> DataFrame:
-    """The stream with the flow columns of the batch operator, row for row.
-
-    State is one small record per flow. ``idle_timeout`` (seconds) forgets
-    flows that stay silent; by default they are kept until the session ends.
-    Packets of a flow that come after a later packet of it are left out.
-    """
-    rows = stream.withColumn("flow_key", net.flow_key()).withColumn("flow_id", net.flow_id("flow_key"))
-    schema = T.StructType(rows.schema.fields + ADDED)
-    idle_ms = idle_timeout * 1000 if idle_timeout else None
-    timeout = GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout
-    step = _advance(schema.names, cfg.rolling_window, idle_ms)
-    return rows.groupBy(*KEY).applyInPandasWithState(step, schema, STATE, "append", timeout)
+def batch_state(packets: DataFrame, before: DataFrame, cfg: Config = DEFAULT,
+                idle_timeout: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """State of the flows in a batch before it and after it, one small row per
+    flow. A flow silent for more than ``idle_timeout`` seconds begins anew."""
+    rows = packets.withColumn("flow_key", net.flow_key()).withColumn("flow_id", net.flow_id("flow_key"))
+    now = rows.groupBy(*FLOW).agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("length").cast("long")).alias("b"),
+        F.min_by("ts_us", "seq").alias("first_us"), F.max_by("ts_us", "seq").alias("newest_us"))
+    known = before.join(now.select(*FLOW, "first_us"), FLOW)
+    if idle_timeout is not None:
+        known = known.filter(F.col("first_us") - F.col("last_us") <= F.lit(int(idle_timeout * 1_000_000)))
+    known = known.drop("first_us")
+    kept = join_tails(known, tails(rows, FLOW, "seq", ["length"], cfg.rolling_window), FLOW, cfg.rolling_window)
+    after = now.join(kept, FLOW).join(known.drop("tail", "last_us"), FLOW, "left").select(
+        *FLOW, (F.coalesce("packets", F.lit(0)) + F.col("n")).alias("packets"),
+        (F.coalesce("bytes", F.lit(0)) + F.col("b")).alias("bytes"),
+        F.coalesce("start_us", "first_us").alias("start_us"), F.col("newest_us").alias("last_us"), "tail")
+    return known, after
+
+
+def flow_history(state: DataFrame) -> DataFrame:
+    """Rows to put before a flow's new ones: its last packets, the oldest of
+    which stands for all packets up to it."""
+    held = F.aggregate("tail", F.lit(0).cast("long"), lambda a, r: a + r.length)
+    first = lambda i: i == 0
+    return state.select(*FLOW, F.transform("tail", lambda r, i: F.struct(
+        r.seq.alias("seq"), r.length.alias("length"),
+        F.when(first(i), F.col("packets") - F.size("tail") + 1).otherwise(1).cast("long").alias("_n"),
+        F.when(first(i), F.col("bytes") - held + r.length).otherwise(r.length).cast("long").alias("_b"),
+        F.col("start_us").alias("_start"))).alias("tail"))

@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config, DEFAULT
 from ..operators import dashboard as dash, gates, response, verdict
-from ..operators.features import SESSION, rate_features, session_features
+from ..operators.features import SESSION, flow_features, rate_features, session_features
 from ..operators.history import join_tails, tails
 from ..plans.detect import scored_rows, usable_scorer
 from ..runtime import step_tables, write_table
-from ..sources.logstore import STORED, append_logs
+from ..sources.logstore import STORED, append_once
 from .carry import CarryTable
-from .flow_state import flow_state
+from .flow_state import FLOW, FLOW_STATE, batch_state, flow_history
 
 SESSION_TAIL = "sensor_id string, session_id string, tail array<struct<seq:bigint,ts_us:bigint,length:int>>"
 VOTE_TAIL = "sensor_id string, session_id string, flow_id string, tail array<struct<seq:bigint,_mal:int>>"
@@ -24,11 +24,13 @@ RESPONSE = "sensor_id string, ip string, blocked boolean, open_warnings int"
 
 @dataclass
 class LiveDetection:
-    """Micro-batch logic. Flow features come in with the stream; all else is
-    batch operators plus carry tables, so a stream gives the logs of a batch.
+    """Micro-batch logic: batch operators plus carry tables, so a stream gives
+    the logs of a batch. A batch that is run again writes the same state, and
+    its logs only once.
 
     A session's packets must arrive in the order of ``seq`` from batch to
-    batch. Those behind the last one seen go to the rejects folder.
+    batch. Those behind the last one seen, and second copies within a batch, go
+    to the rejects folder before anything counts them.
     """
 
     spark: SparkSession
@@ -39,26 +41,40 @@ class LiveDetection:
     scorer: object = None
     blocked: DataFrame | None = None    # addresses blocked from the start: sensor_id, ip
     commands: object = None             # batch_id -> manual changes, see replay_response
+    idle_timeout: float | None = None   # seconds after which a silent flow is forgotten
     sessions: CarryTable = field(init=False)
+    flows: CarryTable = field(init=False)
     votes: CarryTable = field(init=False)
     responses: CarryTable = field(init=False)
 
     def __post_init__(self):
         self.sessions = CarryTable(self.spark, f"{self.state}/sessions", SESSION, SESSION_TAIL)
+        self.flows = CarryTable(self.spark, f"{self.state}/flows", FLOW, FLOW_STATE)
         self.votes = CarryTable(self.spark, f"{self.state}/votes", gates.VOTER, VOTE_TAIL)
         self.responses = CarryTable(self.spark, f"{self.state}/responses", ["sensor_id", "ip"], RESPONSE)
 
-    def session_carry(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        """Session features of a batch, given the tails before it; and its late rows."""
-        before = self.sessions.before(batch_id)
-        last = before.select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
-        rows = rows.join(last, SESSION, "left")
-        late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False))
-        good, behind = rows.filter(~late).drop("_last"), rows.filter(late).drop("_last")
-        n = self.cfg.rolling_window
-        now = tails(good, SESSION, "seq", ["ts_us", "length"], n)
+    def on_time(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
+        """The packets of a batch that come in order, and the others."""
+        last = self.sessions.before(batch_id).select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
+        copy = F.row_number().over(Window.partitionBy(*SESSION, "seq").orderBy("ts_us"))
+        rows = rows.join(last, SESSION, "left").withColumn("_copy", copy)
+        late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False)) | (F.col("_copy") > 1)
+        rows = write_table(rows.withColumn("_late", late).drop("_last", "_copy"), "packets")
+        return rows.filter("NOT _late").drop("_late"), rows.filter("_late").drop("_late")
+
+    def session_carry(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Session features of a batch, given the tails before it."""
+        before, n = self.sessions.before(batch_id), self.cfg.rolling_window
+        now = tails(rows, SESSION, "seq", ["ts_us", "length"], n)
         self.sessions.save(batch_id, join_tails(before, now, SESSION, n), before)
-        return session_features(good, self.cfg, None, before), behind
+        return session_features(rows, self.cfg, None, before)
+
+    def flow_carry(self, packets: DataFrame, rows: DataFrame, batch_id: int) -> DataFrame:
+        """Flow features of a batch, given the flows before it."""
+        before = self.flows.before(batch_id)
+        known, after = batch_state(packets, before, self.cfg, self.idle_timeout)
+        self.flows.save(batch_id, after, before)
+        return flow_features(rows, self.cfg, None, flow_history(known))
 
     def vote_carry(self, rows: DataFrame, batch_id: int) -> DataFrame:
         """Vote shares of a batch, given the votes before it."""
@@ -89,9 +105,9 @@ class LiveDetection:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         cfg = self.cfg
-        rows = write_table(batch, "batch")  # the stateful step runs once
-        rows, late = self.session_carry(rows, batch_id)
+        packets, late = self.on_time(batch, batch_id)
         late.write.mode("overwrite").parquet(f"{self.state}/rejects/b={batch_id}")
+        rows = self.flow_carry(packets, self.session_carry(packets, batch_id), batch_id)
         rows = rate_features(rows)
         scorer = usable_scorer(rows.columns, self.scorer)
         if self.score_columns is None and scorer is None:
@@ -102,18 +118,25 @@ class LiveDetection:
         decided = write_table(verdict.classify(decided, cfg), "decided")
         replay = self.response_batch(decided, batch_id)
         replay.rejects.write.mode("overwrite").parquet(f"{self.state}/bad-sources/b={batch_id}")
-        append_logs(verdict.build_logs(replay.rows), self.logs, ingested=batch_id)
+        append_once(write_table(verdict.build_logs(replay.rows), "batch_logs"), self.logs, batch_id)
 
 
-def start_detection(packets: DataFrame, detection: LiveDetection, checkpoint: str, available_now: bool = False,
-                    idle_timeout: int | None = None) -> StreamingQuery:
+def start_detection(packets: DataFrame, detection: LiveDetection, checkpoint: str,
+                    available_now: bool = False) -> StreamingQuery:
     """Run the chain on a stream of packets until it is stopped, or once over
     what is there."""
-    writer = flow_state(packets, detection.cfg, idle_timeout).writeStream.foreachBatch(detection)
+    writer = packets.writeStream.foreachBatch(detection)
     writer = writer.option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
+def finish(query: StreamingQuery) -> None:
+    """Wait until a query over what is there has ended; its failure is raised."""
+    query.awaitTermination()
+    if query.exception():
+        raise query.exception()
+
+
 def read_log_stream(spark: SparkSession, path: str) -> DataFrame:
     """The log table as a stream."""
     return spark.readStream.schema(STORED).parquet(path)

@@ -5,22 +5,21 @@ from pyspark.sql import functions as F
 
 from flowloom.config import Config
 from flowloom.plans.detect import detect
-from flowloom.sources.logstore import current_logs
-from flowloom.streaming.flow_state import flow_state, read_packet_stream
-from flowloom.streaming.live import LiveDetection, live_summary, notify_once, read_log_stream, start_detection
+from flowloom.sources.logstore import current_logs, stored_logs
+from flowloom.streaming.flow_state import read_packet_stream
+from flowloom.streaming.live import LiveDetection, finish, live_summary, notify_once, read_log_stream, start_detection
 from tests.test_chain import frame, packets, scores
 
 CFG = Config(min_flow_packets=3, min_flow_duration=0.2, classify_interval=2, rolling_window=7)
 
 
-def run(spark, folder, parts, cfg=CFG):
+def run(spark, folder, parts, cfg=CFG, **more):
     source = f"{folder}/in"
     for rows in parts:
         frame(spark, rows).coalesce(1).write.mode("append").parquet(source)
-    live = LiveDetection(spark, f"{folder}/logs", f"{folder}/state", cfg, score_columns=scores())
+    live = LiveDetection(spark, f"{folder}/logs", f"{folder}/state", cfg, score_columns=scores(), **more)
     q = start_detection(read_packet_stream(spark, source, 1), live, f"{folder}/check", available_now=True)
-    q.awaitTermination(300)
-    assert q.exception() is None
+    finish(q)
     return current_logs(spark, f"{folder}/logs")
 
 
@@ -36,26 +35,49 @@ def test_stream_equals_batch(spark, folder, cuts):
     # reports that follow the log table
     summary = live_summary(read_log_stream(spark, f"{folder}/logs"))
     q = summary.writeStream.format("memory").queryName("summary").outputMode("update").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    finish(q)
     assert spark.table("summary").agg(F.sum("packets")).first()[0] == len(rows)
     once = notify_once(read_log_stream(spark, f"{folder}/logs"))
     q = once.writeStream.format("memory").queryName("once").trigger(availableNow=True).start()
-    q.awaitTermination(120)
+    finish(q)
     keys = [r.alert_key for r in spark.table("once").collect()]
     assert keys and len(keys) == len(set(keys))
 
 
-def test_late_packets_are_rejected(spark, folder):
+def test_late_packets_are_rejected_uncounted(spark, folder):
+    """Late packets and second copies are rejected, none is lost, and the flows
+    are those of the other packets."""
     rows = packets(9, 60)
-    late = [r for r in rows[:10]]
-    logs = run(spark, folder, [rows[10:], late])
-    assert logs.count() == 50
-    assert spark.read.parquet(f"{folder}/state/rejects").count() > 0
-
-
-def test_idle_timeout_is_accepted(spark, folder):
-    frame(spark, packets(10, 30)).write.parquet(f"{folder}/in")
-    stream = flow_state(read_packet_stream(spark, f"{folder}/in"), CFG, idle_timeout=3600)
-    q = stream.writeStream.format("memory").queryName("idle").trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    assert spark.table("idle").count() == 30
+    logs = run(spark, folder, [rows[10:] + rows[20:23], rows[:10]])
+    assert spark.read.parquet(f"{folder}/state/rejects").count() == 13
+    want = detect(frame(spark, rows[10:]), CFG, score_columns=scores(), skew="whole").logs
+    assert sorted(map(str, logs.collect())) == sorted(map(str, want.collect()))
+
+
+def test_repeated_batch(spark, folder):
+    rows = packets(11, 80)
+    live = LiveDetection(spark, f"{folder}/logs", f"{folder}/state", CFG, score_columns=scores())
+    for part, batch in ((rows[:40], 0), (rows[:40], 0), (rows[40:], 1), (rows[40:], 1)):
+        live(frame(spark, part), batch)
+    assert stored_logs(spark, f"{folder}/logs").count() == 80
+    want = detect(frame(spark, rows), CFG, score_columns=scores(), skew="whole").logs
+    assert sorted(map(str, current_logs(spark, f"{folder}/logs").collect())) == sorted(map(str, want.collect()))
+
+
+def test_idle_flows_begin_anew(spark, folder):
+    rows = packets(10, 30)
+    logs = run(spark, folder, [rows, [{**r, "seq": r["seq"] + 1000, "ts_us": r["ts_us"] + 10 ** 10} for r in rows]], idle_timeout=60)
+    late, early = logs.filter("id > 1000"), logs.filter("id <= 1000")
+    assert late.agg(F.sum("flow_packet_count")).first() == early.agg(F.sum("flow_packet_count")).first()
+
+
+def test_carry_tables_drop_old_versions(spark, folder):
+    import os
+
+    from flowloom.streaming.carry import CarryTable
+    table = CarryTable(spark, f"{folder}/carry", ["k"], "k int, v int", full_every=2)
+    for b in range(9):
+        before = table.before(b)
+        assert {r.k: r.v for r in before.collect()} == ({0: b - 1, b - 1: b - 1} if b > 1 else {0: 0} if b else {}) | {k: k for k in range(1, b - 1)}
+        table.save(b, spark.createDataFrame([(0, b)] + ([(b, b)] if b else []), "k int, v int"), before)
+    assert min(int(d[2:]) for d in os.listdir(f"{folder}/carry") if d.startswith("b=")) >= 4

@@ -20,10 +20,10 @@ from flowloom.runtime import new_table_path, write_table
 from flowloom.schemas import PACKETS
 from flowloom.sources.captures import capture_filter, read_captures
 from flowloom.sources.flows import read_flows, write_unified
-from flowloom.sources.logstore import append_logs, current_logs, export_logs, load_logs
+from flowloom.sources.logstore import append_logs, current_logs, export_logs, load_logs, stored_logs
 from flowloom.sources.models import ModelBundle, load_models, save_models
 from flowloom.streaming.flow_state import read_packet_stream
-from flowloom.streaming.live import LiveDetection, live_summary, notify_once, read_log_stream, start_detection
+from flowloom.streaming.live import LiveDetection, finish, live_summary, notify_once, read_log_stream, start_detection
 
 from . import files, oracle as o, views
 
@@ -375,7 +375,7 @@ def session_logs(spark, sf):
 
 @query("history_logs", o.chain(*o.LOGS, select="FROM logs WHERE session_id <> 'r1' ORDER BY id DESC LIMIT 500"))
 def history_logs(spark, sf):
-    return with_micros(lq.history_logs(preview_logs(spark, sf), "r1", 5000))
+    return with_micros(lq.history_logs(preview_logs(spark, sf), "r1", 500))
 
 
 @query("capture_report", o.chain(*o.LOGS, select="""
@@ -851,8 +851,8 @@ def top_classes(spark, sf):
 
 # --- streaming --------------------------------------------------------------
 
-def streamed_logs_table(spark, sf, files: int = 3):
-    """The packets put in ``files`` files by arrival, replayed as a stream."""
+def packet_files(spark, sf, files: int) -> str:
+    """The packets in ``files`` files by arrival."""
     bounds = views.packets(spark, sf).agg(F.min("seq").alias("lo"), F.max("seq").alias("hi")).first()
     step = (bounds["hi"] - bounds["lo"]) // files + 1
     source = new_table_path(spark, "stream")
@@ -860,15 +860,53 @@ def streamed_logs_table(spark, sf, files: int = 3):
         lo = bounds["lo"] + i * step
         part = views.packets(spark, sf).filter((F.col("seq") >= lo) & (F.col("seq") < lo + step))
         part.select(*PACKETS.names).coalesce(1).write.mode("append").parquet(source)
+    return source
+
+
+def live_detection(spark, sf) -> LiveDetection:
     base = new_table_path(spark, "live")
     sensors = views.packets(spark, sf).select("sensor_id").distinct()
     listed = sensors.withColumn("ip", F.explode(F.array(*[F.lit(ip) for ip in o.STATIC_BLOCKED])))
-    live = LiveDetection(spark, f"{base}/logs", f"{base}/state", score_columns=stub_scores(), blocked=listed)
-    run = start_detection(read_packet_stream(spark, source, 1), live, f"{base}/checkpoint", available_now=True)
-    run.awaitTermination(600)
-    if run.exception():
-        raise run.exception()
-    return current_logs(spark, f"{base}/logs")
+    return LiveDetection(spark, f"{base}/logs", f"{base}/state", score_columns=stub_scores(), blocked=listed)
+
+
+def streamed_logs_table(spark, sf, files: int = 3):
+    """The packets put in ``files`` files by arrival, replayed as a stream."""
+    live = live_detection(spark, sf)
+    finish(start_detection(read_packet_stream(spark, packet_files(spark, sf, files), 1), live, f"{live.state}/checkpoint", available_now=True))
+    return current_logs(spark, live.logs)
+
+
+@query("streamed_late_packets", o.chain(*o.REPLAY_LOGS, select="""
+SELECT 'logged' AS what, count(*) AS n FROM logs UNION ALL SELECT 'rejected', count(*) FILTER (seq % 10 = 0) FROM packets
+UNION ALL SELECT 'lost', 0 UNION ALL SELECT 'flow_packets', CAST(sum(flow_packet_count) AS BIGINT) FROM logs
+UNION ALL SELECT 'flow_bytes', CAST(sum(flow_byte_count) AS BIGINT) FROM logs"""))
+def streamed_late_packets(spark, sf):
+    """Every tenth packet sent twice, the second time out of order: what was
+    sent is logged or rejected, and flows count what is logged only."""
+    source = packet_files(spark, sf, 2)
+    again = views.packets(spark, sf).filter("seq % 10 = 0").select(*PACKETS.names)
+    again.coalesce(1).write.mode("append").parquet(source)
+    sent = spark.read.schema(PACKETS).parquet(source).count()
+    live = live_detection(spark, sf)
+    finish(start_detection(read_packet_stream(spark, source, 1), live, f"{live.state}/checkpoint", available_now=True))
+    logs = stored_logs(spark, live.logs)
+    rejected = spark.read.schema(PACKETS).parquet(f"{live.state}/rejects").count()
+    done = logs.agg(F.count(F.lit(1)).alias("logged"), F.sum("flow_packet_count").alias("fp"), F.sum("flow_byte_count").alias("fb"))
+    return done.select(F.stack(
+        F.lit(5), F.lit("logged"), F.col("logged"), F.lit("rejected"), F.lit(rejected).cast("long"),
+        F.lit("lost"), F.lit(sent).cast("long") - F.col("logged") - F.lit(rejected), F.lit("flow_packets"), F.col("fp"),
+        F.lit("flow_bytes"), F.col("fb")).alias("what", "n"))
+
+
+@query("streamed_again", o.chain(*o.REPLAY_LOGS, select=_LOG_SQL))
+def streamed_again(spark, sf):
+    """A batch that runs a second time leaves the log table as it was."""
+    live = live_detection(spark, sf)
+    rows = views.packets(spark, sf).select(*PACKETS.names)
+    live(rows, 0)
+    live(rows, 0)
+    return with_micros(stored_logs(spark, live.logs).select(*current_logs(spark, live.logs).columns))
 
 
 @query("streamed_logs", o.chain(*o.REPLAY_LOGS, select=_LOG_SQL))
@@ -890,7 +928,7 @@ def streamed_summary(spark, sf):
 
     run = (live_summary(read_log_stream(spark, stored), "5 seconds").writeStream.outputMode("update")
            .foreachBatch(keep).option("checkpointLocation", check).trigger(availableNow=True).start())
-    run.awaitTermination(300)
+    finish(run)
     last = spark.read.parquet(out).groupBy(F.unix_micros("window.start").alias("window_us")).agg(
         F.max_by(F.struct("packets", "alerts", "encrypted", "blocked"), "b").alias("v"))
     return last.select("window_us", "v.*")
@@ -905,7 +943,7 @@ def streamed_first_alerts(spark, sf):
     out, check = new_table_path(spark, "alerts"), new_table_path(spark, "alerts-check")
     run = (notify_once(read_log_stream(spark, stored)).writeStream.format("parquet").option("path", out)
            .option("checkpointLocation", check).trigger(availableNow=True).start())
-    run.awaitTermination(300)
+    finish(run)
     return spark.read.parquet(out).select("alert_key")
 
 
@@ -985,7 +1023,7 @@ def migrated_logs(spark, sf):
 SELECT CAST(id AS VARCHAR) AS id, source_ip, severity, action, reason FROM logs ORDER BY logs.id DESC LIMIT 5000"""))
 def exported_logs(spark, sf):
     path = new_table_path(spark, "export")
-    export_logs(preview_logs(spark, sf), path)
+    export_logs(preview_logs(spark, sf), path, 5000)
     return spark.read.csv(path, header=True).select("id", "source_ip", "severity", "action", "reason")
 
 
