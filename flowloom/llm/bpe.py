@@ -235,10 +235,15 @@ class Encoder:
         return [b"".join(x) for x in out]
 
 
-def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def _decoded(ids: bytes | None, tokens: list[str]) -> str:
+    return " ".join(map(tokens.__getitem__, np.frombuffer(ids or b"", "<u4").tolist()))
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
     """The columns ``keep`` with n_tokens and ids (binary, little-endian
     unsigned 32-bit numbers) of the whole text; a null or empty text has none.
-    Row by row: repeated rows are encoded alike, other columns are ignored."""
+    Row by row: repeated rows are encoded alike, other columns are ignored.
+    ``back`` adds ``decoded`` as ``decode`` does, from the ids, in one pass."""
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -247,12 +252,14 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, keep: tuple[str, ...] = ("do
         for whole in parts:
             for b in slim(whole, 500):
                 ids = encoder.encode([t or "" for t in b.column("text").to_pylist()])
-                yield pa.record_batch([*(b.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()),
-                                       pa.array(ids, pa.binary())], [*keep, "n_tokens", "ids"])
+                out = [*(b.column(c) for c in keep), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())]
+                if back:
+                    out.append(pa.array([_decoded(x, shared.value.tokens) for x in ids], pa.string()))
+                yield pa.record_batch(out, [*keep, "n_tokens", "ids", "decoded"][:len(out)])
 
     picked = docs.select(*[F.col(f"`{c}`") for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
     fields = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
-    return picked.mapInArrow(run, (fields + ", " if fields else "") + "n_tokens long, ids binary")
+    return picked.mapInArrow(run, (fields + ", " if fields else "") + "n_tokens long, ids binary" + ", decoded string" * back)
 
 
 def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -262,10 +269,9 @@ def decode(encoded: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     schema = encoded.select("*", F.lit("").alias("decoded")).schema
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token = shared.value.__getitem__
         for whole in parts:
             for b in slim(whole, 500):
-                text = [" ".join(map(token, np.frombuffer(x or b"", "<u4").tolist())) for x in b.column("ids").to_pylist()]
+                text = [_decoded(x, shared.value) for x in b.column("ids").to_pylist()]
                 yield b.append_column("decoded", pa.array(text, pa.string()))
 
     return encoded.mapInArrow(run, schema)

@@ -190,9 +190,23 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS, seed: int = 7) -> Model:
     return Model(langs, [Tree(gram[lang == x], n[lang == x].astype(float)) for x in langs])
 
 
-def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
-    """The columns ``keep`` of ``docs`` with lang_pred, score (0 to 1) and
-    bits_per_byte, from the whole text.
+def predictions(model: Model, texts: list[str | None]) -> list[tuple[str, float, float | None]]:
+    """(language, score, bits per byte) of each text."""
+    known = [bool(t) and bool(model.langs) and _LETTER.search(t) is not None for t in texts]
+    data = [_lowered(t) if k else b"" for t, k in zip(texts, known)]
+    out: list[tuple[str, float, float | None]] = []
+    for k, bits, text in zip(known, model.text_bits(data), data):
+        if not k:
+            out.append((UNDETERMINED, 0.0, None))
+            continue
+        best = int(bits.argmin())
+        out.append((model.langs[best], float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()), float(bits[best] / len(text))))
+    return out
+
+
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """(doc_id, lang_pred, score, bits_per_byte) of each row's whole text; the
+    score is from 0 to 1.
 
     The score is the language's posterior under equal priors. A text that is
     null, empty or without letters, or a model without languages, gives
@@ -202,22 +216,25 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
         for whole in parts:
             for b in slim(whole, 1000):
-                texts = b.column("text").to_pylist()
-                known = [bool(t) and bool(m.langs) and _LETTER.search(t) is not None for t in texts]
-                data = [_lowered(t) if k else b"" for t, k in zip(texts, known)]
-                bits = m.text_bits(data)
-                langs, scores, rate = [], [], []
-                for i, k in enumerate(known):
-                    best = int(bits[i].argmin()) if k else -1
-                    langs.append(m.langs[best] if k else UNDETERMINED)
-                    scores.append(float(1 / np.exp2(np.maximum(bits[i, best] - bits[i], -1000)).sum()) if k else 0.0)
-                    rate.append(float(bits[i, best] / len(data[i])) if k else None)
-                yield pa.record_batch([*(b.column(c) for c in keep), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
-                                       pa.array(rate, pa.float64())], [*keep, "lang_pred", "score", "bits_per_byte"])
-
-    picked = docs.select(*[F.col(f"`{c}`") for c in keep if c != "text"], F.col("text").cast("string").alias("text"))
-    fields = ", ".join(f"`{c}` {picked.schema[c].dataType.simpleString()}" for c in keep)
-    return picked.mapInArrow(run, (fields + ", " if fields else "") + "lang_pred string, score double, bits_per_byte double")
+                langs, scores, rates = zip(*predictions(shared.value, b.column("text").to_pylist()))
+                yield pa.record_batch([b.column("doc_id"), pa.array(langs, pa.string()), pa.array(scores, pa.float64()),
+                                       pa.array(rates, pa.float64())], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return picked.mapInArrow(run, "doc_id long, lang_pred string, score double, bits_per_byte double")
+
+
+def determined(docs: DataFrame, model: Model, least: float) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text has a language
+    of score ``least`` or more."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in parts:
+            for b in slim(whole, 1000):
+                good = [lang != UNDETERMINED and score >= least for lang, score, _ in predictions(shared.value, b.column("text").to_pylist())]
+                yield b.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -84,6 +84,11 @@ LABELLED = [
     <div class=newsletter data-y=0><p>Subscribe to our letter, and never miss a story.</p></div>
     <div class="share social" data-y=0><p>Share this.</p></div><div class=banner data-y=0><p>Sponsored text, paid for by someone.</p></div></body>""",
     """<body data-y=0><p data-y=1>A page with text only, and no parts that have names.</p><p data-y=1>It goes on for a while, as pages do.</p></body>""",
+    """<body data-y=0><header data-y=0><p>Site name, and a slogan.</p></header><nav data-y=0><ul><li><a>Home</a><li><a>News</a></ul></nav>
+    <article data-y=1><h1>Title</h1><p>First lines of it, as told.</p><div><p>More lines, in a box.</p></div></article>
+    <aside data-y=0><p>Other things, by the way.</p></aside><form data-y=0><label>Name</label><p>Send it, please.</p></form>
+    <footer data-y=0><p>The end, and who made it.</p></footer></body>""",
+    """<body data-y=0><main data-y=1><h2>Title</h2><p>First lines.</p><ul><li>A point, made.</ul></main><nav data-y=0><a>Next</a> <a>Last</a></nav></body>""",
     """<body><div data-y=1><p>Text in a plain box, which is all that there is.</p><h2>Part</h2><p>More of it, in the same box.</p></div>
     <div data-y=0><a>Home</a> <a>About</a> <a>Contact</a></div></body>""",
 ]
@@ -215,8 +220,9 @@ def features(n: Node) -> tuple[int, ...]:
         found.append("empty")
     else:
         found += ["links_most"] if n.linked > 0.6 * n.chars else ["links_some"] if n.linked > 0.2 * n.chars else []
-        found += ["short"] if n.chars < 40 else ["long"] if n.chars >= 200 else []
-        found += ["sentences"] if n.stops * 100 >= n.chars else []
+        if n.tag in LEAVES or n.tag == "#text":  # a box's amount of text says little
+            found += ["short"] if n.chars < 40 else ["long"] if n.chars >= 200 else []
+            found += ["sentences"] if n.stops * 100 >= n.chars else []
     return tuple(sorted({_AT[f] for f in found}))
 
 
@@ -313,7 +319,8 @@ def _evidence(source: str | None) -> Counter:
     out: Counter = Counter()
     for i, n in enumerate(page.nodes):
         if said[i] is not None:
-            out["n", ",".join(map(str, features(n))), said[i]] += 1
+            if not i or link_kind(page, i) < 2:  # else its parent explains it, not its own look
+                out["n", ",".join(map(str, features(n))), said[i]] += 1
             if n.parent >= 0 and said[n.parent] is not None:
                 out["p", f"{link_kind(page, i)},{said[n.parent]}", said[i]] += 1
     return out
@@ -325,7 +332,7 @@ def train(evidence: Counter) -> Model:
     hand: Counter = Counter()
     for source in LABELLED:
         hand.update(_evidence(source))
-    scale = {k: max(1.0, sum(n for e, n in evidence.items() if e[0] == k)) / sum(n for e, n in hand.items() if e[0] == k) for k in "np"}
+    scale = {k: max(1000.0, sum(n for e, n in evidence.items() if e[0] == k)) / sum(n for e, n in hand.items() if e[0] == k) for k in "np"}
     both: Counter = Counter({e: float(n) for e, n in evidence.items()})
     for e, n in hand.items():
         both[e] += n * scale[e[0]]

@@ -41,7 +41,7 @@ def op9_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.filter(~in_fold("doc_id", 4, 2)))
-    found = langid.identify(docs, model, keep=("doc_id",))
+    found = langid.identify(docs, model)
     return found.withColumn("held_out", in_fold("doc_id", 4, 2))
 
 
@@ -56,7 +56,7 @@ def vocabulary_path() -> str:
 @query
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary.load(vocabulary_path())
-    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    found = bpe.encode(table(spark, sf_dir, "documents"), vocabulary, back=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 

@@ -71,8 +71,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     ``radius`` bits are linked directly or through a common third."""
     if radius % 2:
         raise ValueError("radius must be even: each side flips half of it")
-    n = min(2 * shards(fps.sparkSession), 1 << 15)
-    half, block = radius // 2, 512
+    n = min(4 * shards(fps.sparkSession), 1 << 15)
+    half, block, most = radius // 2, 256, 1024
 
     def scatter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(half)
@@ -107,20 +107,21 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
         for b in parts:
             waiting.append(b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            if sum(map(len, waiting)) >= 4096:
-                values = np.concatenate(waiting)
-                for at in range(0, len(values), 4096):
-                    yield send(values[at:at + 4096])
-                waiting = []
-        if sum(map(len, waiting)):
-            yield send(np.concatenate(waiting))
+            values = np.concatenate(waiting)
+            full = len(values) // most * most
+            for at in range(0, full, most):
+                yield send(values[at:at + most])
+            waiting = [values[full:]]
+        if len(waiting[0]):
+            yield send(waiting[0])
 
     def meet(table: pa.Table) -> pa.Table:
         flips = masks(half)
         read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
         owner = np.repeat(read("fps", np.uint64), read("counts", np.uint16))
         variant = owner ^ flips[read("flips", np.uint16)]
-        ordered = np.sort(variant)
+        ordered = variant.copy()
+        ordered.sort()
         shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
         del ordered
         # A bitmap leaves few others than the shared ones for the exact look-up.

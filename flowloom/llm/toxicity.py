@@ -139,7 +139,8 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
     if not toxic:
         return Model((), np.zeros(len(KINDS) + 3) if not of_all else np.r_[-5.0, np.zeros(len(KINDS) + 2)])
     pure = words.filter((F.col("toxic") >= max(10, LEARNED_SHARE * toxic)) & (F.col("toxic") >= LEARNED_PURITY * F.col("n")) & (F.length("word") > 2))
-    learned = tuple(sorted(r["word"] for r in pure.collect()))  # at most 1 / LEARNED_SHARE of a text's length each
+    listed = Grammar().words
+    learned = tuple(sorted(r["word"] for r in pure.collect() if r["word"] not in listed))  # at most 1 / LEARNED_SHARE of a text's length each
     grammar = docs.sparkSession.sparkContext.broadcast(learned)
 
     def look(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -48,7 +48,9 @@ def test_forgetting_changes_nothing(library, vocabulary, monkeypatch):
 
 def test_tables(documents, library, vocabulary):
     rows = [(i, t) for i, t in enumerate(texts()[:12])] + [(None, "hello"), (3, None), (3, None)]
-    got = decode(encode(documents(rows), vocabulary), vocabulary).collect()
+    encoded = encode(documents(rows), vocabulary)
+    got = decode(encoded, vocabulary).collect()
+    assert sorted(map(str, got)) == sorted(map(str, encode(documents(rows), vocabulary, back=True).collect()))
     want = []
     for i, t in rows:
         ids = library.encode(t or "", add_special_tokens=False).ids

@@ -67,12 +67,12 @@ def test_prediction(documents):
     model = fit(documents(rows + [(90, None, "en"), (91, "x", None)], "doc_id long, text string, lang string"), rows=40)
     asked = [(1, "with that and the", "zz"), (2, "MIT DAS UND", None), (3, None, "en"), (4, "", "en"), (5, "12 !? 34", "en"), (5, "12 !? 34", "en"),
              (None, "der und " * 100_000, None)]
-    got = {(r.doc_id, r.lang_pred, r.score > 0.5) for r in identify(documents(asked, "doc_id long, text string, lang string"), model, ("doc_id",)).collect()}
+    got = {(r.doc_id, r.lang_pred, r.score > 0.5) for r in identify(documents(asked, "doc_id long, text string, lang string"), model).collect()}
     assert got == {(1, "en", True), (2, "de", True), (3, "und", False), (4, "und", False), (5, "und", False), (None, "de", True)}
 
 
 def test_empty(documents):
     none = documents([], "doc_id long, text string, lang string")
     model = fit(none)
-    assert identify(none, model, ("doc_id",)).collect() == []
-    assert identify(documents([(1, "abc", None)], "doc_id long, text string, lang string"), model, ("doc_id",)).first().lang_pred == "und"
+    assert identify(none, model).collect() == []
+    assert identify(documents([(1, "abc", None)], "doc_id long, text string, lang string"), model).first().lang_pred == "und"
