@@ -75,18 +75,19 @@ def fit_scaler(df: DataFrame, columns: Sequence[str]) -> Scaler:
     return Scaler({r["feature"]: r["mean"] for r in rows}, {r["feature"]: r["std"] for r in rows})
 
 
-def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins: int = 20) -> DataFrame:
+def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins: int = 20,
+                       edges: dict[str, Sequence[float]] | None = None) -> DataFrame:
     """Mutual information (nats) of each binned feature with the class.
 
-    Features are cut at approximate quantiles. Only counts per (feature, bin,
+    Features are cut at the given edges, or at approximate quantiles. Only counts per (feature, bin,
     class) are shuffled, after partial counting in each task.
     """
     probs = [i / bins for i in range(1, bins)]
-    cuts = df.approxQuantile(list(columns), probs, 0.001)
+    cuts = [edges[c] for c in columns] if edges else df.approxQuantile(list(columns), probs, 0.001)
     binned = []
-    for name, edges in zip(columns, cuts):
+    for name, inner in zip(columns, cuts):
         value = F.col(name).cast("double")
-        above = [(value > F.lit(e)).cast("int") for e in sorted(set(edges))]
+        above = [(value > F.lit(e)).cast("int") for e in sorted(set(inner))]
         binned.append(F.struct(F.lit(name).alias("feature"), reduce(add, above, F.lit(0)).alias("bin")))
     counts = (
         df.select(F.col(label).alias("cls"), F.explode(F.array(*binned)).alias("b"))

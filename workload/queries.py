@@ -20,7 +20,7 @@ from flowloom.runtime import new_table_path, write_table
 from flowloom.schemas import PACKETS
 from flowloom.sources.captures import capture_filter, read_captures
 from flowloom.sources.flows import read_flows, write_unified
-from flowloom.sources.logstore import append_logs, current_logs, export_logs, load_logs, stored_logs
+from flowloom.sources.logstore import append_logs, clear_logs, compact_logs, current_logs, export_logs, load_logs, stored_logs
 from flowloom.sources.models import ModelBundle, load_models, save_models
 from flowloom.streaming.flow_state import read_packet_stream
 from flowloom.streaming.live import LiveDetection, finish, live_summary, notify_once, read_log_stream, start_detection
@@ -229,6 +229,70 @@ def two_stage_detections(spark, sf):
     return views.packets(spark, sf).withColumns(stub_scores()).select("seq", *scoring.RESULT)
 
 
+class FixedModel:
+    """A model whose probabilities are stated expressions, so that SQL can
+    repeat the whole of the scoring operators around it."""
+
+    def __init__(self, classes, *probabilities: str):
+        self.classes, self._p = list(classes), probabilities
+
+    def probabilities(self, rows: DataFrame, out: str) -> DataFrame:
+        return rows.withColumn(out, F.array(*[F.expr(f"CAST({p} AS DOUBLE)") for p in self._p]))
+
+    feature_columns = None
+
+    def accepts(self, columns) -> bool:
+        return False
+
+
+_MAL = "(rid % 101) / 100e0"
+_KINDS = ("(rid % 11) / 10e0", "(rid % 5) / 10e0", "(rid % 3) / 10e0")
+_BEST = """CASE WHEN {0} >= {1} AND {0} >= {2} THEN '{3}' WHEN {1} >= {2} THEN '{4}' ELSE '{5}' END"""
+
+
+@query("scored_two_stage", o.chain(o.FLOWS, f"""p AS (SELECT rid, {_MAL} AS m, greatest({', '.join(_KINDS)}) AS top,
+ {_BEST.format(*_KINDS, 'DDoS', 'PortScan', 'Bot')} AS kind FROM flows_raw)""", """q AS (SELECT rid, CASE WHEN m > 1 - m THEN 'MALICIOUS' ELSE 'BENIGN' END AS lab,
+ round(m * 100, 2) AS mal, round(greatest(m, 1 - m) * 100, 2) AS conf, kind, round(top * 100, 2) AS kconf FROM p)""",
+    "r AS (SELECT *, lab = 'BENIGN' OR mal < 65 AS benign FROM q)", select="""
+SELECT rid, CASE WHEN benign THEN 'Benign' WHEN kconf < 85 THEN 'Suspicious' ELSE kind END AS det_prediction,
+ CASE WHEN benign THEN 'None' WHEN kconf < 85 THEN 'Suspicious' ELSE kind END AS det_threat, CASE WHEN benign THEN conf ELSE kconf END AS det_confidence,
+ lab AS det_binary_label, CASE WHEN NOT benign THEN kind END AS det_attack_label, mal AS det_binary_confidence FROM r"""))
+def scored_two_stage(spark, sf):
+    """``score_two_stage`` with stated probabilities; stage 2 sees what stage 1 leaves over."""
+    rows = views.flows_raw(spark, sf).select("rid")
+    binary = FixedModel(("BENIGN", "MALICIOUS"), f"1 - {_MAL}", _MAL)
+    done = scoring.score_two_stage(rows, binary, FixedModel(("DDoS", "PortScan", "Bot"), *_KINDS))
+    return done.select("rid", *scoring.RESULT)
+
+
+@query("scored_single", o.chain(o.FLOWS, f"""p AS (SELECT rid, round(greatest({', '.join(_KINDS)}) * 100, 2) AS conf,
+ {_BEST.format(*_KINDS, 'BENIGN', 'DDoS', 'PortScan')} AS lab FROM flows_raw)""", select="""
+SELECT rid, CASE WHEN lab = 'BENIGN' THEN 'Benign' ELSE lab END AS det_prediction, CASE WHEN lab = 'BENIGN' THEN 'None' ELSE lab END AS det_threat,
+ conf AS det_confidence, lab AS det_binary_label, CASE WHEN lab <> 'BENIGN' THEN lab END AS det_attack_label, conf AS det_binary_confidence FROM p"""))
+def scored_single(spark, sf):
+    rows = views.flows_raw(spark, sf).select("rid")
+    return scoring.score_single(rows, FixedModel(("BENIGN", "DDoS", "PortScan"), *_KINDS)).select("rid", *scoring.RESULT)
+
+
+@query("malicious_confidences", o.chain(o.FLOWS, select=f"""
+SELECT rid, round({_MAL} * 100, 2) AS two, round({_MAL} * 100, 2) AS named, round(greatest({_MAL}, 1 - {_MAL}) * 100, 2) AS best,
+ CASE WHEN rid % 2 = 0 THEN 'BENIGN' ELSE 'DDoS' END AS label, CAST(rid % 2 AS VARCHAR) AS bare FROM flows_raw"""))
+def malicious_confidences(spark, sf):
+    """The malicious class by name, by position, and without classes; label decoding."""
+    prob = F.array(F.expr(f"1 - {_MAL}"), F.expr(_MAL))
+    turned = F.array(F.expr(_MAL), F.expr(f"1 - {_MAL}"))
+    return views.flows_raw(spark, sf).select(
+        "rid", scoring.malicious_confidence(prob, ("benign", "0")).alias("two"), scoring.malicious_confidence(turned, ("DDoS", "BENIGN")).alias("named"),
+        scoring.malicious_confidence(prob, None).alias("best"), scoring.decode_label(F.col("rid") % 2, ("BENIGN", "DDoS")).alias("label"),
+        scoring.decode_label(F.col("rid") % 2, None).alias("bare"))
+
+
+@query("fallback_decisions", o.chain(*o.METADATA_DECISIONS, select=_DECISION_SQL))
+def fallback_decisions(spark, sf):
+    """A model that lacks a feature leaves the decision to the metadata rules."""
+    return decide_packets(views.packets(spark, sf), RATED, scorer=FixedModel(())).select(*_DECISION)
+
+
 @query("inference_scaling", o.chain(*o.FEATURES, select=f"""
 SELECT seq, flow_duration * 1e6 AS flow_duration, {o.r3('time_diff * 1e6')} AS iat,
  {o.r3('total_packets / (flow_duration + 1e-6)')} AS flow_rate,
@@ -774,6 +838,9 @@ def scaler_statistics(spark, sf):
     return stats.select("feature", half_up(F.col("mean"), 3).alias("mean"), half_up(F.col("std"), 3).alias("std"))
 
 
+_EDGES = {"dst_port": (50, 100), "ttl": (64, 100), "total_packets": (5, 10, 20, 40)}
+
+
 @query("mutual_information", o.chain(*o.CLEAN, "counts AS (" + " UNION ALL ".join(
     f"SELECT '{c}' AS feature, {c} AS bin, binary_label AS cls, count(*) AS n FROM clean GROUP BY ALL"
     for c in ("dst_port", "protocol", "ttl", "total_packets")) + ")", select="""
@@ -849,6 +916,19 @@ def top_classes(spark, sf):
     return top.select("rid", (F.col("place") + 1).alias("place"), "t.label", "t.probability")
 
 
+@query("mutual_information_binned", o.chain(*o.CLEAN, "counts AS (" + " UNION ALL ".join(
+    f"SELECT '{c}' AS feature, {' + '.join(f'CASE WHEN {c} > {e} THEN 1 ELSE 0 END' for e in _EDGES[c])} AS bin, binary_label AS cls, count(*) AS n FROM clean GROUP BY ALL"
+    for c in _EDGES) + ")", select="""
+SELECT feature, floor(greatest(sum(part), 0) * 1e6 + 0.5e0) / 1e6 AS mi FROM (SELECT feature,
+ n / sum(n) OVER f * ln(n * sum(n) OVER f / (sum(n) OVER b * CAST(sum(n) OVER c AS DOUBLE))) AS part FROM counts
+ WINDOW f AS (PARTITION BY feature), b AS (PARTITION BY feature, bin), c AS (PARTITION BY feature, cls)) GROUP BY 1"""))
+def mutual_information_binned(spark, sf):
+    """The operator itself, with given edges instead of quantiles."""
+    rows = prep.clean(unified(spark, sf))
+    found = training.mutual_information(rows, tuple(_EDGES), "binary_label", edges=_EDGES)
+    return found.withColumn("mi", half_up(F.col("mi"), 6))
+
+
 # --- streaming --------------------------------------------------------------
 
 def packet_files(spark, sf, files: int) -> str:
@@ -973,6 +1053,51 @@ def capped_captures(spark, sf):
         F.count(F.lit(1)).alias("packets"))
 
 
+@query("some_csv_flows", o.chain(o.FLOWS, select="""
+SELECT ds, CASE ds WHEN 0 THEN count(*) ELSE least(count(*), 100) END AS n FROM flows_raw WHERE ds IN (0, 3) GROUP BY 1"""))
+def some_csv_flows(spark, sf):
+    """The first two files of a folder of two, and any hundred rows of another."""
+    flows = views.flows_raw(spark, sf)
+    first, rest = files.write_csv(raw_cic(flows).repartition(2), "cic", True), files.write_csv(raw_iot(flows), "iot")
+    one = read_flows(spark, "cic", f"{first}/*.csv", max_files=2)
+    some = read_flows(spark, "iot", f"{rest}/*.csv", limit_rows=100)
+    return one.agg(F.lit(0).alias("ds"), F.count(F.lit(1)).alias("n")).unionByName(some.agg(F.lit(3).alias("ds"), F.count(F.lit(1)).alias("n")))
+
+
+@query("cleared_logs", o.chain(*o.LOGS, select="SELECT id, severity FROM logs WHERE id % 2 = 0"))
+def cleared_logs(spark, sf):
+    """A log table filled, emptied, and filled again with every second row."""
+    logs, path = preview_logs(spark, sf), new_table_path(spark, "cleared")
+    append_logs(logs, path, 1)
+    clear_logs(spark, path)
+    append_logs(logs.filter("id % 2 = 0"), path, 2)
+    return current_logs(spark, path).select("id", "severity")
+
+
+@query("compacted_logs", o.chain(*o.LOGS, select="""
+SELECT id, CASE WHEN id % 10 = 0 THEN 'review' ELSE action END AS action, severity FROM logs"""))
+def compacted_logs(spark, sf):
+    """Two versions of a tenth of the logs, compacted, read by date."""
+    logs, path = preview_logs(spark, sf), new_table_path(spark, "to-compact")
+    append_logs(logs, path, 1)
+    append_logs(logs.filter(F.col("id") % 10 == 0).withColumn("action", F.lit("review")), path, 2)
+    compact_logs(spark, path, f"{path}-compacted")
+    days = logs.agg(F.to_date(F.min("timestamp")), F.to_date(F.max("timestamp"))).first()
+    return current_logs(spark, f"{path}-compacted", *days).select("id", "action", "severity")
+
+
+@query("block_commands", o.chain(*o.BASE, select="""
+SELECT DISTINCT ip, 'command' AS reason FROM (VALUES ('10.0.0.7'), ('2001:db8::1')) t(ip), packets"""))
+def block_commands(spark, sf):
+    """Blocks and an unblock by command, on top of a log of changes; texts are normalised."""
+    day = lambda n: dt.datetime(2024, 1, n)
+    seen = views.packets(spark, sf).filter("destination_ip = '10.0.0.8'").select(
+        F.col("destination_ip").alias("ip"), F.lit("block").alias("op"), F.lit("seen").alias("reason"), F.lit(day(1)).alias("at")).distinct()
+    changes = (seen.unionByName(response.block(spark, "10.0.0.7", "command", day(2))).unionByName(response.block(spark, "2001:0DB8:0::1", "command", day(2)))
+               .unionByName(response.unblock(spark, "10.0.0.8", day(3))))
+    return response.blocklist(changes).select("ip", "reason")
+
+
 @query("csv_flows", o.chain(*o.UNIFIED, select="FROM unified"))
 def csv_flows(spark, sf):
     """All datasets written as CSV and read back by name."""

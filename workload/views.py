@@ -13,7 +13,7 @@ EV_DUCK = """SELECT *, epoch_us(ts) AS us,
  CAST(regexp_extract(props, '[0-9]+', 0) AS INT) AS k FROM events"""
 
 PACKETS = """SELECT event_id AS seq, 's' || CAST(user_id % 3 AS STRING) AS sensor_id,
- 'r' || CAST(CAST(floor(event_id / 50000) AS BIGINT) AS STRING) AS session_id,
+ 'r' || CAST(CAST(floor(event_id / 5000) AS BIGINT) AS STRING) AS session_id,
  1704067200000000 + CAST(floor((us - 1704067200000000) / 100000) AS BIGINT) AS ts_us,
  us AS event_us,
  CASE WHEN event_id % 211 = 0 THEN NULL ELSE '10.0.0.' || CAST(user_id % 97 AS STRING) END AS source_ip,
