@@ -32,7 +32,7 @@ from flowloom.runtime import write_table
 
 ORDER = 3
 BUCKETS = 12          # of log2 of the longest context's count; 0: not seen
-CELL, CELLS = 8, 512  # histogram cells in an octave of probability, and in all
+CELL, CELLS = 4, 256  # histogram cells in an octave of probability, and in all
 BLOCK_BYTES = 8 << 20 # text of a block, about; a longer text is a block of its own
 COUNTED, WEIGHED, TESTED = 0, 1, 2
 END = np.uint64(0x5AFE0E4D5AFE0E4D)
