@@ -19,7 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import encoded, mix, shards, slim
+from flowloom.llm.common import encoded, mix, pack, shards, slim, unpack
 from flowloom.llm.components import components
 from flowloom.runtime import write_table
 
@@ -66,13 +66,19 @@ def _shard(variants: np.ndarray, n: int) -> np.ndarray:
     return ((mix(variants) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16)
 
 
+def _rising(data: bytes) -> np.ndarray:
+    """Flip numbers from their differences, low bytes before high bytes."""
+    steps = np.ascontiguousarray(unpack(data, np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
+    return np.cumsum(steps, dtype=np.uint16)
+
+
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
     """Distinct fingerprints (fp) to links (a, b): both ends of each pair within
     ``radius`` bits are linked directly or through a common third."""
     if radius % 2:
         raise ValueError("radius must be even: each side flips half of it")
-    n = min(4 * shards(fps.sparkSession), 1 << 15)
-    half, block, most = radius // 2, 256, 1024
+    n = min(2 * shards(fps.sparkSession), 1 << 15)
+    half, block, most = radius // 2, 256, 2048
 
     def scatter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         flips = masks(half)
@@ -100,8 +106,8 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
                 first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
                 shard.append(k)
                 fp.append(values[own[first]].tobytes())
-                count.append(np.diff(np.append(first, b - a)).astype(np.uint16).tobytes())
-                flip.append(f[a:b].tobytes())
+                count.append(pack(np.diff(np.append(first, b - a)).astype(np.uint16)))
+                flip.append(pack(np.ascontiguousarray(np.diff(f[a:b], prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T)))
             return pa.record_batch([pa.array(shard, pa.int32()), pa.array(fp, pa.binary()), pa.array(count, pa.binary()),
                                     pa.array(flip, pa.binary())], ["shard", "fps", "counts", "flips"])
 
@@ -117,9 +123,10 @@ def links(fps: DataFrame, radius: int = 4) -> DataFrame:
 
     def meet(table: pa.Table) -> pa.Table:
         flips = masks(half)
-        read = lambda name, kind: np.concatenate([np.frombuffer(x.as_py(), kind) for x in table.column(name)])
-        owner = np.repeat(read("fps", np.uint64), read("counts", np.uint16))
-        variant = owner ^ flips[read("flips", np.uint16)]
+        column = lambda name: table.column(name).to_pylist()
+        counts = np.concatenate([unpack(x, np.uint16) for x in column("counts")])
+        owner = np.repeat(np.concatenate([np.frombuffer(x, np.uint64) for x in column("fps")]), counts)
+        variant = owner ^ flips[np.concatenate([_rising(x) for x in column("flips")])]
         ordered = variant.copy()
         ordered.sort()
         shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])

@@ -38,7 +38,8 @@ LENGTH, GRAM = 50, 20
 REACH = LENGTH - GRAM + 1          # windows that one anchor can have: fits 32 bits
 ROW = LENGTH + 1 + REACH - 1 + 1   # right part, its length, left part backwards, its length
 MANY = 4096                        # contexts from which on an anchor's windows go by content
-PIECE = 1 << 20
+PIECE = 1 << 19
+FINER = 4                          # blocks for each shard
 NO_ID = np.iinfo(np.int64).max
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -333,14 +334,14 @@ def repeated_passages(docs: DataFrame, whole_characters: bool = False, many: int
     table ``suffix_blocks_*``, as long as the result is read from them.
     """
     spark = docs.sparkSession
-    n = min(shards(spark), 1 << 15)
-    keys = spread_keys(spark, n)
+    n = min(shards(spark), 1 << 13)
+    keys, homes = spread_keys(spark, n), spread_keys(spark, FINER * n)
     others = [c for c in docs.columns if c not in ("doc_id", "text")]
     rest = F.struct(*[F.col(f"`{c}`") for c in others]) if others else F.struct(F.lit(None).cast("string").alias("none"))
     dealt = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), rest.alias("rest"))
-    dealt = dealt.withColumn("block", as_key(F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)), keys))
+    dealt = dealt.withColumn("block", as_key(F.pmod(F.xxhash64("doc_id", "text"), F.lit(FINER * n)), homes))
     name = f"suffix_blocks_{uuid.uuid4().hex}"
-    dealt.repartition(n, "block").write.option("compression", "zstd").bucketBy(n, "block").saveAsTable(name)
+    dealt.repartition(FINER * n, "block").write.option("compression", "zstd").bucketBy(FINER * n, "block").saveAsTable(name)
     blocks = spark.table(name)
 
     def send_anchors(table: pa.Table) -> pa.Table:
