@@ -25,6 +25,7 @@ PCAP_MAGICS = {b"\xd4\xc3\xb2\xa1": ("<", 1), b"\xa1\xb2\xc3\xd4": (">", 1),
                b"\x4d\x3c\xb2\xa1": ("<", 1000), b"\xa1\xb2\x3c\x4d": (">", 1000)}
 PCAPNG_MAGIC = b"\x0a\x0d\x0d\x0a"
 BLOCK_SECTION, BLOCK_INTERFACE, BLOCK_PACKET = 0x0A0D0D0A, 1, 6
+BLOCKS_UNREAD = (2, 3)  # packet blocks without time or of old captures
 LINK_NULL, LINK_ETHERNET, LINK_RAW, LINK_SLL = 0, 1, 101, 113
 RAW_LINKS = (12, 14, LINK_RAW, 228, 229)
 ETHER_IPV4, ETHER_IPV6, ETHER_ARP = 0x0800, 0x86DD, 0x0806
@@ -85,18 +86,22 @@ def _resolution(options: bytes, order: str) -> int:
 def _records(f: _File, start: int, stop: int, about: dict) -> Iterator[_Record]:
     """Packet records in a stretch of a file. ``about`` carries byte order and
     interfaces, and is kept up to date as blocks are passed. A record cut off by
-    the end of the file ends the stretch."""
+    the end of the file ends the stretch, at offset ``about["at"]``; packet
+    blocks of kinds that are not read are counted in ``about["unread"]``."""
     at = start
     if about["format"] == "pcap":
         order, ticks = about["order"], about["ticks"]
         while at + 16 <= stop:
+            about["at"] = at
             sec, sub, size, _ = struct.unpack(order + "IIII", f.read(at, 16))
             if at + 16 + size > f.size:
                 return
             yield _Record(at, at + 16 + size, at + 16, size, sec * 1_000_000 + sub // ticks, about["link"])
             at += 16 + size
+        about["at"] = at
         return
     while at + 12 <= stop:
+        about["at"] = at
         head = f.read(at, 12)
         if head[:4] == PCAPNG_MAGIC:
             about["order"] = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
@@ -114,7 +119,10 @@ def _records(f: _File, start: int, stop: int, about: dict) -> Iterator[_Record]:
             link, ticks = about["links"][which]
             stamp = ((high << 32) | low) * 1_000_000 // ticks
             yield _Record(at, at + size, at + 28, length, stamp, link)
+        elif kind in BLOCKS_UNREAD:
+            about["unread"] = about.get("unread", 0) + 1
         at += size
+    about["at"] = at
 
 
 def _open(path: str) -> tuple[_File, int, dict] | None:
@@ -153,6 +161,34 @@ def _index(limit: int | None, chunk_packets: int, chunk_bytes: int):
     return index
 
 
+def _faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = []
+        for path in batch["path"]:
+            opened = _open(path)
+            if opened is None:
+                out.append((path, 0, "unknown format"))
+                continue
+            f, start, about = opened
+            about["at"] = start
+            for _ in _records(f, start, f.size, about):
+                pass
+            if about["at"] < f.size:
+                out.append((path, about["at"], "cut off or corrupt from here on"))
+            if about.get("unread"):
+                out.append((path, 0, f"{about['unread']} packet blocks of a kind that is not read"))
+            f.close()
+        yield pd.DataFrame(out, columns=["path", "at", "reason"])
+
+
+def capture_rejects(spark: SparkSession, path: str) -> DataFrame:
+    """(path, at, reason): capture files below a folder that are not read, or
+    not to their end. One pass over the record headers."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
+    wanted = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)
+    return files.filter(wanted).repartition("path").mapInPandas(_faults, "path string, at bigint, reason string")
+
+
 def _be(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     """Big-endian unsigned numbers of n bytes at the given places."""
     out = np.zeros(len(at), dtype=np.int64)

@@ -1,5 +1,6 @@
 import os
 import sys
+import tempfile
 
 import pytest
 
@@ -11,6 +12,7 @@ from flowloom.runtime import build_session  # noqa: E402
 @pytest.fixture(scope="session")
 def spark():
     session = build_session("tests", "local[*]", **{
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="tests-"), "spark.sql.warehouse.dir": tempfile.mkdtemp(prefix="tests-"),
         "spark.sql.shuffle.partitions": "2", "spark.driver.memory": "4g", "spark.ui.showConsoleProgress": "false",
         "spark.sql.sources.parallelPartitionDiscovery.parallelism": "4"})
     session.sparkContext.setLogLevel("ERROR")

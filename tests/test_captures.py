@@ -3,7 +3,7 @@ import struct
 import pytest
 
 from flowloom.operators import features as feat
-from flowloom.sources.captures import capture_filter, read_captures
+from flowloom.sources.captures import capture_filter, capture_rejects, read_captures
 
 
 def ethernet(kind, body, vlan=False):
@@ -88,12 +88,18 @@ def test_all_formats(spark, folder, chunk):
 def test_limit_and_cut_off_file(spark, folder):
     write_pcap(f"{folder}/a.pcap", [PACKETS[0][0]] * 20)
     assert read_captures(spark, folder, packet_limit=5, chunk_packets=3).count() == 5
-    assert read_captures(spark, folder, packet_limit=0).count() == 1
+    with pytest.raises(ValueError):
+        read_captures(spark, folder, packet_limit=0)
+    assert read_captures(spark, folder, packet_limit=60_000).count() == 20
     with open(f"{folder}/a.pcap", "rb") as f:
         whole = f.read()
     with open(f"{folder}/b.pcap", "wb") as f:
         f.write(whole[:-10])
     assert read_captures(spark, folder).count() == 39
+    with open(f"{folder}/c.pcap", "wb") as f:
+        f.write(b"\x00\x01")
+    found = {(r.path.rsplit("/", 1)[1], r.at > 0) for r in capture_rejects(spark, folder).collect()}
+    assert found == {("b.pcap", True), ("c.pcap", False)}
 
 
 def test_filter_comes_before_running_features(spark, folder):

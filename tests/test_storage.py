@@ -62,7 +62,8 @@ def test_export(spark, folder):
 def test_limits_and_blank_labels(spark):
     logs = frame(spark, [log(i, attack_label="", prediction="Unknown", severity="low") for i in range(1, 8)])
     assert [r.id for r in lq.recent_logs(logs, 3).collect()] == [5, 6, 7]
-    assert lq.recent_logs(logs, -4).count() == 1
+    with pytest.raises(ValueError):
+        lq.recent_logs(logs, -4)
     assert lq.recent_logs(logs, 1).first().reason == "model_uncertain_attack"
     assert lq.summary(logs).first().alerts == 7  # a blank label is a label there
     assert lq.summary(logs.limit(0)).first().packets == 0
