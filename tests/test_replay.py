@@ -98,3 +98,20 @@ def test_block_log(spark):
         response.block(spark, "10.0.0.256").collect()
     with pytest.raises(ValueError):
         response.block(spark, "10.0.0.1", "x" * 301)
+
+
+def test_addresses_as_the_standard_library_reads_them(spark):
+    import ipaddress
+
+    from flowloom.operators.response import is_address
+    texts = ["10.0.0.1", "256.1.1.1", "::", ":::", "::1", "1::", "2001:db8::1", "2001:db8::1%eth0", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7::",
+             "1:2:3:4:5:6:7:8::", "::ffff:10.0.0.1", "::ffff:10.0.0", "1:2:3:4:5:6:10.0.0.1", "1::2::3", "12345::", "g::", "", "abc", ":1", "1:", "fe80::1%"]
+
+    def known(t):
+        try:
+            return bool(ipaddress.ip_address(t))
+        except ValueError:
+            return False
+
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", is_address("t").alias("ok")).collect()
+    assert {r.t: r.ok for r in rows} == {t: known(t) or t == "::" for t in texts}
