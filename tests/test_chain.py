@@ -174,3 +174,14 @@ def test_address_and_endpoint(spark):
     assert all(r.got == r.want for r in df.withColumn("got", net.normalise_ip("ip")).collect())
     ends = spark.createDataFrame([("a", 1, "a:1"), ("a", 0, "a"), ("a", None, "a"), (None, 5, "-"), ("", 5, "-")], "ip string, port int, want string")
     assert all(r.got == r.want for r in ends.withColumn("got", net.endpoint("ip", "port")).collect())
+
+
+def test_only_large_keys_are_cut(spark):
+    """Small keys stay whole, and what is carried is a few rows for each slice."""
+    from flowloom.operators.history import with_history
+    big = spark.range(2000).selectExpr("'big' AS k", "id * 3 AS seq", "CAST(id AS INT) AS v")
+    small = spark.range(1000).selectExpr("'k' || id % 100 AS k", "id AS seq", "CAST(id AS INT) AS v")
+    rows = with_history(big.unionByName(small), ["k"], "seq", 5, 100, keep=["v"]).collect()
+    carried = [r for r in rows if r._carried]
+    assert len(rows) - len(carried) == 3000 and {r.k for r in carried} == {"big"} and len(carried) == 5 * 19
+    assert {r._slice for r in rows if r.k != "big"} == {0} and {r._slice for r in rows if r.k == "big"} == set(range(20))
