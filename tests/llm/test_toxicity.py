@@ -66,3 +66,29 @@ def test_empty(documents, spark):
     assert scores(documents([(1, "x")]), fit(documents([(1, "x")]), none.union(spark.createDataFrame([(1, None)], "doc_id long, toxic int")))).first().predicted in (0, 1)
     assert fit(documents([(1, "x")]), spark.createDataFrame([(1, 0)], "doc_id long, toxic int")).weights[0] < 0
     assert F is not None
+
+
+def test_recall_of_each_language_on_held_out_rows(documents, spark):
+    """Insults of small languages are in few of all toxic texts, and in no list."""
+    rng = random.Random(3)
+    size = {"en": 600, "fr": 160, "de": 120, "es": 80}
+    prose = {k: [f"{k}word{i}" for i in range(60)] for k in size}
+    bad = {k: [f"{k}bad{i}" for i in range(4)] if k != "en" else ["idiot", "scum", "trash"] for k in size}
+    rows, labels, lang = [], [], {}
+    for k, n in size.items():
+        for j in range(n):
+            i, toxic = len(rows), j % 5 == 0
+            words = [rng.choice(prose[k]) for _ in range(30)]
+            for _ in range(3 * toxic):
+                words.insert(rng.randrange(len(words)), rng.choice(bad[k]))
+            rows.append((i, " ".join(words)))
+            labels.append((i, int(toxic)))
+            lang[i] = k
+    held = {i for i in lang if (i // 5) % 4 == 0}
+    model = fit(documents([r for r in rows if r[0] not in held]), spark.createDataFrame([y for y in labels if y[0] not in held], "doc_id long, toxic int"))
+    said = {r.doc_id: r.predicted for r in scores(documents([r for r in rows if r[0] in held]), model).collect()}
+    for k in size:
+        hit = [said[i] for i, y in labels if y and i in held and lang[i] == k]
+        assert len(hit) >= 4 and sum(hit) >= 0.75 * len(hit), (k, hit)
+    clean = [said[i] for i, y in labels if not y and i in held]
+    assert sum(clean) <= 0.02 * len(clean)
