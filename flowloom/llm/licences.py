@@ -3,11 +3,18 @@
 An entire text is brought to a canonical form (case, copyright lines,
 equivalent spellings, punctuation, white space) and hashed; the digest is
 joined with the digests of known licence texts, made in the same way. All of
-it is built-in SQL functions, so ``canonical`` serves Spark and DuckDB alike.
+it is built-in SQL functions. ``digest`` is of ``canonical``, which serves Spark
+and DuckDB alike; the licence is looked up by ``stripped``, which also drops an
+optional title, list marks and copyright lines of any form. The SQL for checks
+is as it was: it knows the short texts only, and by ``canonical``.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 # --- Fixed values: spellings that licence texts use for the same word --------
@@ -49,8 +56,8 @@ distribute{} copies of the Software, and to permit persons to whom the Software
 """ + _WARRANTY.format("THE SOFTWARE IS")
 _ISC = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted{}.\n" + _ISC_WARRANTY
 
-# Known texts, by SPDX identifier.
-KNOWN = {
+# Short texts, by SPDX identifier.
+_SHORT = {
     "MIT": _MIT.format(", sublicense, and/or sell", """, subject to the following conditions:
 The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."""),
     "MIT-0": _MIT.format(", sublicense, and/or sell", "."),
@@ -81,6 +88,9 @@ http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT
 WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations
 under the License.""",
+}
+# Only in the SQL for checks: single lines are no licence texts.
+_SQL_LINES = {
     "Apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
@@ -99,31 +109,77 @@ def canonical(text: str, duck: bool = False) -> str:
     return f"nullif(trim({sql}), '')"
 
 
+# Words after "copyright" at a line's start that belong to a wrapped sentence.
+_SENTENCE = """notices?|holders?|owners?|laws?|licen[cs]es?|and|or|in|on|of|is|as|interests?|rights?|treaty|treaties|statements?|protection|disclaimer|
+ permission|to|that|which|are|under|for|if|from|with|act|infringement|claims?|status|material|notwithstanding|you|therein|resulting|does|can|may|will""".replace("\n", "").replace(" ", "")
+# A title is a line of these words alone.
+_TITLE = """the|a|an|mit|mit-0|expat|x11|isc|zlib|libpng|bsd|0bsd|[0-9](-clause)?|clause|two|three|new|revised|modified|simplified|free|zero|no|attribution|
+ unlicense|licen[cs]e|software|permissive|or|style""".replace("\n", "").replace(" ", "")
+_STRIP = (
+    (r"\r\n?", "\\n"),
+    (r"(?m)^[^a-z0-9\n]*(?:\(c\)[ \t]*(?:[0-9]{4}|copyright)|©|copyright(?:ed)?[ \t]*:?(?=[ \t]+[^ \t\n])(?![ \t]+(?:%s)\b))[^\n]*$" % _SENTENCE, ""),
+    (r"(?m)^[^a-z0-9\n]*all rights reserved[^\n]*$", ""),
+    (r"\A[^a-z0-9]*+(?:(?:(?:%s)\b[^a-z0-9\n]*+){1,12}\n[^a-z0-9]*+){1,3}" % _TITLE, ""),
+    (r"(?m)^[^a-z0-9\n]*(?:[0-9]{1,2}[.)]|[a-z]\)|[ivx]{1,5}\))[ \t]+", ""),
+)
+
+
+def _texts() -> dict[str, str]:
+    """Known texts by SPDX identifier; what follows a # in a name is a variant."""
+    out = dict(_SHORT)
+    for path in sorted((Path(__file__).parent / "licence_texts").glob("*.txt")):
+        out[path.stem] = text = path.read_text("utf-8")
+        end = text.upper().find("END OF TERMS AND CONDITIONS")
+        if end > 0:  # often left out: what follows the terms
+            out[f"{path.stem}#terms"] = text[:end]
+            out[f"{path.stem}#terms-end"] = text[:end + len("END OF TERMS AND CONDITIONS")]
+    return out
+
+
+KNOWN = _texts()
+ONE_OF = ("warrant", "gnu")  # each known text has one of these, and the changes of form make none
+
+
+def stripped(text: str) -> str:
+    """SQL (Spark's) of the form that licences are looked up by: the canonical
+    text without a title line, list marks and copyright lines."""
+    sql = f"lower({text})"
+    for pattern, by in _STRIP:
+        sql = f"regexp_replace({sql}, r'{pattern}', '{by}')"
+    return canonical(sql)
+
+
 def known(spark: SparkSession) -> DataFrame:
     """(license_id, license_digest) of the texts above."""
-    rows = spark.createDataFrame(sorted(KNOWN.items()), "license_id string, text string")
-    return rows.select("license_id", F.sha2(F.expr(canonical("text")), 256).alias("license_digest"))
+    rows = spark.createDataFrame([(k.split("#")[0], t) for k, t in sorted(KNOWN.items())], "license_id string, text string")
+    return rows.select("license_id", F.sha2(F.expr(stripped("text")), 256).alias("license_digest"))
 
 
-def scan(docs: DataFrame, licences: DataFrame) -> DataFrame:
+def scan(docs: DataFrame, licences: DataFrame, one_of: tuple[str, ...] = ("",)) -> DataFrame:
     """(doc_id, digest, license_id) for each row of ``docs``.
 
     ``digest`` is the SHA-256 of the canonical text, null for a null text and
-    for one of which nothing is left; ``license_id`` is null where the digest is
-    not known. ``licences`` is (license_id, license_digest); of equal digests
-    the first id by name counts. Repeated rows are looked up alike, extra
-    columns are ignored, an empty table gives an empty result. The known
-    digests are as many as there are licences, and the planner broadcasts them
-    if their measured size allows it; a hot digest then meets them in place.
+    for one of which nothing is left; ``license_id`` is null where the text,
+    without title, list marks and copyright lines, is not known. ``licences``
+    is (license_id, license_digest); of equal digests the first id by name
+    counts. Repeated rows are looked up alike, extra columns are ignored, an
+    empty table gives an empty result. The known digests are few, and the
+    planner broadcasts them if their measured size allows it; a hot digest then
+    meets them in place. Texts with none of ``one_of``, letters of which each
+    known text has some, cannot match and are not brought to the form.
     """
+    # The other texts keep their digest as key, so that they spread over the tasks.
     first = licences.groupBy("license_digest").agg(F.min("license_id").alias("license_id"))
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.expr(canonical("CAST(text AS STRING)")), 256).alias("digest"))
-    return picked.join(first, picked["digest"] == first["license_digest"], "left").select("doc_id", "digest", "license_id")
+    text = "CAST(text AS STRING)"
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(F.expr(canonical(text)), 256).alias("digest"),
+                         F.when(reduce(or_, (F.contains(F.lower(F.expr(text)), F.lit(x)) for x in one_of)), F.sha2(F.expr(stripped(text)), 256)).alias("form"))
+    picked = picked.withColumn("form", F.coalesce("form", "digest"))
+    return picked.join(first, picked["form"] == first["license_digest"], "left").select("doc_id", "digest", "license_id")
 
 
 def oracle(texts: str = "documents") -> str:
-    """The same in DuckDB's SQL."""
-    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted(KNOWN.items()))
+    """In DuckDB's SQL, with the short texts and lines, looked up by ``digest``."""
+    values = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in sorted((_SHORT | _SQL_LINES).items()))
     return f"""WITH known AS (SELECT min(license_id) AS license_id, license_digest FROM (SELECT license_id,
  sha256({canonical('text', duck=True)}) AS license_digest FROM (VALUES {values}) t(license_id, text)) GROUP BY license_digest),
  docs AS (SELECT doc_id, sha256({canonical('text', duck=True)}) AS digest FROM {texts})
