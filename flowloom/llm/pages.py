@@ -35,7 +35,8 @@ _WORDS = re.compile(r"[a-z]+")
 
 # --- Fixed values: HTML's element kinds -------------------------------------
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style noscript template svg iframe object select option textarea button head title math canvas".split())
+HIDDEN = frozenset("script style noscript template svg iframe select option textarea button head title".split())
+IN_HEAD = frozenset("head title base link meta script style noscript template".split())  # any other element ends the head
 RAW = frozenset("script style textarea title iframe noscript".split())
 BLOCK = frozenset("""address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 header hgroup html label legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
@@ -168,6 +169,8 @@ def parse(source: str) -> Page:
         if m[2] is None:
             continue
         tag = m[2].lower()
+        if not m[1] and tag not in IN_HEAD and (i := find(("head",), frozenset({"template", "noscript"}))):
+            close(i)  # </head> may be left out
         if m[1]:
             i = find((tag,), frozenset())
             if i:

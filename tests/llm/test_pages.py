@@ -67,3 +67,11 @@ def test_fit(spark):
     fitted = fit(df)
     assert fitted.text(PAGES[0][0]) == PAGES[0][1]
     assert extract(df.filter("false"), fit(df.filter("false"))).collect() == []
+
+
+def test_head_without_end_tag_and_fallback_content():
+    body = "<article><p>Energy is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> here.</p><object data=x><p>No plugin.</p></object><canvas>A chart.</canvas></article>"
+    want = ["Energy is E=m here.", "No plugin.", "A chart."]
+    for start in ("<html><head><title>T</title><meta charset=utf-8><style>p{}</style></head><body>", "<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body>",
+                  "<html><head><meta charset=utf-8><script>var a='<p>';</script>", "<head><title>T</title><noscript><p>Off</p></noscript>"):
+        assert [t for _, t in parse(start + body).blocks] == want, start
