@@ -7,8 +7,7 @@ The embedding of Chakraborty, Goldenberg and Koucky (CGK) walks over a window:
 each step puts out the current word and moves on or stays, by a random bit that
 depends on the step and the word. Windows at a small edit distance become
 strings at a small Hamming distance, so the words at a few sampled steps are a
-locality-sensitive hash. Steps are sampled from the first L of a walk, where
-fewer edits have made two walks part. ``repeats`` walks with samples of their own give the
+locality-sensitive hash. Steps are sampled from all 2L of a walk. ``repeats`` walks with samples of their own give the
 target recall; each collision is verified by exact edit distance.
 
 Windows that hold fewer of the items' q-grams than the q-gram lemma demands of
@@ -30,7 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from flowloom.llm.common import mix, slim
 
 SIMILARITY = 0.8
-REPEATS, SAMPLED = 10, 2      # walks, and steps sampled from each: recall 0.95 at the threshold, 1 at half of it
+REPEATS, SAMPLED = 16, 2      # walks, and steps sampled from each
 ITEM_BYTES = 32 << 20         # text of items that one pass broadcasts
 _WORD = re.compile(r"\w+")
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -135,9 +134,9 @@ class Items:
         """For each repeat the hash of the windows ``starts[use[length]]`` of
         each length. ``flat`` has ``longest`` zeros after each text."""
         longest = max(use)
-        padded = np.concatenate([flat, np.zeros(longest + 1, np.uint64)])
+        padded = np.concatenate([flat, np.zeros(2 * longest + 1, np.uint64)])
         for r in range(self.repeats):
-            steps = longest
+            steps = 2 * longest
             at = np.zeros((steps, len(starts)), np.int32)
             here = np.zeros(len(starts), np.int32)
             for j in range(steps):
@@ -149,7 +148,7 @@ class Items:
             for n, which in use.items():
                 rng = np.random.default_rng([r, n])
                 h = np.full(len(which), np.uint64(r * 65537 + n), np.uint64)
-                for j in np.sort(rng.choice(n, min(n, self.sampled), replace=False)):
+                for j in np.sort(rng.choice(2 * n, min(2 * n, self.sampled), replace=False)):
                     i = at[j, which]
                     h = mix(h * _GOLD + np.where(i < n, padded[starts[which] + np.minimum(i, n)], np.uint64(0)))
                 found[n] = h

@@ -96,3 +96,19 @@ def test_items_of_one_word():
     words = Words()
     items = Items([1], [words.of("zebra")])
     assert items.search([words.of("a zebra"), np.zeros(0, np.uint64)]) == [(0, 0, 1, 0)]
+
+
+def test_recall_at_the_threshold_by_length():
+    """Exactly the edits allowed, all substitutions."""
+    rng = random.Random(5)
+    for n, least in ((20, 0.97), (40, 0.97), (80, 0.94)):
+        hashes = lambda k: [rng.randrange(1, 1 << 63) for _ in range(k)]
+        items = [hashes(n) for _ in range(200)]
+        texts = []
+        for item in items:
+            text = list(item)
+            for i in rng.sample(range(n), edits(n, 0.8)):
+                text[i] = rng.randrange(1, 1 << 63)
+            texts.append(np.array(hashes(10) + text + hashes(10), np.uint64))
+        found = Items(list(range(200)), [np.array(i, np.uint64) for i in items]).search(texts)
+        assert sum(t == i for t, i, _, _ in found) >= least * 200, (n, len(found))
