@@ -1,8 +1,10 @@
 """Running and rolling windows over keys of any size.
 
 A window group is one task's work, so a key with more than ``slice_rows`` rows
-is cut: its range of order values into equal parts, of ``slice_rows`` rows each
-on average. Other keys stay whole. Each slice then starts from the state its key had reached before it: up to
+is cut: its rows are numbered by prefix sums over ranges (``numbering``) and
+every ``slice_rows`` of them are one slice, however the order values lie. Other
+keys stay whole and on the plain plan. Each slice then starts from the state
+its key had reached before it: up to
 ``lookback`` earlier rows, the oldest of which also carries the totals so far. The state rows
 are derived in a narrow pre-pass over the large keys (partial aggregates and a
 map-side top-n), so they number at most ``lookback`` for each ``slice_rows``
@@ -14,7 +16,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
-from ..runtime import write_table
+from .numbering import dense_index, large_keys
 
 SLICE = "_slice"      # part of every window key
 CARRIED = "_carried"  # true on rows that only bring state into a slice
@@ -50,14 +52,13 @@ def with_history(
     if slice_rows is None:
         return rows.withColumn(SLICE, F.lit(0).cast("long")).withColumn(CARRIED, F.lit(False))
 
-    # One row for each large key, so at most one for every slice_rows rows.
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"), F.min(order).alias("_lo"), F.max(order).alias("_hi"))
-    large = write_table(sizes.filter(F.col("_rows") > slice_rows).select(
-        *keys, "_lo", (F.col("_hi") - F.col("_lo") + 1).alias("_span"), F.ceil(F.col("_rows") / F.lit(slice_rows)).alias("_parts")), "large_keys")
-    part = F.floor((F.col(order) - F.col("_lo")) * F.col("_parts") / F.col("_span")).cast("long")
-    rows = rows.join(large, keys, "left").withColumn(SLICE, part)
-    cut = rows.filter(F.col(SLICE).isNotNull())
-    rows = rows.withColumn(SLICE, F.coalesce(SLICE, F.lit(0).cast("long"))).drop("_lo", "_span", "_parts")
+    whole = rows.withColumn(SLICE, F.lit(0).cast("long"))
+    large = large_keys(df, keys, slice_rows)
+    if not large.head(1):
+        return whole.withColumn(CARRIED, F.lit(False))
+    cut = dense_index(rows.join(large, keys, "left_semi"), keys, [order], SLICE)
+    cut = cut.withColumn(SLICE, F.floor((F.col(SLICE) - 1) / F.lit(slice_rows)).cast("long"))
+    rows = whole.join(large, keys, "left_anti").select(*cut.columns).unionByName(cut)
     names = list(dict.fromkeys([order, *keep, *totals, *starts]))
     slim = cut.select(*keys, SLICE, *names)
     group = [*keys, SLICE]
