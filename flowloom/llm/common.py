@@ -118,3 +118,41 @@ def unpack_sorted(data: bytes) -> np.ndarray:
         return first
     rest = np.frombuffer(zstandard.decompress(data[9:]), np.uint64 if data[0] == 8 else np.uint32).astype(np.uint64)
     return np.cumsum(np.concatenate([first, rest]), dtype=np.uint64)
+
+
+def in_order(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """The rows of a key one after the other in one task, by external sort, for
+    code that reads them as a stream. Nulls are a key too, and come first."""
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order)
+
+
+def rows_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """The rows of Arrow batches as tuples, a few thousand at a time."""
+    for batch in batches:
+        for part in slim(batch):
+            yield from zip(*(c.to_pylist() for c in part.columns))
+
+
+def record_batches(rows: Iterator[tuple], schema: pa.Schema, most: int = 2000, size: int = 1 << 22) -> Iterator[pa.RecordBatch]:
+    """Tuples as Arrow batches of at most ``most`` rows or about ``size``
+    characters; a longer row comes alone."""
+    held, chars = [], 0
+    for row in rows:
+        held.append(row)
+        chars += sum(len(v) for v in row if isinstance(v, (str, bytes)))
+        if len(held) >= most or chars >= size:
+            yield _batch(held, schema)
+            held, chars = [], 0
+    if held:
+        yield _batch(held, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """A join on equal keys, nulls alike; the keys of ``left`` stay."""
+    other = right.withColumnsRenamed({k: f"_of_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]
+    return left.join(other, on, how).drop(*[f"_of_{k}" for k in keys])

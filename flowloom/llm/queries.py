@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from flowloom.llm import bpe, decontaminate, langid, licences, ngrams, pages, postings, simhash, suffixes, toxicity
+from flowloom.llm import bpe, chats, decontaminate, langid, licences, ngrams, oracle, pages, postings, repair, simhash, suffixes, toxicity, tries
 from flowloom.llm.common import in_fold
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,3 +96,38 @@ def op4_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op4_license_digest"] = licences.oracle()
+
+
+MARKED = "</s>[INST] ok [/INST]"
+
+
+@query
+def op11_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", MARKED), (-7, 1, "assistant", MARKED)], "conv_id long, turn long, role string, text string")
+    made = chats.conversations(chats.as_tree(said.unionByName(more)), unique=True)
+    turns = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
+    return chats.read_back(made).select(
+        F.col("tree").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(F.encode(turns, "UTF-8"), 256).alias("turns_sha256"),
+        F.length("learned").cast("long").alias("loss_chars"), F.sha2(F.encode("learned", "UTF-8"), 256).alias("loss_sha256"),
+        F.length("text").cast("long").alias("formatted_chars"))
+
+
+ORACLES["op11_reply_trees"] = oracle.chats(chats.BEGIN, chats.END, chats.CONTROL)
+
+
+@query
+def op12_grammar_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = table(spark, sf_dir, "conversations")
+    return repair.repaired(repair.damaged(said), said)
+
+
+ORACLES["op12_grammar_repair"] = oracle.REPAIR
+
+
+@query
+def op13_time_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tries.trie(table(spark, sf_dir, "conversations"))
+
+
+ORACLES["op13_time_forward"] = oracle.TRIE
