@@ -83,11 +83,10 @@ def _doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
         before = open_ends
         levels.append(now.filter("up IS NOT NULL").select("tree", "id", "up"))
         next_up = now.select("tree", F.col("id").alias("up"), *[F.col(c).alias(f"{c}2") for c in ("up", "root", "depth", "total")])
-        both = join_on(now, next_up, ["tree", "up"], "left")
-        now = write_table(both.select(
+        moved = join_on(now.filter("up IS NOT NULL"), next_up, ["tree", "up"]).select(
             "tree", "id", F.col("up2").alias("up"), F.coalesce("root", "root2").alias("root"),
-            (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"),
-            (F.col("total") + F.coalesce("total2", F.lit(0.0))).alias("total")), "jumps")
+            (F.col("depth") + F.col("depth2")).alias("depth"), (F.col("total") + F.col("total2")).alias("total"))
+        now = write_table(now.filter("up IS NULL").unionByName(moved), "jumps")
 
 
 def paths(messages: DataFrame, branches: int = 1) -> DataFrame:
