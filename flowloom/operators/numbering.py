@@ -55,3 +55,24 @@ def numbered(df: DataFrame, keys: list[str], order: list[str], name: str, most:
     rest = df.join(large, same_keys(keys), "left_anti")
     hot = df.join(large, same_keys(keys), "left_semi")
     return rest.withColumn(name, F.row_number().over(window).cast("long")).unionByName(dense_index(hot, keys, order, name))
+
+
+def running_total(df: DataFrame, keys: list[str], order: list[str], amount: Column, name: str, most: int) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over the rows of the key up to each
+    row. A key with more than ``most`` rows is summed slice by slice."""
+    rows = df.withColumn(name, amount)
+    upto = (Window.unboundedPreceding, Window.currentRow)
+    plain = F.sum(name).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto))
+    large = renamed(large_keys(df, keys, most), keys)
+    if not large.head(1):
+        return rows.withColumn(name, plain)
+    rest = rows.join(large, same_keys(keys), "left_anti").withColumn(name, plain)
+    hot = dense_index(rows.join(large, same_keys(keys), "left_semi"), keys, order, "_i")
+    hot = hot.withColumn("_slice", F.floor((F.col("_i") - 1) / F.lit(most)))
+    at = [*keys, "_slice"]
+    sums = hot.groupBy(*at).agg(F.sum(name).alias("_sum"))
+    before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    sums = renamed(sums.select(*at, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before")), at)
+    inside = F.sum(name).over(Window.partitionBy(*at).orderBy("_i").rowsBetween(*upto))
+    hot = hot.withColumn(name, inside).join(sums, same_keys(at)).withColumn(name, F.col(name) + F.col("_before"))
+    return rest.unionByName(hot.select(*rest.columns))

@@ -27,11 +27,6 @@ def _is_inf(name: str) -> Column:
     return F.abs(F.col(name)) == F.lit(float("inf"))
 
 
-def drop_infinities(df: DataFrame) -> DataFrame:
-    """Infinite values become null."""
-    return df.withColumns({c: F.when(~_is_inf(c), F.col(c)) for c in _floating(df)})
-
-
 def clean(df: DataFrame, bound: float | None = 1e15, dedup: bool = False) -> DataFrame:
     """Rows without null, NaN or infinity, all numbers within the bound.
 

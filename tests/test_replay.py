@@ -2,6 +2,7 @@ import random
 
 import pytest
 
+from flowloom.config import Config, DEFAULT
 from flowloom.operators import response
 from tests import walk
 
@@ -24,14 +25,14 @@ def trace(rng, sensor, n, ips):
     return rows
 
 
-def check(spark, rows, blocked=(), warnings=None, commands=()):
+def check(spark, rows, blocked=(), warnings=None, commands=(), cfg=DEFAULT):
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in ROW.split(", ")) for r in rows], ROW)
     listed = spark.createDataFrame(list(blocked), "sensor_id string, ip string") if blocked else None
     counts = spark.createDataFrame([(*k, v) for k, v in warnings.items()], "sensor_id string, ip string, count int") \
         if warnings else None
     orders = spark.createDataFrame([(c["sensor_id"], c["ip"], c["op"], c["at_seq"]) for c in commands],
                                    "sensor_id string, ip string, op string, at_seq bigint") if commands else None
-    replay = response.replay_response(df, listed, counts, orders)
+    replay = response.replay_response(df, listed, counts, orders, cfg=cfg)
     want, listed_after, warned_after = [], set(blocked), dict(warnings or {})
     for sensor in sorted({r["sensor_id"] for r in rows}):
         got, lst, wrn = walk.respond(
@@ -60,14 +61,14 @@ def test_replay_equals_walk(spark, seed):
     check(spark, rows, blocked, warnings)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_replay_with_commands_equals_walk(spark, seed):
+@pytest.mark.parametrize("seed,slice_rows", [(0, 1000), (1, 1000), (2, 7)])
+def test_replay_with_commands_equals_walk(spark, seed, slice_rows):
     rng = random.Random(100 + seed)
     rows = trace(rng, "a", 160, 8) + trace(rng, "b", 60, 6)
     commands = [{"sensor_id": rng.choice("ab"), "ip": f"10.0.0.{rng.randrange(8)}",
                  "op": rng.choice(["block", "unblock", "unblock"]), "at_seq": at}
                 for at in rng.sample(range(150), 12)]
-    check(spark, rows, [("a", "10.0.0.2"), ("b", "10.0.0.1")], {("a", "10.0.0.4"): 2}, commands)
+    check(spark, rows, [("a", "10.0.0.2"), ("b", "10.0.0.1")], {("a", "10.0.0.4"): 2}, commands, Config(slice_rows=slice_rows))
 
 
 def test_third_scan_blocks_and_hot_source(spark):
@@ -115,3 +116,45 @@ def test_addresses_as_the_standard_library_reads_them(spark):
 
     rows = spark.createDataFrame([(t,) for t in texts], "t string").select("t", is_address("t").alias("ok")).collect()
     assert {r.t: r.ok for r in rows} == {t: known(t) or t == "::" for t in texts}
+
+
+def test_rounds_work_out_changed_sources_only(spark):
+    """A chain: each source is stopped by the block of the next address, or not."""
+    rows = []
+    for k in range(6):  # 10.0.k.1 -> 10.0.k.2 -> ... the last one attacks first
+        for hop in range(1, 6):
+            rows.append({"sensor_id": "a", "seq": 10 * k + 5 - hop, "source_ip": f"10.0.{k}.{hop}", "destination_ip": f"10.0.{k}.{hop + 1}",
+                         "prediction": "DoS", "attack_label": "DoS", "severity": "high", "reason": "model_prediction"})
+    rows += [{"sensor_id": "a", "seq": 1000 + i, "source_ip": f"10.9.0.{i}", "destination_ip": "10.8.0.1", "prediction": "DoS",
+              "attack_label": "DoS", "severity": "high", "reason": "model_prediction"} for i in range(200)]
+    replay = check(spark, rows)
+    assert replay.rounds >= 3 and max(replay.worked) <= 24 and replay.worked == sorted(replay.worked, reverse=True)
+
+
+def test_many_commands_on_one_address(spark):
+    rows = [{"sensor_id": "a", "seq": i, "source_ip": "10.0.0.1" if i % 3 else "10.0.0.2", "destination_ip": "10.0.0.2" if i % 3 else "10.0.0.1",
+             "prediction": "Recon" if i % 2 else "DoS", "attack_label": "Recon" if i % 2 else "DoS", "severity": "high", "reason": "model_prediction"}
+            for i in range(3000)]
+    commands = [{"sensor_id": "a", "ip": "10.0.0.1", "op": "unblock" if i % 4 else "block", "at_seq": i} for i in range(3000)]
+    replay = check(spark, rows, (), None, commands, Config(slice_rows=500))
+    kept = replay.facts.groupBy("ip", "epoch").count().agg({"count": "max"}).first()[0]
+    assert kept <= 4 and replay.facts.count() < 4 * 3000  # linear in the commands
+
+
+def test_command_texts(spark):
+    import datetime as dt
+    at = dt.datetime(2024, 1, 1)
+    given = [("2001:0DB8::1", "block", None, at), ("10.0.0.300", "block", "x", at), ("10.0.0.1", "drop", "x", at), (None, "block", "x", at),
+             ("10.0.0.1", "block", "x" * 301, at), ("10.0.0.1", "unblock", "x" * 301, at)]
+    ok, bad = response.change_log(spark.createDataFrame(given, "ip string, op string, reason string, at timestamp"))
+    assert sorted((r.ip, r.op) for r in ok.collect()) == [("10.0.0.1", "unblock"), ("2001:db8::1", "block")] and bad.count() == 4
+
+
+def test_check_data_need_several_rounds(spark):
+    import os
+    from workload.queries import replayed_eagerly
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no tables")
+    replay = replayed_eagerly(spark, folder).replay
+    assert replay.rounds >= 3 and replay.worked[-1] < replay.worked[0]

@@ -135,27 +135,32 @@ _ACT = """acted AS (SELECT *, CASE WHEN hit THEN 'blocked' WHEN reason = 'model_
 LISTED = f"(coalesce(source_ip IN ({_q(STATIC_BLOCKED)}), false) OR destination_ip IN ({_q(STATIC_BLOCKED)}))"
 PREVIEW = f"marked AS (SELECT *, {LISTED} AS hit, 1 AS step FROM kinds),\n{_ACT}"
 
-ROUNDS = 12
-
-
-def _replay() -> str:
-    """The feedback loop, unrolled; more rounds than the data needs."""
-    listed = _q(STATIC_BLOCKED)
-    out = [f"""c AS MATERIALIZED (SELECT sensor_id, seq, source_ip AS src, destination_ip AS dst, kind FROM kinds
- WHERE kind IS NOT NULL AND source_ip NOT IN ({listed}) AND destination_ip NOT IN ({listed}))""",
-           "t0 AS (SELECT sensor_id, src, seq AS t FROM c WHERE false)"]
-    for k in range(1, ROUNDS + 1):
-        out.append(f"""v{k} AS (SELECT c.*, row_number() OVER (PARTITION BY c.sensor_id, c.src, kind ORDER BY seq) AS n
- FROM c LEFT JOIN t{k - 1} t ON c.sensor_id = t.sensor_id AND c.dst = t.src WHERE t.t IS NULL OR c.seq <= t.t)""")
-        out.append(f"""t{k} AS MATERIALIZED (SELECT sensor_id, src, min(seq) AS t FROM v{k}
- WHERE kind = 'block' OR n = 3 GROUP BY ALL)""")
-    out.append(f"""ladder AS (SELECT v.sensor_id, v.seq AS lseq, CAST(n AS INT) AS step FROM v{ROUNDS} v LEFT JOIN t{ROUNDS} t
-  ON v.sensor_id = t.sensor_id AND v.src = t.src WHERE kind = 'recon' AND n <= 3 AND (t.t IS NULL OR v.seq <= t.t))""")
-    out.append(f"""marked AS (SELECT k.*, {LISTED} OR coalesce(k.seq > a.t, false) OR coalesce(k.seq > b.t, false) AS hit, l.step
- FROM kinds k LEFT JOIN t{ROUNDS} a ON k.sensor_id = a.sensor_id AND k.source_ip = a.src
- LEFT JOIN t{ROUNDS} b ON k.sensor_id = b.sensor_id AND k.destination_ip = b.src
- LEFT JOIN ladder l ON k.sensor_id = l.sensor_id AND k.seq = l.lseq)""")
-    return ",\n".join(out) + ",\n" + _ACT
+def replay(listed: tuple[str, ...] = STATIC_BLOCKED, commands: str | None = None) -> str:
+    """The feedback loop packet by packet: one recursion step for each event of
+    a sensor, with its blocklist ``b`` and its open warnings ``w`` as lists.
+    ``commands`` has sensor_id, seq, op and ip."""
+    given = f"UNION ALL SELECT sensor_id, seq, 0, op, ip, NULL FROM ({commands})" if commands else ""
+    start = f"CAST([{_q(listed)}] AS VARCHAR[])"
+    return f"""ev_all AS (SELECT sensor_id, seq, 1 AS rank, kind, source_ip AS src, destination_ip AS dst FROM kinds WHERE kind IS NOT NULL {given}),
+ev_n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY sensor_id ORDER BY seq, rank) AS n FROM ev_all),
+run AS (SELECT DISTINCT sensor_id, CAST(0 AS BIGINT) AS n, {start} AS b, CAST([] AS VARCHAR[]) AS w,
+   CAST(NULL AS INT) AS step, CAST(NULL AS BOOLEAN) AS turned FROM kinds
+ UNION ALL SELECT sensor_id, n,
+   CASE WHEN on_ THEN list_append(list_filter(b, lambda x: x <> src), src) WHEN off_ THEN list_filter(b, lambda x: x <> src) ELSE b END,
+   CASE WHEN on_ THEN list_filter(w, lambda x: x <> src) WHEN step IS NOT NULL THEN list_append(w, src) ELSE w END,
+   step, CASE WHEN on_ THEN true WHEN off_ THEN false END
+  FROM (SELECT *, kind = 'manual' OR (alive AND kind = 'block') OR coalesce(step >= 3, false) AS on_, kind = 'unblock' AS off_
+   FROM (SELECT *, CASE WHEN alive AND kind = 'recon' THEN CAST(len(list_filter(w, lambda x: x = src)) + 1 AS INT) END AS step
+    FROM (SELECT r.sensor_id, e.n, r.b, r.w, e.src, e.kind, NOT (list_contains(b, src) OR coalesce(list_contains(b, dst), false)) AS alive
+     FROM run r JOIN ev_n e ON e.sensor_id = r.sensor_id AND e.n = r.n + 1)))),
+ended AS (SELECT sensor_id, arg_max(b, n) AS b, arg_max(w, n) AS w FROM run GROUP BY sensor_id),
+switches AS (SELECT sensor_id, src AS ip, 4 * seq + CASE WHEN rank = 1 THEN 1 ELSE -1 END AS at_, turned FROM run JOIN ev_n USING (sensor_id, n)
+  WHERE turned IS NOT NULL UNION ALL SELECT sensor_id, unnest(b), -1, true FROM run WHERE n = 0),
+ladder AS (SELECT sensor_id, seq AS lseq, src, run.step FROM run JOIN ev_n USING (sensor_id, n) WHERE run.step IS NOT NULL),
+marked AS (SELECT k.*, coalesce(a.turned, false) OR coalesce(z.turned, false) AS hit, l.step FROM kinds k
+ ASOF LEFT JOIN switches a ON k.sensor_id = a.sensor_id AND k.source_ip = a.ip AND 4 * k.seq > a.at_
+ ASOF LEFT JOIN switches z ON k.sensor_id = z.sensor_id AND k.destination_ip = z.ip AND 4 * k.seq > z.at_
+ LEFT JOIN ladder l ON k.sensor_id = l.sensor_id AND k.seq = l.lseq)""" + ",\n" + _ACT
 
 
 LOG_COLUMNS = f"""sensor_id, session_id, seq AS id, {{time}} AS time_us, source_ip, destination_ip, source_port, destination_port,
@@ -165,7 +170,7 @@ LOG_COLUMNS = f"""sensor_id, session_id, seq AS id, {{time}} AS time_us, source_
 
 
 def chain(*parts: str, select: str) -> str:
-    return "WITH " + ",\n".join(parts) + "\n" + select
+    return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + select
 
 
 BASE = (EV, PACKETS, KEYED)
@@ -182,7 +187,15 @@ def logs(source=DECISIONS, act: str = PREVIEW, time: str = "ts_us") -> tuple[str
 LOGS = logs()
 EVENT_LOGS = logs(time="event_us")
 METADATA_LOGS = logs(METADATA_DECISIONS)
-REPLAY_LOGS = logs(act=_replay())
+REPLAY_LOGS = logs(act=replay())
+COMMANDS = """SELECT sensor_id, seq, CASE WHEN seq % 500 = 0 THEN 'manual' ELSE 'unblock' END AS op, destination_ip AS ip
+ FROM packets WHERE seq % 500 IN (0, 250)"""
+COMMAND_LOGS = logs(act=replay((), COMMANDS))
+# every packet of a flow is scored and believed, so that blocks meet the packets that set off others
+EAGER_LOGS = tuple(
+    p.replace("total_packets >= 12 AND duration_us >= 3000000", "total_packets >= 1 AND duration_us >= 0")
+    .replace("total_packets % 5 <> 0", "total_packets % 1 <> 0").replace("vote_share < 0.6e0", "vote_share < 0e0")
+    .replace("aconf < 85", "aconf < 50").replace("ml_confidence < 85", "ml_confidence < 50") for p in REPLAY_LOGS)
 
 WARNING = "(action = 'warning' OR reason = 'model_uncertain_attack')"
 THREAT = f"(action = 'blocked' OR (NOT {WARNING} AND severity <> 'info'))"

@@ -356,22 +356,35 @@ def replayed_actions(spark, sf):
         F.count(F.lit(1)).alias("packets"))
 
 
+EAGER = Config(min_flow_packets=1, min_flow_duration=0.0, classify_interval=1, vote_ratio=0.0, stage2_threshold=50.0, alert_threshold=50.0)
+
+
+def replayed_eagerly(spark, sf):
+    """With every packet scored and believed, blocks keep others from being set
+    off, which takes several rounds (asserted in the tests)."""
+    return detect(views.packets(spark, sf), EAGER, score_columns=stub_scores(EAGER), blocked=static_blocklist(spark))
+
+
+@query("replayed_feedback", o.chain(*o.EAGER_LOGS, select="SELECT sensor_id, id, action, response_note FROM logs"))
+def replayed_feedback(spark, sf):
+    return replayed_eagerly(spark, sf).logs.select("sensor_id", "id", "action", "response_note")
+
+
 @query("blocklist_after_replay", o.chain(*o.REPLAY_LOGS, select=f"""
-SELECT sensor_id, src AS ip FROM t{o.ROUNDS} UNION ALL SELECT NULL, unnest(['10.0.0.5', '10.0.0.17'])"""))
+SELECT sensor_id, ip FROM (SELECT sensor_id, unnest(b) AS ip FROM ended) WHERE ip NOT IN ('10.0.0.5', '10.0.0.17')
+UNION ALL SELECT NULL, unnest(['10.0.0.5', '10.0.0.17'])"""))
 def blocklist_after_replay(spark, sf):
     return response.final_blocklist(replayed(spark, sf).replay, static_blocklist(spark))
 
 
-@query("recon_watchlist", o.chain(*o.REPLAY_LOGS, f"""open_counts AS (SELECT l.sensor_id, k.source_ip AS ip, max(l.step) AS count
- FROM ladder l JOIN kinds k ON k.sensor_id = l.sensor_id AND k.seq = l.lseq
- LEFT JOIN t{o.ROUNDS} t ON t.sensor_id = k.sensor_id AND t.src = k.source_ip WHERE t.t IS NULL GROUP BY ALL)""",
-    select="SELECT ip, CAST(sum(count) AS BIGINT) AS count FROM open_counts GROUP BY ip ORDER BY count DESC, ip LIMIT 3"))
+@query("recon_watchlist", o.chain(*o.REPLAY_LOGS,
+    select="SELECT ip, count(*) AS count FROM (SELECT unnest(w) AS ip FROM ended) GROUP BY ip ORDER BY count DESC, ip LIMIT 3"))
 def recon_watchlist(spark, sf):
     warned = response.final_warnings(replayed(spark, sf).replay)
     return response.watchlist(warned.groupBy("ip").agg(F.sum("count").alias("count")))
 
 
-@query("replay_with_commands")
+@query("replay_with_commands", o.chain(*o.COMMAND_LOGS, select="SELECT sensor_id, id, action, response_note FROM logs"))
 def replay_with_commands(spark, sf):
     """Manual blocks and releases taken from the packets: every 500th packet
     of a sensor is a command on its destination, in turn block and unblock."""
@@ -381,7 +394,7 @@ def replay_with_commands(spark, sf):
         "sensor_id", F.col("destination_ip").alias("ip"), F.col("seq").alias("at_seq"),
         F.when(turn == 0, "block").otherwise("unblock").alias("op"))
     done = detect(packets, score_columns=stub_scores(), commands=commands)
-    return done.logs.groupBy("sensor_id", "action", "response_note").agg(F.count(F.lit(1)).alias("packets"))
+    return done.logs.select("sensor_id", "id", "action", "response_note")
 
 
 @query("block_change_log", o.chain(*o.BASE, select="""
@@ -1086,16 +1099,23 @@ def compacted_logs(spark, sf):
     return current_logs(spark, f"{path}-compacted", *days).select("id", "action", "severity")
 
 
-@query("block_commands", o.chain(*o.BASE, select="""
-SELECT DISTINCT ip, 'command' AS reason FROM (VALUES ('10.0.0.7'), ('2001:db8::1')) t(ip), packets"""))
+_RAW_IP = """CASE WHEN seq % 7 = 0 THEN '10.0.0.' || CAST(256 + seq % 9 AS STRING)
+ WHEN seq % 3 = 1 THEN '2001:0DB8:0::' || CAST(1 + user_no % 40 AS STRING) ELSE destination_ip END"""
+
+
+@query("block_commands", o.chain(*o.BASE, f"""said AS (SELECT seq, event_us, CAST(split_part(destination_ip, '.', 4) AS INT) AS user_no, destination_ip FROM packets),
+valid AS (SELECT seq, CASE WHEN seq % 3 = 1 THEN '2001:db8::' || CAST(1 + user_no % 40 AS VARCHAR) ELSE destination_ip END AS ip,
+  CASE WHEN seq % 5 = 0 THEN 'unblock' ELSE 'block' END AS op FROM said WHERE seq % 7 <> 0)""", select="""
+SELECT ip, reason FROM (SELECT ip, arg_max(op, seq) AS op, 'packet ' || CAST(max(seq) AS VARCHAR) AS reason FROM valid GROUP BY ip) WHERE op = 'block'
+UNION ALL SELECT NULL, CAST(count(*) AS VARCHAR) || ' refused' FROM said WHERE seq % 7 = 0"""))
 def block_commands(spark, sf):
-    """Blocks and an unblock by command, on top of a log of changes; texts are normalised."""
-    day = lambda n: dt.datetime(2024, 1, n)
-    seen = views.packets(spark, sf).filter("destination_ip = '10.0.0.8'").select(
-        F.col("destination_ip").alias("ip"), F.lit("block").alias("op"), F.lit("seen").alias("reason"), F.lit(day(1)).alias("at")).distinct()
-    changes = (seen.unionByName(response.block(spark, "10.0.0.7", "command", day(2))).unionByName(response.block(spark, "2001:0DB8:0::1", "command", day(2)))
-               .unionByName(response.unblock(spark, "10.0.0.8", day(3))))
-    return response.blocklist(changes).select("ip", "reason")
+    """Every packet gives a command; texts are normalised, wrong addresses refused."""
+    given = views.packets(spark, sf).withColumn("user_no", F.split_part("destination_ip", F.lit("."), F.lit(4)).cast("int")).select(
+        F.expr(_RAW_IP).alias("ip"), F.expr("IF(seq % 5 = 0, 'unblock', 'block')").alias("op"),
+        F.concat(F.lit("packet "), F.col("seq").cast("string")).alias("reason"), F.timestamp_micros("seq").alias("at"))
+    changes, refused = response.change_log(given)
+    count = refused.agg(F.lit(None).cast("string").alias("ip"), F.concat(F.count("*").cast("string"), F.lit(" refused")).alias("reason"))
+    return response.blocklist(changes).select("ip", "reason").unionByName(count)
 
 
 @query("csv_flows", o.chain(*o.UNIFIED, select="FROM unified"))
