@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..config import Config, DEFAULT, EPS
 from ..functions import network as net
-from .history import drop_history, needs_slices, prepend, slice_window, with_history
+from .history import drop_history, needs_slices, slice_window, with_history
+from .numbering import total_before
 
 SESSION = ["sensor_id", "session_id"]
 
@@ -29,8 +30,14 @@ def slice_size(packets: DataFrame, cfg: Config, skew: str) -> int | None:
 
 
 def packet_ids(packets: DataFrame, start: int = 0) -> DataFrame:
-    """``id`` after the ids already stored: ``seq`` counts from 0 in a session."""
-    return packets.withColumn("id", F.col("seq") + F.lit(start + 1))
+    """Add ``id``, unique over sessions and captures: after ``start``, sessions
+    one after the other by their keys, packets of a session by ``seq``. A session
+    takes as many ids as its ``seq`` has values from first to last, so ids are
+    an offset and a difference, and no packet is sorted for them."""
+    sessions = packets.groupBy(*SESSION).agg(F.min("seq").alias("_lo"), F.max("seq").alias("_hi"))
+    sessions = total_before(sessions, SESSION, F.col("_hi") - F.col("_lo") + 1, "_offset")
+    found = packets.join(sessions.select(*SESSION, (F.col("_offset") - F.col("_lo") + F.lit(start + 1)).alias("_offset")), SESSION)
+    return found.withColumn("id", F.col("seq") + F.col("_offset")).select(*packets.columns, "id")
 
 
 def next_id(logs: DataFrame) -> DataFrame:
@@ -44,8 +51,7 @@ def session_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int
     last packets of the session. All in constant work per row: rolling sums are
     differences of running sums. ``before`` holds the tails of earlier batches."""
     n = cfg.rolling_window
-    rows = with_history(packets, SESSION, "seq", n, slice_rows, keep=["ts_us", "length"])
-    rows = prepend(rows, before, SESSION)
+    rows = with_history(packets, SESSION, "seq", n, slice_rows, keep=["ts_us", "length"], before=before)
     w = slice_window(SESSION, "seq")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumns({
@@ -79,9 +85,8 @@ def flow_features(packets: DataFrame, cfg: Config = DEFAULT, slice_rows: int | N
     rows = with_history(
         rows, keys, "seq", n, slice_rows, keep=["length"],
         totals={"_n": F.lit(1).cast("long"), "_b": F.col("length").cast("long")},
-        starts={"_start": F.col("ts_us")},
+        starts={"_start": F.col("ts_us")}, before=before,
     )
-    rows = prepend(rows, before, keys)
     rows = rows.repartition(*SESSION, "flow_id", "_slice") if slice_rows else rows.repartition(*SESSION, "flow_id")
     w = slice_window(keys, "seq")
     run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)

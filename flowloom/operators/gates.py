@@ -8,7 +8,7 @@ from ..config import Config, DEFAULT
 from ..functions import labels as lab, network as net
 from ..functions.columns import filled, is_true
 from .features import SESSION
-from .history import drop_history, prepend, slice_window, tails, with_history
+from .history import drop_history, slice_window, tails, with_history
 
 VOTER = [*SESSION, "flow_id"]
 DETECTION = ("det_prediction", "det_confidence", "det_binary_label", "det_attack_label")
@@ -97,12 +97,11 @@ def consensus(rows: DataFrame, cfg: Config = DEFAULT, slice_rows: int | None = N
         return df.withColumn("vote_share", F.when(F.col("_votes"), counted))
 
     rows = rows.withColumn("_mal", _is_malicious_vote())
+    earlier = None if before is None else before.withColumn("_votes", F.lit(True))
     if slice_rows is None:
-        whole = with_history(rows, [*keys, "_votes"], "seq", n, None)
-        earlier = None if before is None else before.withColumn("_votes", F.lit(True))
-        whole = prepend(whole, earlier, [*keys, "_votes"])
+        whole = with_history(rows, [*keys, "_votes"], "seq", n, None, before=earlier)
         return drop_history(shared(whole, slice_window([*keys, "_votes"], "seq")), "_votes", "_mal")
-    voting = with_history(rows.filter("_votes"), [*keys, "_votes"], "seq", n, slice_rows, keep=["_mal"])
+    voting = with_history(rows.filter("_votes"), [*keys, "_votes"], "seq", n, slice_rows, keep=["_mal"], before=earlier)
     voting = drop_history(shared(voting, slice_window([*keys, "_votes"], "seq")))
     rest = rows.filter(~F.col("_votes")).withColumn("vote_share", F.lit(None).cast("double"))
     return voting.unionByName(rest).drop("_votes", "_mal")

@@ -38,24 +38,30 @@ def with_history(
     totals: dict[str, Column] | None = None,
     starts: dict[str, Column] | None = None,
     keep: list[str] | None = None,
+    before: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``_slice`` and ``_carried``; windows then use ``slice_window(keys, order)``.
 
     ``totals`` are per-row amounts whose running sum over the slice window must
     equal the sum over the whole key; ``starts`` are values whose ``first`` must
     be that of the whole key. ``keep`` names the columns the rolling frames
-    read. ``slice_rows=None`` leaves all keys whole. Order values must be
-    unique within a key and the keys must not be null.
+    read. ``before`` has rows of earlier batches: the keys and an array ``tail``
+    of the order, kept, total and start columns. ``slice_rows=None`` leaves all
+    keys whole. Order values must be unique within a key and the keys must not
+    be null.
     """
     totals, starts, keep = totals or {}, starts or {}, keep or []
-    rows = df.withColumns({**totals, **starts})
+    rows = df.withColumns({**totals, **starts}).withColumn(CARRIED, F.lit(False))
+    if before is not None:
+        earlier = before.select(*keys, F.inline("tail")).withColumn(CARRIED, F.lit(True))
+        rows = rows.unionByName(earlier, allowMissingColumns=True)
     if slice_rows is None:
-        return rows.withColumn(SLICE, F.lit(0).cast("long")).withColumn(CARRIED, F.lit(False))
+        return rows.withColumn(SLICE, F.lit(0).cast("long"))
 
     whole = rows.withColumn(SLICE, F.lit(0).cast("long"))
-    large = large_keys(df, keys, slice_rows)
+    large = large_keys(rows, keys, slice_rows)
     if not large.head(1):
-        return whole.withColumn(CARRIED, F.lit(False))
+        return whole
     cut = dense_index(rows.join(large, keys, "left_semi"), keys, [order], SLICE)
     cut = cut.withColumn(SLICE, F.floor((F.col(SLICE) - 1) / F.lit(slice_rows)).cast("long"))
     rows = whole.join(large, keys, "left_anti").select(*cut.columns).unionByName(cut)
@@ -107,17 +113,7 @@ def with_history(
         *[F.col(f"_first_{s}").alias(s) for s in starts],
         F.lit(True).alias(CARRIED),
     )
-    return rows.withColumn(CARRIED, F.lit(False)).unionByName(carried, allowMissingColumns=True)
-
-
-def prepend(rows: DataFrame, before: DataFrame | None, keys: list[str]) -> DataFrame:
-    """Put earlier rows of each key before the whole-key rows of ``with_history``.
-    ``before`` has the keys and an array ``tail`` of the columns to carry."""
-    if before is None:
-        return rows
-    earlier = before.select(*keys, F.inline("tail")).withColumns(
-        {SLICE: F.lit(0).cast("long"), CARRIED: F.lit(True)})
-    return rows.unionByName(earlier, allowMissingColumns=True)
+    return rows.unionByName(carried, allowMissingColumns=True)
 
 
 def tails(rows: DataFrame, keys: list[str], order: str, columns: list[str], n: int) -> DataFrame:

@@ -76,3 +76,17 @@ def running_total(df: DataFrame, keys: list[str], order: list[str], amount: Colu
     inside = F.sum(name).over(Window.partitionBy(*at).orderBy("_i").rowsBetween(*upto))
     hot = hot.withColumn(name, inside).join(sums, same_keys(at)).withColumn(name, F.col(name) + F.col("_before"))
     return rest.unionByName(hot.select(*rest.columns))
+
+
+def total_before(df: DataFrame, order: list[str], amount: Column, name: str) -> DataFrame:
+    """Add ``name``: the sum of ``amount`` over all rows before each row, by
+    ``order`` (unique). Sums of ranges are added, so no task sees all rows."""
+    rows = write_table(df.withColumn(name, amount).repartitionByRange(*order).sortWithinPartitions(*order)
+                       .withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    rows = rows.withColumn("_range", F.shiftright("_at", 33))
+    sums = rows.groupBy("_range").agg(F.sum(name).alias("_sum"))  # one row for each task
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    inside = F.sum(name).over(Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1))
+    found = rows.withColumn(name, F.coalesce(inside, F.lit(0))).join(sums, "_range")
+    return found.withColumn(name, F.col(name) + F.col("_before")).select(*df.columns, name)

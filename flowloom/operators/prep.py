@@ -10,6 +10,7 @@ from ..config import BENIGN_LABELS, EPS, MODEL_FEATURES, NOT_ATTACK_TYPES
 from ..functions.columns import is_true
 from ..functions.labels import attack_group
 from ..runtime import write_table
+from .numbering import dense_index
 
 HASH_BITS = 62
 BUCKET_BITS = 16
@@ -100,16 +101,19 @@ def _row_hash(df: DataFrame, seed: int) -> Column:
     return F.xxhash64(F.lit(seed), *[F.col(c) for c in df.columns]).bitwiseAND((1 << HASH_BITS) - 1)
 
 
-def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET_BITS) -> DataFrame:
+def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET_BITS, key: Column | None = None,
+         rest: bool = True) -> DataFrame:
     """Add ``drawn``: true on exactly ``quota`` rows of each class, those with
-    the smallest row hashes. ``quota`` is an expression over ``count``. The
-    input is read several times, so it should be a stored table.
-
-    Ranking a class as a whole would put it in one task. Instead rows are
-    counted per class and hash bucket, the bucket in which the quota runs out
-    is found on those counts, and only its rows, one in 2^bits, are ranked.
+    the smallest row hashes. ``quota`` is an expression over ``count``. ``key``
+    replaces the hash: whole numbers from 0 to 2^62 - 1, spread evenly; rows of
+    one key go by their columns. ``rest=False`` leaves out rows not drawn.
+
+    Ranking a class as a whole would put it in one task. Instead one pass counts
+    rows per class and hash bucket; the bucket in which the quota runs out is
+    found on those counts. A second pass marks the rows by it and stores them
+    once. Only rows of that bucket, one in 2^bits, are numbered, by prefix sums.
     """
-    hashed = df.withColumn("_hash", _row_hash(df, seed))
+    hashed = df.withColumn("_hash", _row_hash(df, seed) if key is None else key)
     hashed = hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits))
 
     per_bucket = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
@@ -121,40 +125,28 @@ def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET
     edge = edge.filter((F.col("_before") < F.col("_quota")) & (F.col("_quota") <= F.col("_before") + F.col("_n")))
     edge = write_table(edge.select(  # one row per class
         F.col(label).alias("_class"), F.col("_bucket").alias("_edge"),
-        (F.col("_quota") - F.col("_before")).alias("_left")), "edges")
+        (F.col("_quota") - F.col("_before")).alias("_left"), (F.col("_quota") == F.col("_before") + F.col("_n")).alias("_full")), "edges")
 
     rows = hashed.join(edge, F.col(label).eqNullSafe(F.col("_class")), "left")
-    at_edge = is_true(F.col("_bucket") == F.col("_edge"))
-    clear = rows.filter(~at_edge).withColumn("drawn", is_true(F.col("_bucket") < F.col("_edge")))
-    ranked = _rank_edge(rows.filter(at_edge), label)
-    return clear.unionByName(ranked).drop("_hash", "_bucket", "_class", "_edge", "_left")
-
-
-def _rank_edge(rows: DataFrame, label: str) -> DataFrame:
-    """Draw ``_left`` rows of each class by hash order. Copies of one row share
-    a hash and may be many, so they are numbered per stored part and shifted by
-    the counts of the parts before."""
-    rows = write_table(rows.withColumn("_part", F.spark_partition_id()), "edge-rows")
-    group = [label, "_hash", "_part"]
-    before = Window.partitionBy(label).orderBy("_hash", "_part").rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("_n"))
-    parts = parts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    parts = parts.select(F.col(label).alias("_c"), F.col("_hash").alias("_h"), F.col("_part").alias("_p"), "_before")
-    same = F.col(label).eqNullSafe(F.col("_c")) & (F.col("_hash") == F.col("_h")) & (F.col("_part") == F.col("_p"))
-    place = F.row_number().over(Window.partitionBy(*group).orderBy("_hash"))
-    numbered = rows.withColumn("_place", place).join(parts, same)
-    drawn = (F.col("_before") + F.col("_place")) <= F.col("_left")
-    return numbered.withColumn("drawn", drawn).drop("_c", "_h", "_p", "_before", "_place", "_part")
-
-
-def cap_classes(df: DataFrame, label: str, n: int = 150_000, seed: int = 42) -> DataFrame:
+    at_edge = is_true((F.col("_bucket") == F.col("_edge")) & ~F.col("_full"))
+    rows = rows.withColumn("drawn", F.when(~at_edge, is_true(F.col("_bucket") <= F.col("_edge"))))
+    rows = rows if rest else rows.filter(F.coalesce("drawn", F.lit(True)))
+    marked = write_table(rows.select(*df.columns, "_hash", F.when(at_edge, F.col("_left")).alias("_left"), "drawn"), "marked")
+    tied = dense_index(marked.filter("drawn IS NULL").drop("drawn"), [label], ["_hash", *[c for c in df.columns if c != label]], "_i")
+    tied = tied.withColumn("drawn", F.col("_i") <= F.col("_left")).select(*df.columns, "drawn")
+    tied = tied if rest else tied.filter("drawn")
+    return marked.filter("drawn IS NOT NULL").select(*df.columns, "drawn").unionByName(tied)
+
+
+def cap_classes(df: DataFrame, label: str, n: int = 150_000, seed: int = 42, key: Column | None = None) -> DataFrame:
     """At most ``n`` rows of each class, drawn by hash; smaller classes whole."""
-    return draw(df, label, F.least(F.col("count"), F.lit(n)), seed).filter("drawn").drop("drawn")
+    return draw(df, label, F.least(F.col("count"), F.lit(n)), seed, key=key, rest=False).drop("drawn")
 
 
-def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(train, test): the given share of every class is for testing."""
-    marked = draw(df, label, F.floor(F.col("count") * F.lit(test) + F.lit(0.5)), seed)
+def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed: int = 42, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """(train, test): the given share of every class is for testing. Both are
+    read from one stored mark."""
+    marked = write_table(draw(df, label, F.floor(F.col("count") * F.lit(test) + F.lit(0.5)), seed, key=key), "split")
     return marked.filter(~F.col("drawn")).drop("drawn"), marked.filter("drawn").drop("drawn")
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..config import Config, DEFAULT
 from ..operators import gates, response, verdict
-from ..operators.features import flow_features, rate_features, session_features, slice_size
+from ..operators.features import flow_features, packet_ids, rate_features, session_features, slice_size
 from ..runtime import write_table
 
 
@@ -58,14 +58,20 @@ def decide_packets(packets: DataFrame, cfg: Config = DEFAULT, score_columns=None
 def detect(packets: DataFrame, cfg: Config = DEFAULT, score_columns=None, scorer=None,
            blocked: DataFrame | None = None, warnings: DataFrame | None = None,
            commands: DataFrame | None = None, skew: str = "auto", scope: tuple[str, ...] = ("sensor_id",),
-           time_us: str = "ts_us", store: bool = True) -> Detection:
+           time_us: str = "ts_us", store: bool = True, ids_after: int | None = None) -> Detection:
     """The whole chain with feedback. Without a model nothing can trigger a
-    block, so the fixpoint is skipped unless there are commands to replay."""
+    block, so the fixpoint is skipped unless there are commands to replay.
+
+    A log's id is its ``seq``. Where ``seq`` starts anew in each capture, give
+    ``ids_after``, the highest id stored so far (see ``next_id``): ids are then
+    unique over all sessions."""
+    log_id = "seq" if ids_after is None else "id"
+    packets = packets if ids_after is None else packet_ids(packets, ids_after)
     rows = decide_packets(packets, cfg, score_columns, scorer, skew)
     if score_columns is None and scorer is None and commands is None:
         rows = response.preview_action(rows, blocked, cfg)
-        return Detection(verdict.build_logs(rows, time_us), None)
+        return Detection(verdict.build_logs(rows, time_us, log_id), None)
     if store:
         rows = write_table(rows, "decided")  # the replay reads it twice
     replay = response.replay_response(rows, blocked, warnings, commands, scope, "seq", cfg)
-    return Detection(verdict.build_logs(replay.rows, time_us), replay)
+    return Detection(verdict.build_logs(replay.rows, time_us, log_id), replay)

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.datasets import normalise_columns
@@ -16,6 +18,30 @@ def list_files(spark: SparkSession, pattern: str) -> list[str]:
     return sorted(r[0] for r in listing.collect())
 
 
+def _first_lines(full: int):
+    """The first line of each file in a task's splits. A split of ``full`` bytes
+    has its task to itself, so no more of it is read than one batch."""
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            for path, start, size, line in zip(*(c.to_pylist() for c in batch.columns)):
+                if start == 0 and path not in seen:
+                    seen.add(path)
+                    yield pa.RecordBatch.from_pydict({"path": [path], "line": [line]})
+            if batch.num_rows and batch.column(2)[0].as_py() >= full:
+                return
+    return read
+
+
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """First line by path, for all files in one job. Empty files have none."""
+    at = F.col("_metadata")
+    rows = spark.read.text(paths).select(at.file_path.alias("path"), at.file_block_start.alias("start"), at.file_block_length.alias("size"), "value")
+    full = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.files.maxPartitionBytes"))
+    found = rows.mapInArrow(_first_lines(int(full)), "path string, line string").collect()  # one short row for each file
+    return {r.path: r.line for r in found}
+
+
 def read_flows(spark: SparkSession, kind: str, path: str, max_files: int | None = None,
                limit_rows: int | None = None) -> DataFrame:
     """CSV flow records of one ``kind`` (cic, netflow, iot) by glob, typed.
@@ -30,9 +56,10 @@ def read_flows(spark: SparkSession, kind: str, path: str, max_files: int | None
         paths = paths[:max_files]
     if not paths:
         raise FileNotFoundError(f"no files match {path}")
-    by_header: dict[tuple[str, ...], list[str]] = {}
-    for p in paths:  # reads one line per file
-        by_header.setdefault(tuple(spark.read.csv(p, header=True).columns), []).append(p)
+    lines = headers(spark, paths)
+    by_header: dict[str, list[str]] = {}
+    for p in paths:
+        by_header.setdefault(lines.get(p, ""), []).append(p)
 
     def typed(f):
         c = F.col(f"`{f.name}`")

@@ -1,40 +1,75 @@
-"""Small per-key tables handed from one micro-batch to the next."""
+"""Per-key tables handed from one micro-batch to the next, in hash buckets."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyarrow import fs
 
 from ..runtime import delete_table
 
+BUCKET = "_k"
+
 
 class CarryTable:
-    """One row per key, versioned by batch.
+    """One row per key. Keys are hashed into buckets, and each version of a
+    bucket is a folder ``_k=<bucket>/_b=<batch>``.
 
-    A batch writes only the keys it touched, into a folder of its own, and
-    every ``full_every`` batches all keys. A batch reads the versions before
-    its own, so running a batch again gives the same result. Versions that no
-    batch can need any more are deleted.
+    A batch reads the newest earlier version of the buckets that its keys fall
+    into, and writes these buckets as a whole; the others are neither read nor
+    written. One further bucket is swept in turn, so that rows which have expired
+    go even if no batch asks for their bucket. A batch that runs again reads the
+    same versions and writes over its own. Older versions are deleted.
     """
 
-    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, full_every: int = 20):
-        self.spark, self.path, self.keys, self.full_every = spark, path, keys, full_every
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], schema: str, buckets: int = 64):
+        self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
         self.schema = T.StructType.fromDDL(schema)
+        self._open: dict[int, list[int]] = {}  # batch -> the buckets it has asked for
+
+    def bucket(self) -> Column:
+        return F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(self.buckets))
+
+    def before(self, batch_id: int, touched: DataFrame) -> DataFrame:
+        """The rows, from the batches before this one, of the buckets in which
+        the keys of ``touched`` lie."""
+        asked = {r[0] for r in touched.select(self.bucket().alias("k")).distinct().collect()}  # at most ``buckets`` numbers
+        self._open[batch_id] = sorted(asked | {batch_id % self.buckets})
+        paths = [p for k in self._open[batch_id] if (p := self._newest(k, batch_id))]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.schema(self._stored()).parquet(*paths).filter(F.col("_row")).select(*self.schema.names)
 
-    def before(self, batch_id: int) -> DataFrame:
-        """Latest row of each key from the batches before this one."""
-        if batch_id == 0:
+    def save(self, batch_id: int, touched: DataFrame, before: DataFrame, keep: Column | None = None) -> None:
+        """Write the opened buckets: ``touched``, and the rows of ``before`` with
+        other keys that ``keep`` holds for."""
+        rest = before.join(touched.select(*self.keys), self.keys, "left_anti")
+        rows = touched.select(*self.schema.names).unionByName(rest if keep is None else rest.filter(keep))
+        rows = rows.withColumns({"_row": F.lit(True), BUCKET: self.bucket()})
+        # a bucket without rows is written too, or its last version would count
+        marks = self.spark.createDataFrame([(False, k) for k in self._open[batch_id]], f"_row boolean, {BUCKET} int")
+        out = rows.unionByName(marks, allowMissingColumns=True).withColumn("_b", F.lit(batch_id))
+        out.repartition(BUCKET).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET, "_b").parquet(self.path)
+        for k in self._open[batch_id]:
+            for old in self._versions(k, batch_id)[:-1]:
+                delete_table(f"{self.path}/{BUCKET}={k}/_b={old}")
+
+    def current(self) -> DataFrame:
+        """All rows after the last batch."""
+        paths = [p for k in range(self.buckets) if (p := self._newest(k, 1 << 62))]
+        if not paths:
             return self.spark.createDataFrame([], self.schema)
-        oldest = (batch_id - 1) // self.full_every * self.full_every
-        stored = self.spark.read.schema(T.StructType([*self.schema.fields, T.StructField("b", T.LongType())]))
-        rows = stored.parquet(self.path).filter((F.col("b") >= oldest) & (F.col("b") < batch_id))
-        newest = Window.partitionBy(*self.keys).orderBy(F.desc("b"))
-        return rows.withColumn("_v", F.row_number().over(newest)).filter("_v = 1").select(*self.schema.names)
-
-    def save(self, batch_id: int, touched: DataFrame, before: DataFrame) -> None:
-        rows = touched.select(*self.schema.names)
-        if batch_id % self.full_every == 0:
-            rows = rows.unionByName(before.join(touched.select(*self.keys), self.keys, "left_anti"))
-        rows.write.mode("overwrite").parquet(f"{self.path}/b={batch_id}")
-        if batch_id % self.full_every == 0:  # batch_id may run again, and reads from the full version before it
-            for old in range(max(0, batch_id - 2 * self.full_every), batch_id - self.full_every):
-                delete_table(f"{self.path}/b={old}")
+        return self.spark.read.schema(self._stored()).parquet(*paths).filter(F.col("_row")).select(*self.schema.names)
+
+    def _stored(self) -> T.StructType:
+        return T.StructType([*self.schema.fields, T.StructField("_row", T.BooleanType())])
+
+    def _versions(self, bucket: int, before: int) -> list[int]:
+        """Batches before the given one that have written the bucket."""
+        uri = self.path if "://" in self.path else f"file://{self.path.removeprefix('file:')}"
+        where, root = fs.FileSystem.from_uri(uri)
+        found = where.get_file_info(fs.FileSelector(f"{root}/{BUCKET}={bucket}", allow_not_found=True))
+        return sorted(b for f in found if f.base_name.startswith("_b=") and (b := int(f.base_name[3:])) < before)
+
+    def _newest(self, bucket: int, before: int) -> str | None:
+        versions = self._versions(bucket, before)
+        return f"{self.path}/{BUCKET}={bucket}/_b={versions[-1]}" if versions else None

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config, DEFAULT
+from ..functions import network as net
 from ..operators import dashboard as dash, gates, response, verdict
-from ..operators.features import SESSION, flow_features, rate_features, session_features
+from ..operators.features import SESSION, flow_features, packet_ids, rate_features, session_features, slice_size
 from ..operators.history import join_tails, tails
 from ..plans.detect import scored_rows, usable_scorer
 from ..runtime import step_tables, write_table
@@ -42,55 +43,81 @@ class LiveDetection:
     blocked: DataFrame | None = None    # addresses blocked from the start: sensor_id, ip
     commands: object = None             # batch_id -> manual changes, see replay_response
     idle_timeout: float | None = None   # seconds after which a silent flow is forgotten
+    number: bool = False                # ids over all sessions, where seq starts anew in each
+    buckets: int = 64                   # of each carry table: a batch reads those of its keys
     sessions: CarryTable = field(init=False)
     flows: CarryTable = field(init=False)
     votes: CarryTable = field(init=False)
     responses: CarryTable = field(init=False)
+    ids: CarryTable = field(init=False)
 
     def __post_init__(self):
-        self.sessions = CarryTable(self.spark, f"{self.state}/sessions", SESSION, SESSION_TAIL)
-        self.flows = CarryTable(self.spark, f"{self.state}/flows", FLOW, FLOW_STATE)
-        self.votes = CarryTable(self.spark, f"{self.state}/votes", gates.VOTER, VOTE_TAIL)
-        self.responses = CarryTable(self.spark, f"{self.state}/responses", ["sensor_id", "ip"], RESPONSE)
+        def table(name: str, keys: list[str], schema: str, buckets: int = self.buckets) -> CarryTable:
+            return CarryTable(self.spark, f"{self.state}/{name}", keys, schema, buckets)
+
+        self.sessions = table("sessions", SESSION, SESSION_TAIL)
+        self.flows = table("flows", FLOW, FLOW_STATE)
+        self.votes = table("votes", gates.VOTER, VOTE_TAIL)
+        self.responses = table("responses", ["sensor_id", "ip"], RESPONSE)
+        self.ids = table("ids", ["name"], "name string, last bigint", 1)
 
     def on_time(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
         """The packets of a batch that come in order, and the others."""
-        last = self.sessions.before(batch_id).select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
+        last = self.sessions.before(batch_id, rows).select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
         copy = F.row_number().over(Window.partitionBy(*SESSION, "seq").orderBy("ts_us"))
         rows = rows.join(last, SESSION, "left").withColumn("_copy", copy)
         late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False)) | (F.col("_copy") > 1)
         rows = write_table(rows.withColumn("_late", late).drop("_last", "_copy"), "packets")
         return rows.filter("NOT _late").drop("_late"), rows.filter("_late").drop("_late")
 
-    def session_carry(self, rows: DataFrame, batch_id: int) -> DataFrame:
+    def numbered(self, packets: DataFrame, batch_id: int) -> DataFrame:
+        """Ids after those of the batches before."""
+        before = self.ids.before(batch_id, self.spark.createDataFrame([("packets",)], "name string"))
+        last = before.first()
+        packets = write_table(packet_ids(packets, last["last"] if last else 0), "numbered")
+        now = packets.agg(F.lit("packets").alias("name"), F.max("id").alias("last")).filter("last IS NOT NULL")
+        self.ids.save(batch_id, now, before)
+        return packets
+
+    def session_carry(self, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
         """Session features of a batch, given the tails before it."""
-        before, n = self.sessions.before(batch_id), self.cfg.rolling_window
+        before, n = self.sessions.before(batch_id, rows), self.cfg.rolling_window
         now = tails(rows, SESSION, "seq", ["ts_us", "length"], n)
         self.sessions.save(batch_id, join_tails(before, now, SESSION, n), before)
-        return session_features(rows, self.cfg, None, before)
-
-    def flow_carry(self, packets: DataFrame, rows: DataFrame, batch_id: int) -> DataFrame:
-        """Flow features of a batch, given the flows before it."""
-        before = self.flows.before(batch_id)
+        known = before.join(rows.select(*SESSION).distinct(), SESSION, "left_semi")
+        return session_features(rows, self.cfg, size, known)
+
+    def flow_carry(self, packets: DataFrame, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
+        """Flow features of a batch, given the flows before it. Flows that have
+        been silent twice as long as ``idle_timeout`` leave the table."""
+        keyed = packets.withColumn("flow_key", net.flow_key()).withColumn("flow_id", net.flow_id("flow_key"))
+        before = self.flows.before(batch_id, keyed)
         known, after = batch_state(packets, before, self.cfg, self.idle_timeout)
-        self.flows.save(batch_id, after, before)
-        return flow_features(rows, self.cfg, None, flow_history(known))
-
-    def vote_carry(self, rows: DataFrame, batch_id: int) -> DataFrame:
+        keep = None
+        if self.idle_timeout is not None:
+            newest = packets.agg(F.max("ts_us")).first()[0]
+            keep = None if newest is None else F.col("last_us") >= newest - int(2 * self.idle_timeout * 1_000_000)
+        self.flows.save(batch_id, after, before, keep)
+        return flow_features(rows, self.cfg, size, flow_history(known))
+
+    def vote_carry(self, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
         """Vote shares of a batch, given the votes before it."""
-        before = self.votes.before(batch_id)
+        before = self.votes.before(batch_id, rows)
         now = gates.vote_tails(rows, self.cfg)
         self.votes.save(batch_id, join_tails(before, now, gates.VOTER, self.cfg.vote_window), before)
         touched = before.join(rows.select(*gates.VOTER).distinct(), gates.VOTER, "left_semi")
-        return gates.consensus(rows, self.cfg, None, touched)
+        return gates.consensus(rows, self.cfg, size, touched)
 
     def response_batch(self, rows: DataFrame, batch_id: int) -> response.Replay:
         """Replay a batch on top of the blocks and warnings before it."""
-        before = self.responses.before(batch_id)
-        if batch_id == 0 and self.blocked is not None:
-            first = self.blocked.select("sensor_id", "ip").distinct()
-            before = first.withColumns({"blocked": F.lit(True), "open_warnings": F.lit(0)})
         commands = self.commands(batch_id) if self.commands else None
+        named = rows.select("sensor_id", F.col("source_ip").alias("ip")).union(rows.select("sensor_id", "destination_ip"))
+        if commands is not None:
+            named = named.union(commands.select("sensor_id", "ip"))
+        first = self.blocked.select("sensor_id", "ip").distinct() if batch_id == 0 and self.blocked is not None else None
+        before = self.responses.before(batch_id, named if first is None else named.union(first))
+        if first is not None:
+            before = first.withColumns({"blocked": F.lit(True), "open_warnings": F.lit(0)})
         replay = response.replay_response(
             rows, before.filter("blocked").select("sensor_id", "ip"),
             before.filter("open_warnings > 0").select("sensor_id", "ip", F.col("open_warnings").alias("count")),
@@ -107,18 +134,20 @@ class LiveDetection:
         cfg = self.cfg
         packets, late = self.on_time(batch, batch_id)
         late.write.mode("overwrite").parquet(f"{self.state}/rejects/b={batch_id}")
-        rows = self.flow_carry(packets, self.session_carry(packets, batch_id), batch_id)
+        packets = self.numbered(packets, batch_id) if self.number else packets
+        size = slice_size(packets, cfg, "auto")
+        rows = self.flow_carry(packets, self.session_carry(packets, batch_id, size), batch_id, size)
         rows = rate_features(rows)
         scorer = usable_scorer(rows.columns, self.scorer)
         if self.score_columns is None and scorer is None:
             decided = gates.metadata_rules(rows, cfg)
         else:
             scored = write_table(scored_rows(rows, cfg, self.score_columns, scorer), "scored")
-            decided = gates.decide(self.vote_carry(scored, batch_id), cfg)
+            decided = gates.decide(self.vote_carry(scored, batch_id, size), cfg)
         decided = write_table(verdict.classify(decided, cfg), "decided")
         replay = self.response_batch(decided, batch_id)
         replay.rejects.write.mode("overwrite").parquet(f"{self.state}/bad-sources/b={batch_id}")
-        append_once(write_table(verdict.build_logs(replay.rows), "batch_logs"), self.logs, batch_id)
+        append_once(write_table(verdict.build_logs(replay.rows, log_id="id" if self.number else "seq"), "batch_logs"), self.logs, batch_id)
 
 
 def start_detection(packets: DataFrame, detection: LiveDetection, checkpoint: str,

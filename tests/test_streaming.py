@@ -64,21 +64,64 @@ def test_repeated_batch(spark, folder):
     assert sorted(map(str, current_logs(spark, f"{folder}/logs").collect())) == sorted(map(str, want.collect()))
 
 
-def test_idle_flows_begin_anew(spark, folder):
+def test_idle_flows_begin_anew_and_are_freed(spark, folder):
     rows = packets(10, 30)
-    logs = run(spark, folder, [rows, [{**r, "seq": r["seq"] + 1000, "ts_us": r["ts_us"] + 10 ** 10} for r in rows]], idle_timeout=60)
-    counted = {r.id: r.flow_packet_count for r in logs.collect()}
+    later = [{**r, "seq": r["seq"] + 1000, "ts_us": r["ts_us"] + 10 ** 10} for r in rows]
+    once = [{**r, "session_id": "gone"} for r in rows]
+    logs = run(spark, folder, [once + rows, later], idle_timeout=60, buckets=1)
+    counted = {r.id: r.flow_packet_count for r in logs.filter("session_id = 's'").collect()}
     again = [i for i in counted if i <= 1000 and i + 1000 in counted]
     assert len(again) > 20 and all(counted[i] == counted[i + 1000] for i in again)
+    flows = LiveDetection(spark, f"{folder}/logs", f"{folder}/state", CFG, buckets=1).flows.current()
+    assert flows.count() > 3 and flows.filter("session_id = 'gone'").isEmpty()
 
 
-def test_carry_tables_drop_old_versions(spark, folder):
-    import os
+def test_busy_batch_is_cut(spark, folder):
+    """A key with more rows in a batch than a task should sort, with state from
+    the batches before."""
+    import dataclasses
+    rows = packets(12, 300, hot=0.7)
+    logs = run(spark, folder, [rows[:50], rows[50:]], dataclasses.replace(CFG, slice_rows=40))
+    want = detect(frame(spark, rows), CFG, score_columns=scores(), skew="whole").logs
+    assert sorted(map(str, logs.collect())) == sorted(map(str, want.collect()))
+
 
+def test_ids_over_captures(spark, folder):
+    """Sessions count from 0 each; ids go on from batch to batch."""
+    rows = [{**r, "session_id": s, "seq": i} for s in ("x", "y") for i, r in enumerate(packets(13, 40))]
+    logs = run(spark, folder, [[r for r in rows if r["seq"] < 20], [r for r in rows if r["seq"] >= 20]], number=True)
+    ids = [r.id for r in logs.collect()]
+    assert len(set(ids)) == 80 and min(ids) == 1  # a session takes as many ids as its seq spans
+    whole = detect(frame(spark, rows), CFG, score_columns=scores(), scope=("sensor_id", "session_id"), ids_after=500).logs
+    placed = {(r.sensor_id, r.session_id, r.id) for r in whole.collect()}
+    assert len({i for *_, i in placed}) == 80 and min(i for *_, i in placed) == 501
+    order = sorted(placed, key=lambda r: r[2])
+    assert order == sorted(order)
+
+
+def test_carry_tables_touch_only_their_buckets(spark, folder):
     from flowloom.streaming.carry import CarryTable
-    table = CarryTable(spark, f"{folder}/carry", ["k"], "k int, v int", full_every=2)
-    for b in range(9):
-        before = table.before(b)
-        assert {r.k: r.v for r in before.collect()} == ({0: b - 1, b - 1: b - 1} if b > 1 else {0: 0} if b else {}) | {k: k for k in range(1, b - 1)}
-        table.save(b, spark.createDataFrame([(0, b)] + ([(b, b)] if b else []), "k int, v int"), before)
-    assert min(int(d[2:]) for d in os.listdir(f"{folder}/carry") if d.startswith("b=")) >= 4
+    table = CarryTable(spark, f"{folder}/carry", ["k"], "k int, v int", 16)
+
+    def make(pairs):
+        return spark.createDataFrame(pairs, "k int, v int")
+
+    want: dict = {}
+    for b in range(6):
+        new = {0: b, 10 + b: b} if b else {k: 0 for k in range(300)}
+        touched = make(list(new.items()))
+        before = table.before(b, touched)
+        if b:
+            assert len(before.inputFiles()) <= 3  # the buckets of two keys, and the one swept
+        got = {r.k: r.v for r in before.collect()}
+        assert all(got.get(k) == want.get(k) for k in new) and got.items() <= want.items()
+        for _ in range(2):  # a batch may run again
+            table.save(b, touched, table.before(b, touched))
+        want |= new
+    assert {r.k: r.v for r in table.current().collect()} == want
+    # rows that have expired go, also from buckets that no batch asks for
+    for b in range(6, 6 + 16):
+        table.save(b, make([]), table.before(b, make([])), F.col("v") > 0)
+    assert {r.k: r.v for r in table.current().collect()} == {k: v for k, v in want.items() if v > 0}
+    import os
+    assert all(len(os.listdir(f"{folder}/carry/{d}")) <= 2 for d in os.listdir(f"{folder}/carry") if d.startswith("_k="))

@@ -175,11 +175,44 @@ def flow_count(spark, sf):
     return feat.flow_count(views.packets(spark, sf))
 
 
-@query("packet_ids", o.chain(*o.LOGS, select="SELECT max(id) AS max_id FROM logs"))
-def packet_ids(spark, sf):
+@query("next_log_id", o.chain(*o.LOGS, select="SELECT max(id) AS max_id FROM logs"))
+def next_log_id(spark, sf):
     return feat.next_id(preview_logs(spark, sf))
 
 
+def captured(spark, sf):
+    """The packets as captures: in each, ``seq`` starts anew."""
+    first = F.regexp_extract("session_id", "[0-9]+", 0).cast("long") * 5000
+    return views.packets(spark, sf).withColumn("seq", F.col("seq") - first)
+
+
+FIRST_ID = 1000
+_CAPTURE_IDS = f"""spans AS (SELECT sensor_id, session_id, min(id) AS lo, max(id) - min(id) + 1 AS span FROM {{rows}} GROUP BY ALL),
+placed AS (SELECT *, {FIRST_ID} + 1 + coalesce(sum(span) OVER (ORDER BY sensor_id, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM spans)"""
+
+
+@query("packet_ids", o.chain(*o.BASE, "given AS (SELECT *, seq AS id FROM packets)", _CAPTURE_IDS.format(rows="given"), select="""
+SELECT sensor_id, session_id, id % 5000 AS seq, CAST(base + id - lo AS BIGINT) AS id FROM given JOIN placed USING (sensor_id, session_id)"""))
+def packet_ids(spark, sf):
+    """Ids that are unique although each capture counts from 0."""
+    return feat.packet_ids(captured(spark, sf), FIRST_ID).select("sensor_id", "session_id", "seq", "id")
+
+
+def capture_logs(spark, sf):
+    rows = decide_packets(feat.packet_ids(captured(spark, sf), FIRST_ID), score_columns=stub_scores_of_events())
+    return write_table(verdict.build_logs(response.preview_action(rows, static_blocklist(spark)), log_id="id"), "capture_logs")
+
+
+def stub_scores_of_events() -> dict:
+    """The stand-in scores by the number that a packet had before captures."""
+    named = lambda text: F.expr(text.replace("seq", "(seq + CAST(regexp_extract(session_id, '[0-9]+', 0) AS BIGINT) * 5000)"))
+    mal = named(views.STUB_MAL)
+    return scoring.two_stage_columns(named(views.STUB_BINARY), mal, F.greatest(mal, F.lit(100.0) - mal),
+                                     named(views.STUB_ATTACK), named(views.STUB_ATTACK_CONF), DEFAULT)
+
+
+
+
 @query("filtered_capture", o.chain(
     *o.BASE, "kept AS (SELECT * FROM keyed WHERE protocol IN ('TCP', 'UDP') AND (source_port IN (443, 53) OR destination_port IN (443, 53)))",
     o.SESSION.format(source="kept"), select=_SESSION_SELECT))
@@ -437,6 +470,26 @@ def recent_logs(spark, sf):
     return with_micros(lq.recent_logs(preview_logs(spark, sf)))
 
 
+CAPTURE_LOGS = (*o.LOGS, _CAPTURE_IDS.format(rows="logs"),
+                "captures AS (SELECT * EXCLUDE (lo, span, base) REPLACE (CAST(base + id - lo AS BIGINT) AS id) FROM logs JOIN placed USING (sensor_id, session_id))")
+
+
+@query("capture_recent_logs", o.chain(*CAPTURE_LOGS, select=_REWRITE.format(src="(FROM captures ORDER BY id DESC LIMIT 500)")))
+def capture_recent_logs(spark, sf):
+    """The latest rows over several captures, each with a ``seq`` of its own."""
+    return with_micros(lq.recent_logs(capture_logs(spark, sf)))
+
+
+@query("capture_event_details", o.chain(*CAPTURE_LOGS, select="""
+SELECT id, signature, rule_id, severity, flow_id, flow_packet_count, reason, action FROM captures WHERE id IN (SELECT min(id) FROM captures
+ UNION ALL SELECT max(id) FROM captures)"""))
+def capture_event_details(spark, sf):
+    """Details by id, one row for each."""
+    logs = capture_logs(spark, sf)
+    ids = logs.agg(F.min("id"), F.max("id")).first()
+    return dash.event_detail(logs, ids[0]).unionByName(dash.event_detail(logs, ids[1])).select("id", "signature", "rule_id", "severity", "flow_id", "flow_packet_count", "reason", "action")
+
+
 @query("log_summary", o.chain(*o.LOGS, select=f"""
 SELECT count(*) AS packets, count(*) FILTER (severity <> 'info' AND lower(coalesce(attack_label, prediction, ''))
   NOT IN ('other', 'unknown', 'suspicious', 'none')) AS alerts,
@@ -772,21 +825,29 @@ def grouped_attacks(spark, sf):
     return attacks(spark, sf)
 
 
-@query("capped_classes", o.chain(*o.CLEAN, *o.ATTACKS, select=f"""
-SELECT attack_type, least(count(*), {o.CAP}) AS n FROM attacks GROUP BY 1"""))
+# a key order that both engines can repeat: ties go by the columns
+_DRAW = """(CAST(total_bytes AS BIGINT) * 7919 + CAST(total_packets AS BIGINT) * 104729 + CAST(dst_port AS BIGINT) * 31
+ + CAST(floor(flow_duration * 100) AS BIGINT) * 15485863) % 1000003"""
+_DRAWN = f"""drawn AS (SELECT *, row_number() OVER (PARTITION BY attack_type ORDER BY {_DRAW}, {', '.join(o.FEATURES16)}) AS place,
+ count(*) OVER (PARTITION BY attack_type) AS of_class FROM attacks)"""
+_DRAWN_COLUMNS = ("attack_type", "total_bytes", "total_packets", "flow_duration", "dst_port", "flow_rate")
+
+
+def _draw_key():
+    return F.expr(_DRAW) * F.lit((1 << 62) // 1000003)
+
+
+@query("capped_classes", o.chain(*o.CLEAN, *o.ATTACKS, _DRAWN, select=f"SELECT {', '.join(_DRAWN_COLUMNS)} FROM drawn WHERE place <= {o.CAP}"))
 def capped_classes(spark, sf):
-    return prep.cap_classes(write_table(attacks(spark, sf), "attacks"), "attack_type", o.CAP).groupBy("attack_type").agg(
-        F.count(F.lit(1)).alias("n"))
+    return prep.cap_classes(attacks(spark, sf), "attack_type", o.CAP, key=_draw_key()).select(*_DRAWN_COLUMNS)
 
 
-@query("stratified_split", o.chain(*o.CLEAN, *o.ATTACKS, select="""
-SELECT attack_type, count(*) - CAST(floor(count(*) * 0.2e0 + 0.5e0) AS BIGINT) AS train_rows,
- CAST(floor(count(*) * 0.2e0 + 0.5e0) AS BIGINT) AS test_rows FROM attacks GROUP BY 1"""))
+@query("stratified_split", o.chain(*o.CLEAN, *o.ATTACKS, _DRAWN, select=f"""
+SELECT {', '.join(_DRAWN_COLUMNS)}, CASE WHEN place <= floor(of_class * 0.2e0 + 0.5e0) THEN 'test' ELSE 'train' END AS part FROM drawn"""))
 def stratified_split(spark, sf):
-    train, test = prep.stratified_split(write_table(attacks(spark, sf), "attacks"), "attack_type")
-    both = train.select("attack_type", F.lit(1).alias("a"), F.lit(0).alias("b")).unionAll(
-        test.select("attack_type", F.lit(0).alias("a"), F.lit(1).alias("b")))
-    return both.groupBy("attack_type").agg(F.sum("a").alias("train_rows"), F.sum("b").alias("test_rows"))
+    train, test = prep.stratified_split(attacks(spark, sf), "attack_type", key=_draw_key())
+    halves = train.withColumn("part", F.lit("train")).unionByName(test.withColumn("part", F.lit("test")))
+    return halves.select(*_DRAWN_COLUMNS, "part")
 
 
 _DERIVED_SQL = """SELECT attack_type, {r3b} AS bytes_per_packet, {pps} AS packets_per_second, {rate} AS byte_rate,
@@ -1067,13 +1128,14 @@ def capped_captures(spark, sf):
 
 
 @query("some_csv_flows", o.chain(o.FLOWS, select="""
-SELECT ds, CASE ds WHEN 0 THEN count(*) ELSE least(count(*), 100) END AS n FROM flows_raw WHERE ds IN (0, 3) GROUP BY 1"""))
+SELECT ds, CASE ds WHEN 0 THEN count(*) FILTER (rid % 4 < 2) ELSE least(count(*), 100) END AS n FROM flows_raw WHERE ds IN (0, 3) GROUP BY 1"""))
 def some_csv_flows(spark, sf):
-    """The first two files of a folder of two, and any hundred rows of another."""
-    flows = views.flows_raw(spark, sf)
-    first, rest = files.write_csv(raw_cic(flows).repartition(2), "cic", True), files.write_csv(raw_iot(flows), "iot")
-    one = read_flows(spark, "cic", f"{first}/*.csv", max_files=2)
-    some = read_flows(spark, "iot", f"{rest}/*.csv", limit_rows=100)
+    """The first two files of four by name, and any hundred rows of another folder."""
+    flows, folder = views.flows_raw(spark, sf), new_table_path(spark, "cic-files")
+    for k in range(4):
+        raw_cic(flows.filter(F.col("rid") % 4 == k)).coalesce(1).write.csv(f"{folder}/part={k}", header=True)
+    one = read_flows(spark, "cic", f"{folder}/*/*.csv", max_files=2)
+    some = read_flows(spark, "iot", f"{files.write_csv(raw_iot(flows), 'iot')}/*.csv", limit_rows=100)
     return one.agg(F.lit(0).alias("ds"), F.count(F.lit(1)).alias("n")).unionByName(some.agg(F.lit(3).alias("ds"), F.count(F.lit(1)).alias("n")))
 
 
