@@ -1053,6 +1053,27 @@ def streamed_late_packets(spark, sf):
         F.lit("flow_bytes"), F.col("fb")).alias("what", "n"))
 
 
+GAP_US = 3_600_000_000
+
+
+@query("streamed_idle_flows", o.chain(o.EV, o.PACKETS, f"""gapped AS (SELECT * REPLACE (ts_us + CASE WHEN seq * 2 > top THEN {GAP_US} ELSE 0 END AS ts_us),
+  seq * 2 > top AS late FROM packets, (SELECT max(seq) AS top FROM packets))""", """keyed AS (SELECT *, concat_ws('|', coalesce(source_ip, 'None'), coalesce(destination_ip, 'None'),
+  CASE WHEN protocol_number <> 0 THEN CAST(protocol_number AS VARCHAR) ELSE protocol END) AS flow_key FROM gapped)""", select=f"""
+SELECT seq AS id, row_number() OVER w AS flow_packet_count, CAST(sum(length) OVER w AS BIGINT) AS flow_byte_count,
+ {o.r3("greatest(ts_us - first(ts_us) OVER w, 1) / 1e6")} AS flow_duration FROM keyed
+WINDOW w AS (PARTITION BY sensor_id, session_id, flow_key, late ORDER BY seq ROWS UNBOUNDED PRECEDING)"""))
+def streamed_idle_flows(spark, sf):
+    """A pause of an hour in the middle: flows begin anew, and leave the state."""
+    top = views.packets(spark, sf).agg(F.max("seq")).first()[0]
+    late = F.col("seq") * 2 > top
+    rows = views.packets(spark, sf).withColumn("ts_us", F.col("ts_us") + F.when(late, F.lit(GAP_US)).otherwise(0)).select(*PACKETS.names)
+    live = live_detection(spark, sf)
+    live.idle_timeout = 60.0
+    live(rows.filter(~late), 0)
+    live(rows.filter(late), 1)
+    return current_logs(spark, live.logs).select("id", "flow_packet_count", "flow_byte_count", "flow_duration")
+
+
 @query("streamed_again", o.chain(*o.REPLAY_LOGS, select=_LOG_SQL))
 def streamed_again(spark, sf):
     """A batch that runs a second time leaves the log table as it was."""
