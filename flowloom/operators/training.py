@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections import Counter
+from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import add
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -35,6 +38,8 @@ MULTICLASS = TreeSettings(depth=6)
 ATTACK = TreeSettings(depth=9, rate=0.04, subsample=0.85, column_share=0.85)
 
 
+AT_ONCE = 4  # models of one-against-rest that are fitted at the same time
+
 # --- preparation ------------------------------------------------------------
 
 def index_labels(df: DataFrame, label: str, out: str = "label_index") -> tuple[DataFrame, list[str]]:
@@ -79,21 +84,41 @@ def mutual_information(df: DataFrame, columns: Sequence[str], label: str, bins:
                        edges: dict[str, Sequence[float]] | None = None) -> DataFrame:
     """Mutual information (nats) of each binned feature with the class.
 
-    Features are cut at the given edges, or at approximate quantiles. Only counts per (feature, bin,
-    class) are shuffled, after partial counting in each task.
+    Features are cut at the given edges, or at approximate quantiles (a mergeable
+    sketch). Tasks read each row once: they find bin numbers by binary search
+    and keep one count per feature, bin and class, and only these are shuffled.
+    A null is a bin of its own, a NaN lies above all edges.
     """
     probs = [i / bins for i in range(1, bins)]
-    cuts = [edges[c] for c in columns] if edges else df.approxQuantile(list(columns), probs, 0.001)
-    binned = []
-    for name, inner in zip(columns, cuts):
-        value = F.col(name).cast("double")
-        above = [(value > F.lit(e)).cast("int") for e in sorted(set(inner))]
-        binned.append(F.struct(F.lit(name).alias("feature"), reduce(add, above, F.lit(0)).alias("bin")))
-    counts = (
-        df.select(F.col(label).alias("cls"), F.explode(F.array(*binned)).alias("b"))
-        .groupBy("b.feature", "b.bin", "cls").agg(F.count(F.lit(1)).alias("n"))
-    )
-    return mutual_information_of(counts)
+    given = [edges[c] for c in columns] if edges else df.approxQuantile(list(columns), probs, 0.001)
+    cuts = {c: sorted(set(inner)) for c, inner in zip(columns, given)}
+    kind = df.schema[label].dataType.simpleString()
+    values = df.select(F.col(label).alias("cls"), *[F.col(c).cast("double").alias(c) for c in columns])
+    counts = values.mapInPandas(_bin_counts(cuts), f"feature string, bin int, cls {kind}, n bigint")
+    return mutual_information_of(counts.groupBy("feature", "bin", "cls").agg(F.sum("n").alias("n")))
+
+
+def _bin_counts(cuts: dict[str, list[float]]):
+    """Rows of a task to counts by feature, bin and class."""
+    def count(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found: Counter = Counter()
+        for pdf in parts:
+            codes, names = pd.factorize(pdf["cls"], use_na_sentinel=False)
+            for feature, inner in cuts.items():
+                value = pdf[feature].to_numpy("float64", na_value=np.nan)
+                width = len(inner) + 2
+                place = np.where(pdf[feature].isna(), width - 1, np.searchsorted(inner, value, side="left"))
+                for at, n in enumerate(np.bincount(codes * width + place, minlength=len(names) * width)):
+                    if n:
+                        found[feature, at % width if at % width < width - 1 else None, _plain(names[at // width])] += int(n)
+        rows = [(*key, n) for key, n in found.items()]
+        out = pd.DataFrame(rows, columns=["feature", "bin", "cls", "n"])
+        yield out.astype({"bin": "Int32", "n": "int64"})
+    return count
+
+
+def _plain(name):
+    return None if pd.isna(name) else name
 
 
 def mutual_information_of(counts: DataFrame) -> DataFrame:
@@ -168,14 +193,20 @@ def _boosted(settings: TreeSettings, label: str, weight: str | None, tag: str, n
 
 def fit_trees(df: DataFrame, label_index: str, classes: list[str], settings: TreeSettings,
               columns: Sequence[str] = MODEL_FEATURES, top_k: int | None = None, weight: str | None = None) -> FlowModel:
-    """Boosted trees on indexed labels. More than two classes: one model each."""
+    """Boosted trees on indexed labels. More than two classes: one model each,
+    up to ``AT_ONCE`` fitted side by side on vectors that are made once."""
     selected = mutual_info_top_k(df, columns, label_index, top_k) if top_k else list(columns)
     model = FlowModel(list(classes), list(columns), selected, fit_scaler(df, columns))
-    rows = model._vector(df)
+    rows = model._vector(df).select("_vector", F.col(label_index).alias("_class"), *([weight] if weight else []))
     targets = [1] if len(classes) == 2 else range(len(classes))
-    for i in targets:
-        mine = rows.withColumn("_target", (F.col(label_index) == i).cast("double"))
-        model.members.append(_boosted(settings, "_target", weight, str(i), len(selected)).fit(mine))
+    rows = rows if len(targets) == 1 else write_table(rows, "vectors")
+
+    def fit(i: int):
+        mine = rows.withColumn("_target", (F.col("_class") == i).cast("double"))
+        return _boosted(settings, "_target", weight, str(i), len(selected)).fit(mine)
+
+    with ThreadPoolExecutor(min(AT_ONCE, len(targets))) as pool:
+        model.members += pool.map(fit, targets)
     return model
 
 

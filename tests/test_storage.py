@@ -136,3 +136,41 @@ def test_write_unified(spark, folder):
     assert spark.read.parquet(f"{folder}/u").count() == 3
     with pytest.raises(ValueError):
         flow_source.write_unified(df, f"{folder}/v", "orc")
+
+
+def test_headers_of_many_files_take_one_job(spark, folder):
+    """Files with two orders of columns, one of them large enough to be split."""
+    import os
+
+    from flowloom.schemas import RAW_FLOWS
+    from flowloom.sources.flows import headers, read_flows
+    names = RAW_FLOWS["iot"].names
+    os.makedirs(f"{folder}/iot")
+    for i in range(50):
+        order = names if i % 3 else names[::-1]
+        with open(f"{folder}/iot/{i:02}.csv", "w") as out:
+            out.write(",".join(order) + "\n" + (",".join("1" for _ in order) + "\n") * (5000 if i == 7 else 2))
+    paths = [f"file:{folder}/iot/{i:02}.csv" for i in range(50)]
+    group = "headers-of-many"
+    spark.sparkContext.setJobGroup(group, "count")
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+        found = headers(spark, paths)
+        jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(found) == 50 and jobs <= 2  # listing the files may be a job of its own
+    rows = read_flows(spark, "iot", f"{folder}/iot/*.csv")
+    assert rows.count() == 49 * 2 + 5000
+
+
+def test_draw_keeps_to_a_key_order(spark):
+    from flowloom.operators import prep
+    rows = spark.range(3000).selectExpr("IF(id % 3 = 0, 'a', 'b') AS k", "id AS v")
+    key = F.col("v") * 7 % 101 * F.lit((1 << 62) // 101)
+    train, test = prep.stratified_split(rows, "k", 0.1, key=key)
+    want = {c: sorted((v for v in range(3000) if (v % 3 == 0) == (c == "a")), key=lambda v: (v * 7 % 101, v)) for c in "ab"}
+    got = {c: sorted(r.v for r in test.collect() if r.k == c) for c in "ab"}
+    assert got == {c: sorted(want[c][:round(len(want[c]) * 0.1)]) for c in "ab"}
+    assert train.count() + test.count() == 3000 and train.intersect(test).isEmpty()
