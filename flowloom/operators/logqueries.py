@@ -98,3 +98,11 @@ def status(packets: DataFrame, logs: DataFrame, blocked: DataFrame, session_id:
         .union(item("blocked_ips", blocked.select("ip").distinct().agg(counted), "n"))
         .union(fixed)
     )
+
+
+def status_addresses(blocked: DataFrame, warnings: DataFrame) -> DataFrame:
+    """The lists that go with ``status``, as (item, ip, value) rows: every blocked
+    address, and every address with open warnings and their number."""
+    listed = blocked.select(F.lit("blocked_ips").alias("item"), "ip", F.lit(1).cast("long").alias("value")).distinct()
+    counts = warnings.groupBy("ip").agg(F.sum("count").alias("value")).select(F.lit("warning_counts").alias("item"), "ip", "value")
+    return listed.unionByName(counts)

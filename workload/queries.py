@@ -524,6 +524,14 @@ def status(spark, sf):
     return lq.status(views.packets(spark, sf), preview_logs(spark, sf), static_blocklist(spark), "r0")
 
 
+@query("status_addresses", o.chain(*o.REPLAY_LOGS, select="""
+SELECT DISTINCT 'blocked_ips' AS item, unnest(b) AS ip, 1 AS value FROM ended
+UNION ALL SELECT 'warning_counts', ip, count(*) FROM (SELECT unnest(w) AS ip FROM ended) GROUP BY ip"""))
+def status_addresses(spark, sf):
+    replay = replayed(spark, sf).replay
+    return lq.status_addresses(response.final_blocklist(replay, static_blocklist(spark)), response.final_warnings(replay))
+
+
 # --- dashboard --------------------------------------------------------------
 
 @query("verdicts", o.chain(*o.LOGS, select=f"""
