@@ -108,13 +108,14 @@ def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET
     replaces the hash: whole numbers from 0 to 2^62 - 1, spread evenly; rows of
     one key go by their columns. ``rest=False`` leaves out rows not drawn.
 
-    Ranking a class as a whole would put it in one task. Instead one pass counts
-    rows per class and hash bucket; the bucket in which the quota runs out is
-    found on those counts. A second pass marks the rows by it and stores them
-    once. Only rows of that bucket, one in 2^bits, are numbered, by prefix sums.
+    Ranking a class as a whole would put it in one task. Instead the rows are
+    stored once with their hash, and counted per class and hash bucket (two
+    columns of that table). The bucket in which the quota runs out is the mark:
+    rows below it are drawn by a filter. Only rows of that bucket, one in 2^bits,
+    are numbered, by prefix sums.
     """
     hashed = df.withColumn("_hash", _row_hash(df, seed) if key is None else key)
-    hashed = hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits))
+    hashed = write_table(hashed.withColumn("_bucket", F.shiftright("_hash", HASH_BITS - bits)), "hashed")
 
     per_bucket = hashed.groupBy(label, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     of_class = Window.partitionBy(label)
@@ -129,13 +130,12 @@ def draw(df: DataFrame, label: str, quota: Column, seed: int, bits: int = BUCKET
 
     rows = hashed.join(edge, F.col(label).eqNullSafe(F.col("_class")), "left")
     at_edge = is_true((F.col("_bucket") == F.col("_edge")) & ~F.col("_full"))
-    rows = rows.withColumn("drawn", F.when(~at_edge, is_true(F.col("_bucket") <= F.col("_edge"))))
-    rows = rows if rest else rows.filter(F.coalesce("drawn", F.lit(True)))
-    marked = write_table(rows.select(*df.columns, "_hash", F.when(at_edge, F.col("_left")).alias("_left"), "drawn"), "marked")
-    tied = dense_index(marked.filter("drawn IS NULL").drop("drawn"), [label], ["_hash", *[c for c in df.columns if c != label]], "_i")
-    tied = tied.withColumn("drawn", F.col("_i") <= F.col("_left")).select(*df.columns, "drawn")
-    tied = tied if rest else tied.filter("drawn")
-    return marked.filter("drawn IS NOT NULL").select(*df.columns, "drawn").unionByName(tied)
+    clear = rows.filter(~at_edge).select(*df.columns, is_true(F.col("_bucket") <= F.col("_edge")).alias("drawn"))
+    tied = rows.filter(at_edge).select(*df.columns, "_hash", "_left")
+    tied = dense_index(tied, [label], ["_hash", *[c for c in df.columns if c != label]], "_i")
+    tied = write_table(tied.select(*df.columns, (F.col("_i") <= F.col("_left")).alias("drawn")), "tied")
+    found = clear.unionByName(tied)
+    return found if rest else found.filter("drawn")
 
 
 def cap_classes(df: DataFrame, label: str, n: int = 150_000, seed: int = 42, key: Column | None = None) -> DataFrame:
@@ -145,8 +145,8 @@ def cap_classes(df: DataFrame, label: str, n: int = 150_000, seed: int = 42, key
 
 def stratified_split(df: DataFrame, label: str, test: float = 0.2, seed: int = 42, key: Column | None = None) -> tuple[DataFrame, DataFrame]:
     """(train, test): the given share of every class is for testing. Both are
-    read from one stored mark."""
-    marked = write_table(draw(df, label, F.floor(F.col("count") * F.lit(test) + F.lit(0.5)), seed, key=key), "split")
+    read from the same stored rows, by the same mark."""
+    marked = draw(df, label, F.floor(F.col("count") * F.lit(test) + F.lit(0.5)), seed, key=key)
     return marked.filter(~F.col("drawn")).drop("drawn"), marked.filter("drawn").drop("drawn")
 
 
