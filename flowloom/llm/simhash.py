@@ -4,9 +4,13 @@ A fingerprint has one bit for each of 64 positions that is set in over half of
 the hashes of its word shingles. Two fingerprints at distance ``radius`` or
 less have a common variant within ``radius / 2`` bit flips of both. So every
 distinct fingerprint sends all such variants to shards; the fingerprints that
-meet on a variant are within the radius of each other, are linked to the
-smallest of them, and every link is verified. A run on one variant holds
-distinct fingerprints of one ball only, so it is bounded whatever the data.
+meet on a variant are within the radius of each other, and every link to the
+smallest of them is verified. A shard joins what it links, so it puts out at
+most one row for each fingerprint that it got.
+
+Shards are cosets of a linear code: a shard gets the bare fingerprint (8 bytes)
+and finds the variants that fall to it from a table of masks. So the number of
+shards, not of variants, sets what is sent: 1 kB a fingerprint at 128 shards.
 """
 
 from __future__ import annotations
@@ -19,10 +23,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from flowloom.llm.common import encoded, mix, pack, shards, slim, unpack
+from flowloom.llm.common import encoded, mix, shards, slim, spread_keys
 from flowloom.llm.components import components
 from flowloom.runtime import write_table
 
+SHARD_FINGERPRINTS = 1 << 25  # what one task may get: 256 MB
+SHARD_VARIANTS = 1 << 28      # what one task may form, in slices of
+SLICE_VARIANTS = 1 << 22
+
 
 def fingerprint(text: bytes, words: int = 4, seed: int = 42) -> int:
     """Zero if there are no words; fewer words than a shingle are one shingle."""
@@ -62,94 +70,125 @@ def masks(half: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)], np.uint64)
 
 
-def _shard(variants: np.ndarray, n: int) -> np.ndarray:
-    return ((mix(variants) >> np.uint64(32)) * np.uint64(n) >> np.uint64(32)).astype(np.uint16)
+class Cosets:
+    """A linear map of variants to cells: ``cell(fp ^ mask) = cell(fp) ^ cell(mask)``.
 
+    So whoever has a fingerprint finds its variants in a cell by a table of the
+    masks by cell. A shard is the cells with the same upper ``bits``; the lower
+    ``fine`` bits cut its work into slices.
+    """
 
-def _rising(data: bytes) -> np.ndarray:
-    """Flip numbers from their differences, low bytes before high bytes."""
-    steps = np.ascontiguousarray(unpack(data, np.uint8).reshape(2, -1).T).view(np.uint16).ravel()
-    return np.cumsum(steps, dtype=np.uint16)
+    def __init__(self, flips: np.ndarray, bits: int, fine: int) -> None:
+        size = 1 << (bits + fine)
+        self.bits, self.fine = bits, fine
+        self.columns = np.random.default_rng(bits).integers(1, size, 64, dtype=np.int64)
+        cells = self.cell(flips)
+        order = np.argsort(cells, kind="stable")
+        self.flips = flips[order]
+        self.starts = np.searchsorted(cells[order], np.arange(size + 1))
+        self.shards = np.unique(cells >> fine)  # those of the masks themselves
+
+    def cell(self, values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(values), np.int64)
+        for i, c in enumerate(self.columns.tolist()):
+            out ^= ((values >> np.uint64(i)) & np.uint64(1)).astype(np.int64) * c
+        return out
+
+    def variants(self, values: np.ndarray, cells: np.ndarray, cell: int) -> tuple[np.ndarray, np.ndarray]:
+        """The variants in ``cell`` and, rising, the number of each one's owner."""
+        start = self.starts[cells ^ cell]
+        count = self.starts[(cells ^ cell) + 1] - start
+        owner = np.repeat(np.arange(len(values)), count)
+        at = np.arange(len(owner)) + np.repeat(start - (np.cumsum(count) - count), count)
+        return values[owner] ^ self.flips[at], owner
+
+
+def shard_bits(fingerprints: int, variants: int) -> int:
+    """2^7 shards, and more where a shard would get over ``SHARD_FINGERPRINTS``
+    or have to form over ``SHARD_VARIANTS``."""
+    bits = 7
+    while (fingerprints * min(1.0, variants / 2**bits) > SHARD_FINGERPRINTS
+           or fingerprints * variants / 2**bits > SHARD_VARIANTS):
+        bits += 1
+    return bits
+
+
+def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``parent`` (each node's root) after joining the nodes a and b of each pair."""
+    while True:
+        a, b = parent[a], parent[b]
+        apart = a != b
+        if not apart.any():
+            return parent
+        a, b = np.minimum(a, b)[apart], np.maximum(a, b)[apart]
+        np.minimum.at(parent, b, a)
+        while (parent[parent] != parent).any():
+            parent = parent[parent]
 
 
 def links(fps: DataFrame, radius: int = 4) -> DataFrame:
-    """Distinct fingerprints (fp) to links (a, b): both ends of each pair within
-    ``radius`` bits are linked directly or through a common third."""
+    """Distinct fingerprints (fp) to links (a, b): the pairs within ``radius``
+    bits have the same components as these. A shard puts out one link for each
+    of its fingerprints at most, to the root of those that meet there."""
     if radius % 2:
         raise ValueError("radius must be even: each side flips half of it")
-    n = min(2 * shards(fps.sparkSession), 1 << 15)
-    half, block, most = radius // 2, 256, 2048
+    half, most = radius // 2, 4096
+    ways = len(masks(half))
+    count = fps.count()
+    bits = shard_bits(count, ways)
+    fine = max(0, int(count * ways / 2**bits / SLICE_VARIANTS).bit_length())
+    homes = spread_keys(fps.sparkSession, min(1 << bits, 1 << 13))
 
     def scatter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flips = masks(half)
-        waiting = [np.zeros(0, np.uint64)]
+        cosets, home = Cosets(masks(half), bits, fine), np.array(homes)
+        waiting = np.zeros(0, np.uint64)
 
         def send(values: np.ndarray) -> pa.RecordBatch:
-            shard, fp, count, flip = [], [], [], []
-            held: list[list[np.ndarray]] = [[] for _ in range(3)]
-            for at in range(0, len(values), block):
-                some = values[at:at + block]
-                s = _shard(some[:, None] ^ flips[None, :], n)
-                order = np.argsort(s.ravel(), kind="stable")
-                held[0].append(s.ravel()[order])
-                held[1].append(np.uint32(at) + (order // len(flips)).astype(np.uint32))
-                held[2].append((order % len(flips)).astype(np.uint16))
-            s, owner, f = (np.concatenate(x) for x in held)
-            order = np.argsort(s, kind="stable")
-            s, owner, f = s[order], owner[order], f[order]
-            bounds = np.searchsorted(s, np.arange(n + 1))
-            for k in range(n):
-                a, b = bounds[k], bounds[k + 1]
-                if a == b:
-                    continue
-                own = owner[a:b]
-                first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-                shard.append(k)
-                fp.append(values[own[first]].tobytes())
-                count.append(pack(np.diff(np.append(first, b - a)).astype(np.uint16)))
-                flip.append(pack(np.ascontiguousarray(np.diff(f[a:b], prepend=np.uint16(0)).view(np.uint8).reshape(-1, 2).T)))
-            return pa.record_batch([pa.array(shard, pa.int32()), pa.array(fp, pa.binary()), pa.array(count, pa.binary()),
-                                    pa.array(flip, pa.binary())], ["shard", "fps", "counts", "flips"])
+            shard = ((cosets.cell(values) >> fine)[:, None] ^ cosets.shards[None, :]).ravel()
+            order = np.argsort(shard, kind="stable")
+            shard, values = shard[order], values[order // len(cosets.shards)]
+            first = np.flatnonzero(np.diff(shard, prepend=-1))
+            data = [values[a:b].tobytes() for a, b in zip(first, np.append(first[1:], len(shard)))]
+            return pa.record_batch([pa.array(home[shard[first] % len(home)], pa.int32()), pa.array(shard[first], pa.int32()),
+                                    pa.array(data, pa.binary())], ["home", "shard", "fps"])
 
         for b in parts:
-            waiting.append(b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
-            values = np.concatenate(waiting)
-            full = len(values) // most * most
+            waiting = np.concatenate([waiting, b.column("fp").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)])
+            full = len(waiting) // most * most
             for at in range(0, full, most):
-                yield send(values[at:at + most])
-            waiting = [values[full:]]
-        if len(waiting[0]):
-            yield send(waiting[0])
+                yield send(waiting[at:at + most])
+            waiting = waiting[full:]
+        if len(waiting):
+            yield send(waiting)
 
     def meet(table: pa.Table) -> pa.Table:
-        flips = masks(half)
-        column = lambda name: table.column(name).to_pylist()
-        counts = np.concatenate([unpack(x, np.uint16) for x in column("counts")])
-        owner = np.repeat(np.concatenate([np.frombuffer(x, np.uint64) for x in column("fps")]), counts)
-        variant = owner ^ flips[np.concatenate([_rising(x) for x in column("flips")])]
-        ordered = variant.copy()
-        ordered.sort()
-        shared = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
-        del ordered
-        # A bitmap leaves few others than the shared ones for the exact look-up.
-        wide = np.uint64(64 - 24)
-        marks = np.zeros(1 << 24, bool)
-        marks[mix(shared) >> wide] = True
-        keep = marks[mix(variant) >> wide]
-        variant, owner = variant[keep], owner[keep]
-        order = np.lexsort((owner, variant))
-        variant, owner = variant[order], owner[order]
-        start = np.concatenate([[True], variant[1:] != variant[:-1]]) if len(variant) else np.zeros(0, bool)
-        low = owner[np.flatnonzero(start)][np.cumsum(start) - 1] if len(variant) else owner
-        apart = low ^ owner
-        # Verification: only links within the radius pass.
-        distance = np.bitwise_count(apart)
-        good = (distance > 0) & (distance <= radius)
-        pairs = np.unique(np.stack([low[good].view(np.int64), owner[good].view(np.int64)], axis=1), axis=0)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-    sent = fps.mapInArrow(scatter, "shard int, fps binary, counts binary, flips binary")
-    return sent.repartition(n, "shard").groupBy("shard").applyInArrow(meet, "a long, b long").distinct()
+        cosets = Cosets(masks(half), bits, fine)
+        values = np.unique(np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("fps").to_pylist()]))
+        cells, shard = cosets.cell(values), table.column("shard")[0].as_py()
+        parent = np.arange(len(values))
+        for part in range(1 << fine):
+            variant, owner = cosets.variants(values, cells, shard << fine | part)
+            ordered = np.sort(variant)
+            shared = ordered[1:][ordered[1:] == ordered[:-1]]
+            # A bitmap leaves few others than the shared ones for the exact look-up.
+            wide = np.uint64(64 - 22)
+            marks = np.zeros(1 << 22, bool)
+            marks[mix(shared) >> wide] = True
+            keep = marks[mix(variant) >> wide]
+            variant, owner = variant[keep], owner[keep]
+            order = np.argsort(variant, kind="stable")  # owners rise within a variant
+            variant, owner = variant[order], owner[order]
+            start = np.diff(variant) != 0
+            run = np.concatenate([np.zeros(min(1, len(variant)), np.int64), np.cumsum(start)])
+            low = owner[np.flatnonzero(np.concatenate([[True], start]))[run]] if len(owner) else owner
+            # Verification: only links within the radius join.
+            good = (low != owner) & (np.bitwise_count(values[low] ^ values[owner]) <= radius)
+            parent = _join(parent, low[good], owner[good])
+        member = np.flatnonzero(parent != np.arange(len(values)))
+        return pa.table({"a": values[parent[member]].view(np.int64), "b": values[member].view(np.int64)})
+
+    sent = fps.mapInArrow(scatter, "home int, shard int, fps binary")
+    return sent.repartition(len(homes), "home").groupBy("home", "shard").applyInArrow(meet, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, radius: int = 4, words: int = 4) -> DataFrame:

@@ -74,3 +74,43 @@ def test_chain_of_links(spark):
 
 def test_empty(documents):
     assert near_duplicates(documents([])).collect() == []
+
+
+def test_linear_shards_find_every_variant():
+    import numpy as np
+    from flowloom.llm.simhash import Cosets, masks
+    flips = masks(2)
+    values = np.random.default_rng(1).integers(0, 1 << 63, 50, dtype=np.uint64)
+    for bits, fine in ((3, 0), (7, 2), (13, 1)):
+        cosets = Cosets(flips, bits, fine)
+        cells, found = cosets.cell(values), []
+        for shard in range(1 << bits):
+            for part in range(1 << fine):
+                variant, owner = cosets.variants(values, cells, shard << fine | part)
+                assert (np.diff(owner) >= 0).all()
+                assert set((cells[owner] >> fine ^ shard).tolist()) <= set(cosets.shards.tolist())
+                found += zip(owner.tolist(), variant.tolist())
+        assert sorted(found) == sorted((i, int(v)) for i in range(50) for v in values[i] ^ flips)
+
+
+def test_shards_bound_a_task():
+    from flowloom.llm.simhash import SHARD_FINGERPRINTS, SHARD_VARIANTS, shard_bits
+    assert shard_bits(0, 2081) == shard_bits(1_000_000, 2081) == 7
+    for count in (10**8, 10**10):
+        n = 2**shard_bits(count, 2081)
+        assert count * min(1, 2081 / n) <= SHARD_FINGERPRINTS and count * 2081 / n <= SHARD_VARIANTS
+
+
+def test_links_of_a_near_copy_group_are_linear(spark):
+    """A shard puts out one row for each of its fingerprints at most."""
+    from flowloom.llm.simhash import links
+    rows = {}
+    for size in (250, 500, 1000):
+        rng = random.Random(7)
+        ball = [1 << i | 1 << j for i in range(48) for j in range(i)]  # each two are within 4 bits
+        group = rng.sample(ball, size)
+        found = links(spark.createDataFrame([(g,) for g in group], "fp long")).collect()
+        assert len({(r.a, r.b) for r in found}) == len(found) <= 128 * size
+        rows[size] = len(found)
+        assert size - 1 <= rows[size]
+    assert rows[1000] <= 2.5 * rows[500] <= 6.25 * rows[250]
