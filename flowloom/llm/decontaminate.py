@@ -109,6 +109,11 @@ class Items:
         for q, g in self.grams.items():
             self.marks[q] = np.zeros(1 << 22, bool)
             self.marks[q][g >> np.uint64(42)] = True
+        self.lengths = np.array([len(w) for w in self.words], np.int64)
+        self.own = np.zeros(1 << 24, bool)  # marks of (q-gram, item)
+        for i, w in enumerate(self.words):
+            g = gram_hashes(w, self.rules[len(w)][0]) + np.uint64(i * 0x9E3779B97F4A7C15 & (2**64 - 1))
+            self.own[mix(g) >> np.uint64(40)] = True
         self.masks = []
         for w in self.words:
             m: dict[int, int] = defaultdict(int)
@@ -134,26 +139,53 @@ class Items:
         """For each repeat the hash of the windows ``starts[use[length]]`` of
         each length. ``flat`` has ``longest`` zeros after each text."""
         longest = max(use)
-        padded = np.concatenate([flat, np.zeros(2 * longest + 1, np.uint64)])
+        low, high = int(starts[0]), int(starts[-1]) + 2 * longest + 1
+        part = flat[low:high]
+        padded = np.concatenate([part, np.zeros(high - low - len(part), np.uint64)])
+        begin = starts - low
         for r in range(self.repeats):
-            steps = 2 * longest
-            at = np.zeros((steps, len(starts)), np.int32)
-            here = np.zeros(len(starts), np.int32)
-            for j in range(steps):
+            rngs = {n: np.random.default_rng([r, n]) for n in use}
+            sampled = {n: np.sort(g.choice(2 * n, min(2 * n, self.sampled), replace=False)).tolist() for n, g in rngs.items()}
+            # A window walks no further than the last step sampled from it.
+            last = np.full(len(starts), -1)
+            for n, which in use.items():
+                last[which] = np.maximum(last[which], sampled[n][-1])
+            order = np.argsort(-last, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            walking = np.searchsorted(-last[order], -np.arange(last.max() + 1), side="right")
+            origin = begin[order]
+            here = origin.copy()
+            where = {n: place[which] for n, which in use.items()}
+            found = {n: np.full(len(which), np.uint64(r * 65537 + n), np.uint64) for n, which in use.items()}
+            for j, k in enumerate(walking.tolist()):
                 if j % 64 == 0:
                     bits = mix(padded + np.uint64((r * 1009 + j // 64 + 1) * 0x9E3779B97F4A7C15 & (2**64 - 1)))
-                at[j] = here
-                here = here + ((bits[starts + np.minimum(here, longest)] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int32)
-            found = {}
-            for n, which in use.items():
-                rng = np.random.default_rng([r, n])
-                h = np.full(len(which), np.uint64(r * 65537 + n), np.uint64)
-                for j in np.sort(rng.choice(2 * n, min(2 * n, self.sampled), replace=False)):
-                    i = at[j, which]
-                    h = mix(h * _GOLD + np.where(i < n, padded[starts[which] + np.minimum(i, n)], np.uint64(0)))
-                found[n] = h
+                for n, steps in sampled.items():
+                    if j in steps:
+                        at = here[where[n]]
+                        word = np.where(at - origin[where[n]] < n, padded[at], np.uint64(0))
+                        found[n] = mix(found[n] * _GOLD + word)
+                here[:k] += ((bits[here[:k]] >> np.uint64(j % 64)) & np.uint64(1)).astype(np.int64)
             yield found
 
+    def plausible(self, flat: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+        """The pairs whose window has as many of the item's own q-grams as the
+        q-gram lemma demands of a match; none that matches is left out."""
+        kept = [np.zeros(0, np.int64)]
+        length = self.lengths[pairs % len(self.words)]
+        for n in np.unique(length).tolist():
+            q, least = self.rules[n]
+            some, span = pairs[length == n], max(1, n - q + 1)
+            for at in range(0, len(some), max(1, 1_000_000 // span)):  # bounds the grams held at once
+                part = some[at:at + max(1, 1_000_000 // span)]
+                window, item = part // len(self.words), part % len(self.words)
+                low, high = int(window.min()), int(window.max()) + n
+                grams = gram_hashes(np.concatenate([flat[low:high], np.zeros(n, np.uint64)]), q)
+                own = mix(grams[(window - low)[:, None] + np.arange(span)] + item.astype(np.uint64)[:, None] * _GOLD)
+                kept.append(part[self.own[own >> np.uint64(40)].sum(axis=1) >= least])
+        return np.unique(np.concatenate(kept))
+
     def search(self, texts: list[np.ndarray]) -> list[tuple[int, int, int, int]]:
         """(text, item, first word, distance) of the best window of each item."""
         enough = min((n for _, n in self.rules.values()), default=1)
@@ -188,7 +220,7 @@ class Items:
         if not wanted:
             return []
         starts = np.unique(np.concatenate(list(wanted.values())))
-        pairs: set[tuple[int, int]] = set()
+        pairs: list[np.ndarray] = [np.zeros(0, np.int64)]  # window * items + item
         for at in range(0, len(starts), 20_000):  # bounds the walks held at once
             some = starts[at:at + 20_000]
             use = {}
@@ -196,14 +228,19 @@ class Items:
                 w = w[(w >= some[0]) & (w <= some[-1])]
                 if len(w):
                     use[n] = np.searchsorted(some, w)
+            fresh: list[np.ndarray] = [np.zeros(0, np.int64)]
             for found in self.embed(flat, some, use):
                 for n, h in found.items():
                     lo, hi = np.searchsorted(self.hashes, h), np.searchsorted(self.hashes, h, side="right")
-                    for i in np.flatnonzero(hi > lo):
-                        s = int(some[use[n][i]])
-                        pairs.update((s, int(o)) for o in self.owners[lo[i]:hi[i]] if len(self.words[o]) == n)
+                    hit = np.flatnonzero(hi > lo)
+                    count = (hi - lo)[hit]
+                    item = self.owners[np.arange(count.sum()) + np.repeat(lo[hit] - (np.cumsum(count) - count), count)]
+                    window = np.repeat(some[use[n][hit]], count)
+                    fresh.append((window * len(self.words) + item)[self.lengths[item] == n])
+            pairs.append(self.plausible(flat, np.unique(np.concatenate(fresh))))
+        rows = np.concatenate(pairs)
         best: dict[tuple[int, int], tuple[int, int]] = {}
-        for s, item in sorted(pairs):
+        for s, item in zip((rows // len(self.words)).tolist(), (rows % len(self.words)).tolist()):
             n, t = len(self.words[item]), int(owner[s])
             most = edits(n, self.similarity)
             window = flat[s:min(s + n, int(base[t]) + len(texts[near[t]]))].tolist()
