@@ -105,6 +105,8 @@ class Block:
         self.flat = np.frombuffer(b"".join(texts), np.uint8)
         parts = list(_pieces(self.flat, self.starts[full], self.ends[full])) or [(np.zeros(0, np.uint64),) + (np.zeros(0, np.int64),) * 3]
         self.hash, self.anchor, self.first, self.last = (np.concatenate(x) for x in zip(*parts))
+        # The hash of an anchor is a minimum, so it is small; shards are ranges.
+        self.hash = mix(self.hash)
         owner = np.searchsorted(self.ends[full], self.first, side="right")
         self.doc = ids[full][owner] if len(owner) else np.zeros(0, np.int64)
         self.keys, self.which = np.unique(self.hash, return_inverse=True)

@@ -79,3 +79,19 @@ def test_loser_tree():
         assert [row for _, _, row in got] == sorted(x for r in runs for x in r)
         for (_, _, a), (_, known, b) in zip(got, got[1:]):
             assert known == common(a, b)
+
+
+def test_shards_are_even():
+    """No shard gets over 1.5 times the mean of the keys or of the suffixes."""
+    import numpy as np
+    from flowloom.llm.common import cut
+    from flowloom.llm.suffixes import Block
+    rng = np.random.default_rng(5)
+    texts = [bytes(rng.integers(97, 123, 900, dtype=np.uint8)) for _ in range(1000)]
+    block = Block(np.arange(1000), texts)
+    sizes = np.diff(cut(block.keys, 32))
+    assert sizes.sum() == len(block.keys) and sizes.max() <= 1.5 * sizes.mean()
+    none = np.zeros(len(block.keys), bool)
+    rows = block.suffixes(~none, none, 32)[0]
+    sizes = np.bincount(rows[:, 0].astype(int) << 8 | rows[:, 1], minlength=32)
+    assert len(sizes) == 32 and sizes.max() <= 1.5 * sizes.mean()
