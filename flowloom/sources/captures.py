@@ -1,8 +1,12 @@
 """Capture files (pcap, pcapng) to packet rows.
 
-Two passes, so that one huge file is not one task's work: the first hops over
-the record headers of each file and notes where every chunk begins; the second
-reads the chunks in parallel and takes the packet headers apart with numpy.
+One huge file is not one task's work. Byte ranges of all files are surveyed in
+parallel: a task looks for a place in its range from which a chain of plausible
+record headers starts, and hops on to the end of the range. The few rows this
+gives of each file are then put in order: a range counts as read if it started
+where the one before it ended, so a wrong guess is always found out, and that
+range alone is walked again from the true place. Chunks with their packet
+numbers follow, and are parsed in parallel with numpy.
 """
 
 from __future__ import annotations
@@ -10,7 +14,8 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -35,7 +40,14 @@ IPV6_EXTENSIONS = (0, 43, 60)
 # --- End of fixed values ----------------------------------------------------
 
 CHUNKS = "path string, start bigint, stop bigint, first_seq bigint, packets bigint, about string"
+SURVEY = ("path string, size bigint, at bigint, upto bigint, start bigint, stop bigint, packets bigint, "
+          "news string, unread bigint, ended boolean")
+INDEX = f"{CHUNKS}, at bigint, reason string"
 HEADER_BYTES = 256  # more than any header chain that is looked into
+GUESS_BYTES = 1 << 20  # bytes whose places are tried at once
+GUESS_CHAIN = 6        # plausible headers in a row that make a guess
+LIKELY_LENGTH = 1 << 18
+LIKELY_STEP = 7 * 86400  # seconds between packets that follow each other
 
 
 class _File:
@@ -138,7 +150,8 @@ def _open(path: str) -> tuple[_File, int, dict] | None:
     return None
 
 
-def _index(limit: int | None, chunk_packets: int, chunk_bytes: int):
+def _first_packets(limit: int, chunk_packets: int, chunk_bytes: int):
+    """Chunks of the first packets of each file: one task reads no further."""
     def index(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path in batch["path"]:
@@ -147,9 +160,7 @@ def _index(limit: int | None, chunk_packets: int, chunk_bytes: int):
                     continue
                 f, start, about = opened
                 state, first, count, stop, out = json.dumps(about), 0, 0, start, []
-                for n, rec in enumerate(_records(f, start, f.size, about)):
-                    if limit is not None and n >= limit:
-                        break
+                for n, rec in enumerate(islice(_records(f, start, f.size, about), limit)):
                     count, stop = count + 1, rec.end
                     if count >= chunk_packets or stop - start >= chunk_bytes:
                         out.append((path, start, stop, first, count, state))
@@ -161,32 +172,225 @@ def _index(limit: int | None, chunk_packets: int, chunk_bytes: int):
     return index
 
 
-def _faults(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+@dataclass
+class _Piece:
+    """A stretch of whole records. ``news``: sections and interfaces in it;
+    ``ended``: the record after it is cut off or corrupt."""
+    start: int
+    stop: int
+    packets: int = 0
+    news: list = field(default_factory=list)
+    unread: int = 0
+    ended: bool = False
+
+
+def _hop(f: _File, start: int, upto: int, about: dict, most: int) -> list[_Piece]:
+    """The records that begin before ``upto``, from one that begins at
+    ``start``, in pieces of at most ``most`` packets; none is taken apart."""
+    pcap, order, size = about["format"] == "pcap", about["order"], f.size
+    header = 16 if pcap else 12
+    piece = _Piece(start, start)
+    pieces = [piece]
+    while piece.stop < upto and piece.stop + header <= size:
+        if piece.packets >= most:
+            piece = _Piece(piece.stop, piece.stop)
+            pieces.append(piece)
+        at = piece.stop
+        head = f.read(at, header)
+        if pcap:
+            kind, length = BLOCK_PACKET, 16 + struct.unpack_from(order + "I", head, 8)[0]
+        else:
+            if head[:4] == PCAPNG_MAGIC:
+                order = "<" if head[8:12] == b"\x4d\x3c\x2b\x1a" else ">"
+            kind, length = struct.unpack_from(order + "II", head)
+        if length < header or at + length > size:
+            piece.ended = True
+            return pieces
+        if kind == BLOCK_PACKET:
+            piece.packets += 1
+        elif kind == BLOCK_SECTION:
+            piece.news.append([order])
+        elif kind == BLOCK_INTERFACE:
+            body = f.read(at, length)
+            piece.news.append([struct.unpack_from(order + "H", body, 8)[0], _resolution(body[16:-4], order)])
+        elif kind in BLOCKS_UNREAD:
+            piece.unread += 1
+        piece.stop = at + length
+    piece.ended = size - header < piece.stop < size  # less than a header is left
+    return pieces
+
+
+def _after(about: dict, news: list) -> dict:
+    """What holds behind a piece with these sections and interfaces."""
+    for item in news:
+        if len(item) == 1:
+            about = {**about, "order": item[0], "links": []}
+        else:
+            about = {**about, "links": about["links"] + [item]}
+    return about
+
+
+def _plausible(f: _File, at: int, about: dict) -> tuple[int, int] | None:
+    """(next offset, second) if a record header may be at ``at``."""
+    order = about["order"]
+    if about["format"] == "pcap":
+        head = f.read(at, 16)
+        if len(head) < 16:
+            return None
+        sec, sub, length, whole = struct.unpack(order + "IIII", head)
+        good = 0 < length <= min(whole, LIKELY_LENGTH) and sub < 1_000_000 * about["ticks"] and at + 16 + length <= f.size
+        return (at + 16 + length, sec) if good else None
+    head = f.read(at, 8)
+    if len(head) < 8:
+        return None
+    length = struct.unpack(order + "II", head)[1]
+    if not 12 <= length <= 16 * LIKELY_LENGTH or length % 4 or at + length > f.size:
+        return None
+    return (at + length, 0) if f.read(at + length - 4, 4) == head[4:8] else None
+
+
+def _chained(f: _File, at: int, about: dict) -> bool:
+    second = None
+    for _ in range(GUESS_CHAIN):
+        found = _plausible(f, at, about)
+        if found is None or (second is not None and abs(found[1] - second) > LIKELY_STEP):
+            return False
+        at, second = found
+        if at == f.size:
+            return True
+    return True
+
+
+def _guess(f: _File, at: int, upto: int, about: dict) -> int | None:
+    """The first place from ``at`` on, before ``upto``, that looks like a record."""
+    step = 1 if about["format"] == "pcap" else 4
+    at += -at % step
+    while at < upto:
+        n = min(GUESS_BYTES, upto - at)
+        places = np.arange(0, n, step)
+        buf = np.frombuffer(f.read(at, min(n + 16, f.size - at)), dtype=np.uint8)
+        places = places[places + 16 <= len(buf)]
+        little = about["order"] == "<"
+        if step == 1:
+            length, whole = _number(buf, places + 8, little), _number(buf, places + 12, little)
+            places = places[(length > 0) & (length <= whole) & (length <= LIKELY_LENGTH)
+                            & (_number(buf, places + 4, little) < 1_000_000 * about["ticks"])]
+        else:
+            length = _number(buf, places + 4, little)
+            places = places[(length >= 12) & (length % 4 == 0) & (length <= 16 * LIKELY_LENGTH)]
+        for place in places.tolist():
+            if _chained(f, at + place, about):
+                return at + place
+        at += n
+    return None
+
+
+def _number(buf: np.ndarray, at: np.ndarray, little: bool) -> np.ndarray:
+    """Unsigned numbers of four bytes at the given places."""
+    out = np.zeros(len(at), dtype=np.int64)
+    for i in range(4):
+        out = (out << 8) | buf[at + (3 - i if little else i)]
+    return out
+
+
+def _survey(chunk_packets: int):
+    """Each byte range on its own; a range without a likely record gives a row
+    without ``start``, a file of an unknown format one row at 0."""
+    def survey(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for path, size, at, upto in batch[["path", "size", "at", "upto"]].itertuples(index=False):
+                opened = _open(path)
+                if opened is None:
+                    continue
+                f, first, about = opened
+                if about["format"] == "pcapng":
+                    about["order"] = "<" if f.read(8, 4) == b"\x4d\x3c\x2b\x1a" else ">"
+                start = first if at <= first < upto else None if upto <= first else _guess(f, at, upto, about)
+                for p in [] if start is None else _hop(f, start, upto, about, chunk_packets):
+                    out.append((path, size, at, upto, p.start, p.stop, p.packets, json.dumps(p.news), p.unread, p.ended))
+                if start is None:
+                    out.append((path, size, at, upto, None, None, 0, "[]", 0, False))
+                f.close()
+            frame = pd.DataFrame(out, columns=[c.split()[0] for c in SURVEY.split(", ")])
+            yield frame.astype({"start": "Int64", "stop": "Int64"})
+    return survey
+
+
+def _assemble(chunk_packets: int):
+    """The surveyed ranges of one file (a row for each ``chunk_packets`` packets
+    or range, not for a packet) to its chunks, and to rows with a reason for
+    what is not read. A range whose guess is not where the records before it
+    end is walked again here."""
+    def assemble(rows: pd.DataFrame) -> pd.DataFrame:
+        out, seq, unread = [], 0, 0
+        path, size = str(rows["path"].iloc[0]), int(rows["size"].iloc[0])
+        f, at, about = _open(path)
+        if about["format"] == "pcapng":
+            about["order"] = "<" if f.read(8, 4) == b"\x4d\x3c\x2b\x1a" else ">"
+        ended = False
+        for (_, upto), own in rows.sort_values(["at", "start"]).groupby(["at", "upto"], sort=True):
+            if ended or at >= upto:
+                continue
+            if own["start"].iloc[0] == at:
+                pieces = [_Piece(int(r.start), int(r.stop), int(r.packets), json.loads(r.news), int(r.unread), bool(r.ended))
+                          for r in own.itertuples(index=False)]
+            else:
+                pieces = _hop(f, at, int(upto), about, chunk_packets)
+            for p in pieces:
+                if p.packets:
+                    out.append((path, p.start, p.stop, seq, p.packets, json.dumps(about), None, None))
+                seq, unread, about, at, ended = seq + p.packets, unread + p.unread, _after(about, p.news), p.stop, p.ended
+        f.close()
+        if at < size:
+            out.append((path, None, None, None, 0, None, at, "cut off or corrupt from here on"))
+        if unread:
+            out.append((path, None, None, None, 0, None, 0, f"{unread} packet blocks of a kind that is not read"))
+        frame = pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
+        return frame.astype({c: "Int64" for c in ("start", "stop", "first_seq", "packets", "at")})
+    return assemble
+
+
+def _files(spark: SparkSession, path: str) -> DataFrame:
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    wanted = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)
+    return files.filter(wanted).select("path", F.col("length").alias("size"))
+
+
+def _tasks(spark: SparkSession) -> int:
+    """Tasks for rows that are few but much work: a stated number, since the
+    planner would merge partitions of so few bytes into one."""
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _indexed(spark: SparkSession, path: str, chunk_packets: int, chunk_bytes: int) -> DataFrame:
+    starts = F.sequence(F.lit(0).cast("long"), F.greatest(F.col("size") - 1, F.lit(0).cast("long")), F.lit(chunk_bytes).cast("long"))
+    ranges = _files(spark, path).select("path", "size", F.explode(starts).alias("at"))
+    ranges = ranges.withColumn("upto", F.least("size", F.col("at") + chunk_bytes))
+    surveyed = ranges.repartition(_tasks(spark), "path", "at").mapInPandas(_survey(chunk_packets), SURVEY)
+    return surveyed.groupBy("path").applyInPandas(_assemble(chunk_packets), INDEX)
+
+
+def _unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         out = []
         for path in batch["path"]:
             opened = _open(path)
             if opened is None:
                 out.append((path, 0, "unknown format"))
-                continue
-            f, start, about = opened
-            about["at"] = start
-            for _ in _records(f, start, f.size, about):
-                pass
-            if about["at"] < f.size:
-                out.append((path, about["at"], "cut off or corrupt from here on"))
-            if about.get("unread"):
-                out.append((path, 0, f"{about['unread']} packet blocks of a kind that is not read"))
-            f.close()
+            else:
+                opened[0].close()
         yield pd.DataFrame(out, columns=["path", "at", "reason"])
 
 
-def capture_rejects(spark: SparkSession, path: str) -> DataFrame:
+def capture_rejects(spark: SparkSession, path: str, chunk_packets: int = 50_000, chunk_bytes: int = 64 << 20) -> DataFrame:
     """(path, at, reason): capture files below a folder that are not read, or
-    not to their end. One pass over the record headers."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    wanted = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)
-    return files.filter(wanted).repartition("path").mapInPandas(_faults, "path string, at bigint, reason string")
+    not to their end. One pass over the record headers, in ranges of
+    ``chunk_bytes``."""
+    files = _files(spark, path).select("path").repartition(_tasks(spark), "path")
+    unknown = files.mapInPandas(_unknown, "path string, at bigint, reason string")
+    return unknown.unionByName(
+        _indexed(spark, path, chunk_packets, chunk_bytes).filter("reason IS NOT NULL").select("path", "at", "reason"))
 
 
 def _be(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -291,20 +495,33 @@ def dissect(buf: np.ndarray, at: np.ndarray, length: np.ndarray, link: np.ndarra
             "protocol": name, "protocol_number": number, "ttl": ttl, "tcp_flags": flags}
 
 
+def _places(f: _File, start: int, stop: int, about: dict) -> tuple[np.ndarray, ...]:
+    """(buffer, place, length, time, link) of the packets of a chunk."""
+    raw = f.read(start, stop - start)
+    buf = np.frombuffer(raw, dtype=np.uint8)
+    if about["format"] != "pcap":
+        recs = list(_records(f, start, stop, about))
+        return (buf, *(np.array(v, dtype=np.int64) for v in (
+            [r.data - start for r in recs], [r.length for r in recs], [r.ts_us for r in recs], [r.link for r in recs])))
+    heads, at, length = [], 0, struct.Struct(about["order"] + "I").unpack_from
+    while at < len(raw):
+        heads.append(at)
+        at += 16 + length(raw, at + 8)[0]
+    head, little = np.array(heads, dtype=np.int64), about["order"] == "<"
+    time = _number(buf, head, little) * 1_000_000 + _number(buf, head + 4, little) // about["ticks"]
+    return buf, head + 16, _number(buf, head + 8, little), time, np.full(len(head), about["link"], dtype=np.int64)
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         for row in batch.itertuples(index=False):
             f = _File(row.path)
-            recs = list(_records(f, row.start, row.stop, json.loads(row.about)))
-            buf = np.frombuffer(f.read(row.start, row.stop - row.start), dtype=np.uint8)
+            buf, at, length, time, link = _places(f, row.start, row.stop, json.loads(row.about))
             f.close()
-            at = np.array([r.data for r in recs], dtype=np.int64) - row.start
-            length = np.array([r.length for r in recs], dtype=np.int64)
-            link = np.array([r.link for r in recs], dtype=np.int64)
             out = pd.DataFrame(dissect(buf, at, length, link))
-            out.insert(0, "seq", row.first_seq + np.arange(len(recs)))
+            out.insert(0, "seq", row.first_seq + np.arange(len(at)))
             out.insert(0, "path", row.path)
-            out["ts_us"] = np.array([r.ts_us for r in recs], dtype=np.int64)
+            out["ts_us"] = time
             out["length"] = length
             yield out
 
@@ -323,14 +540,13 @@ def read_captures(spark: SparkSession, path: str, packet_limit: int | None = Non
     """
     if packet_limit is not None and packet_limit < 1:
         raise ValueError(f"packet_limit is at least 1, not {packet_limit}")
-    limit = packet_limit
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path")
-    wanted = F.lower(F.substring_index("path", ".", -1)).isin(*EXTENSIONS)
-    chunks = (
-        files.filter(wanted).repartition("path")
-        .mapInPandas(_index(limit, chunk_packets, chunk_bytes), CHUNKS)
-        .repartition("path", "start")
-    )
+    columns = [c.split()[0] for c in CHUNKS.split(", ")]
+    if packet_limit is None:
+        chunks = _indexed(spark, path, chunk_packets, chunk_bytes).filter("packets > 0").select(*columns)
+    else:
+        files = _files(spark, path).select("path").repartition(_tasks(spark), "path")
+        chunks = files.mapInPandas(_first_packets(packet_limit, chunk_packets, chunk_bytes), CHUNKS)
+    chunks = chunks.repartition(_tasks(spark), "path", "start")
     rows = chunks.mapInPandas(_parse, _PARSED)
     rows = rows.withColumns({
         "sensor_id": F.lit(sensor_id), "session_id": F.col("path"), **net.tcp_flag_columns(F.col("tcp_flags"))})

@@ -67,8 +67,8 @@ FIELDS = ("source_ip", "destination_ip", "source_port", "destination_port", "pro
           "syn_flag", "ack_flag", "rst_flag", "psh_flag")
 
 
-@pytest.mark.parametrize("chunk", [2, 1000])
-def test_all_formats(spark, folder, chunk):
+@pytest.mark.parametrize("chunk, size", [(2, 64 << 20), (1000, 64 << 20), (1000, 150), (2, 37)])
+def test_all_formats(spark, folder, chunk, size):
     raw = [p for p, _ in PACKETS]
     write_pcap(f"{folder}/a.pcap", raw)
     write_pcap(f"{folder}/b.CAP", raw, ">", nano=True)
@@ -77,7 +77,7 @@ def test_all_formats(spark, folder, chunk):
         f.write(b"no capture")
     with open(f"{folder}/broken.pcap", "wb") as f:
         f.write(b"\x00\x01")
-    rows = read_captures(spark, folder, chunk_packets=chunk).collect()
+    rows = read_captures(spark, folder, chunk_packets=chunk, chunk_bytes=size).collect()
     assert len({r.session_id for r in rows}) == 3 and len(rows) == 3 * len(PACKETS)
     for r in rows:
         data, want = PACKETS[r.seq]
@@ -102,6 +102,40 @@ def test_limit_and_cut_off_file(spark, folder):
     assert found == {("b.pcap", True), ("c.pcap", False)}
 
 
+@pytest.mark.parametrize("size", [100, 1000, 5000])
+def test_ranges_of_one_file(spark, folder, size):
+    """Ranges are surveyed by themselves; payloads that hold whole captures, and
+    zeros, lead to wrong guesses, which are walked again."""
+    plain = [PACKETS[i % 3][0] + bytes(i % 50) for i in range(60)]
+    write_pcap(f"{folder}/inner", plain)
+    write_pcapng(f"{folder}/innerng", plain)
+    decoys = [open(f"{folder}/{n}", "rb").read() for n in ("inner", "innerng")]
+    raw = plain + [PACKETS[1][0] + decoys[0]] + plain + [PACKETS[1][0] + decoys[1], bytes(3000)] + plain
+    write_pcap(f"{folder}/a.pcap", raw)
+    write_pcapng(f"{folder}/b.pcapng", raw)
+    whole = open(f"{folder}/b.pcapng", "rb").read()
+    with open(f"{folder}/c.pcapng", "wb") as f:
+        f.write(whole + whole[:-30])  # a second section, cut off
+    with open(f"{folder}/d.pcap", "wb") as f:  # a length of nearly 4 GB in the middle
+        f.write(open(f"{folder}/a.pcap", "rb").read() + b"\xff" * 16 + open(f"{folder}/a.pcap", "rb").read()[24:])
+    def rows(chunk_bytes):
+        found = read_captures(spark, folder, chunk_bytes=chunk_bytes, chunk_packets=100)
+        return sorted(tuple(str(v) for v in r) for r in found.collect())
+    got = rows(size)
+    assert len(got) == 2 * len(raw) + 2 * len(raw) - 1 + len(raw) and got == rows(64 << 20)
+    by_file = {}
+    for r in read_captures(spark, folder, chunk_bytes=size).select("session_id", "seq", "length").collect():
+        by_file.setdefault(r.session_id.rsplit("/", 1)[1], {})[r.seq] = r.length
+    lengths = dict(enumerate(map(len, raw)))
+    assert by_file["a.pcap"] == by_file["b.pcapng"] == by_file["d.pcap"] == lengths
+    faults = {(r.path.rsplit("/", 1)[1], r.at) for r in capture_rejects(spark, folder, chunk_bytes=size).collect()}
+    cut = len(whole) * 2 - 30
+    assert {n for n, _ in faults} == {"c.pcapng", "d.pcap"} and all(len(whole) < at < cut for n, at in faults if n == "c.pcapng")
+    if size == 1000:
+        from flowloom.sources import captures
+        assert captures._indexed(spark, folder, 100, size).filter("path LIKE '%a.pcap'").count() > 10
+
+
 def test_filter_comes_before_running_features(spark, folder):
     write_pcap(f"{folder}/a.pcap", [p for p, _ in PACKETS])
     packets = read_captures(spark, folder)

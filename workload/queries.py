@@ -1156,7 +1156,7 @@ SELECT sensor_id || '-' || seq // 2000 AS file, row_number() OVER (PARTITION BY
 FROM (SELECT *, source_ip IS NOT NULL AND protocol_number <> 0 AS ip FROM packets)"""))
 def captured_packets(spark, sf):
     """The packets written to capture files and read back."""
-    rows = read_captures(spark, files.write_captures(views.packets(spark, sf)), chunk_packets=500)
+    rows = read_captures(spark, files.write_captures(views.packets(spark, sf)), chunk_packets=500, chunk_bytes=64 << 10)
     name = F.regexp_extract("session_id", r"([^/]+)\.pcap$", 1)
     return rows.select(name.alias("file"), F.col("seq").alias("n"), "ts_us", "source_ip", "destination_ip", "source_port",
                        "destination_port", "protocol", "protocol_number", "ttl", "syn_flag", "psh_flag", "length")
