@@ -28,7 +28,8 @@ from flowloom.llm.common import slim
 
 SAMPLE_PAGES = 2000  # pages of the table that the weights are fitted on, about
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_STOP = re.compile("[>\"']")
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role|aria-label|data-y)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _SPACE = re.compile(r"\s+")
 _WORDS = re.compile(r"[a-z]+")
@@ -112,12 +113,33 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # node, text
 
 
-def parse(source: str) -> Page:
+def _tag_end(source: str, at: int, last: dict[str, int]) -> int:
+    """Where the tag closes whose attributes start at ``at``; -1: nowhere, all
+    the rest is inside quotes or has no ``>``. ``last``: last place of each mark."""
+    while at <= last[">"]:
+        m = _STOP.search(source, at)
+        if m[0] == ">":
+            return m.start()
+        if m.start() >= last[m[0]]:
+            break
+        at = source.index(m[0], m.start() + 1) + 1
+    return -1
+
+
+def parse(source: str, labelled: bool = False) -> Page:
     """Block-level nodes and text blocks in page order. Unclosed and misnested
-    elements are closed as far as needed; hidden elements are left out."""
+    elements are closed as far as needed; hidden elements are left out.
+
+    Time is linear in the page, however deep or broken it is: after the first
+    tag that its quotes keep open to the page's end, quotes no longer hide a
+    ``>``; where no ``>`` follows, an open tag takes the rest of the page.
+    ``labelled``: ``data-y`` says what a node is (else it means nothing)."""
     page = Page([Node("html", -1)])
     stack: list[tuple[str, int]] = [("html", 0)]  # open elements with their block node
+    places: dict[str, list[int]] = {}  # of each tag in the stack, without the first element
+    last = {c: source.rfind(c) for c in ">\"'"}
     hidden, links, text = 0, 0, []
+    quoted = True
 
     def flush() -> None:
         nonlocal text
@@ -143,19 +165,23 @@ def parse(source: str) -> Page:
         for t, _ in stack[upto:]:
             hidden -= t in HIDDEN
             links -= t == "a"
+            if places.get(t) and places[t][-1] >= upto:
+                places[t].pop()
         del stack[upto:]
 
     def find(names: tuple[str, ...], scope: frozenset) -> int:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in scope:
-                break
-        return 0
+        found = max((places[t][-1] for t in names if places.get(t)), default=0)
+        return found if found and all(places[t][-1] < found for t in scope if places.get(t)) else 0
 
     at, end = 0, len(source)
     while at < end:
         m = _TOKEN.search(source, at)
+        close_at = -1
+        if m and m[2] is not None:
+            if quoted and (close_at := _tag_end(source, m.end(), last)) < 0:
+                quoted = False
+            if not quoted and (close_at := source.find(">", m.end()) if m.end() <= last[">"] else -1) < 0:
+                m = None
         stop = m.start() if m else end
         if stop > at and not hidden:
             piece = source[at:stop]
@@ -165,10 +191,10 @@ def parse(source: str) -> Page:
                 text.append((piece, links > 0))
         if m is None:
             break
-        at = m.end()
         if m[2] is None:
+            at = m.end()
             continue
-        tag = m[2].lower()
+        at, tag, rest = close_at + 1, m[2].lower(), source[m.end():close_at]
         if not m[1] and tag not in IN_HEAD and (i := find(("head",), frozenset({"template", "noscript"}))):
             close(i)  # </head> may be left out
         if m[1]:
@@ -188,7 +214,7 @@ def parse(source: str) -> Page:
             done = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
             at = done.end() if done else end
             continue
-        if tag in ("html", "body") and any(t == tag for t, _ in stack[1:]):
+        if tag in ("html", "body") and places.get(tag):
             continue
         if tag in CLOSES_P and (i := find(("p",), frozenset({"td", "th", "button"}))):
             close(i)
@@ -197,15 +223,16 @@ def parse(source: str) -> Page:
         where = stack[-1][1]
         if tag in BLOCK:
             flush()
-            named = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(m[3])} if "=" in m[3] else {}
+            named = {k.lower(): a or b or c for k, a, b, c in _NAMES.findall(rest)} if "=" in rest else {}
             words = _WORDS.findall(" ".join(named.get(k, "") for k in ("class", "id", "role", "aria-label")).lower())
             page.nodes.append(Node(tag, where, frozenset(_HINT[w] for w in words if w in _HINT),
-                                   int(named["data-y"]) if named.get("data-y") in ("0", "1") else None))
+                                   int(named["data-y"]) if labelled and named.get("data-y") in ("0", "1") else None))
             where = len(page.nodes) - 1
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
+        if rest.rstrip().endswith("/") and tag not in BLOCK:
             continue
         hidden += tag in HIDDEN
         links += tag == "a"
+        places.setdefault(tag, []).append(len(stack))
         stack.append((tag, where))
     close(1)
     flush()
@@ -315,9 +342,9 @@ class Model:
         return "\n".join(t for i, t in page.blocks if good[i] >= 0.5)
 
 
-def _evidence(source: str | None) -> Counter:
+def _evidence(source: str | None, labelled: bool = False) -> Counter:
     """(features, label) of nodes and (label, label) of parents and children."""
-    page = parse(source or "")
+    page = parse(source or "", labelled)
     said = labels(page)
     out: Counter = Counter()
     for i, n in enumerate(page.nodes):
@@ -334,7 +361,7 @@ def train(evidence: Counter) -> Model:
     hand-labelled pages weigh as much as the others together."""
     hand: Counter = Counter()
     for source in LABELLED:
-        hand.update(_evidence(source))
+        hand.update(_evidence(source, labelled=True))
     scale = {k: max(1000.0, sum(n for e, n in evidence.items() if e[0] == k)) / sum(n for e, n in hand.items() if e[0] == k) for k in "np"}
     both: Counter = Counter({e: float(n) for e, n in evidence.items()})
     for e, n in hand.items():
@@ -358,11 +385,13 @@ def train(evidence: Counter) -> Model:
 
 
 def fit(pages: DataFrame, sample: int = SAMPLE_PAGES) -> Model:
-    """A model from about ``sample`` pages, chosen by hash. Tasks return counts
-    of feature patterns, of which there are few."""
-    total = pages.count()
-    part = F.xxhash64(F.lit(3), F.col("html")) / F.lit(float(1 << 63))
-    chosen = pages.filter(F.col("html").isNotNull() & (part < min(2.0, 2.0 * sample / max(1, total)) - 1 + 1e-12)).select(F.col("html").cast("string"))
+    """A model from about ``sample`` distinct pages, chosen by hash; copies of a
+    page count once, so that the bound holds however often one occurs. Tasks
+    return counts of feature patterns, of which there are few."""
+    hashed = F.xxhash64(F.lit(3), F.col("html"))
+    total = pages.filter("html IS NOT NULL").select(hashed.alias("h")).distinct().count()
+    part = hashed / F.lit(float(1 << 63))
+    chosen = pages.filter(F.col("html").isNotNull() & (part < min(2.0, 2.0 * sample / max(1, total)) - 1 + 1e-12)).select(F.col("html").cast("string")).distinct()
 
     def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()

@@ -75,3 +75,35 @@ def test_head_without_end_tag_and_fallback_content():
     for start in ("<html><head><title>T</title><meta charset=utf-8><style>p{}</style></head><body>", "<html><head><title>T</title><meta charset=utf-8><style>p{}</style><body>",
                   "<html><head><meta charset=utf-8><script>var a='<p>';</script>", "<head><title>T</title><noscript><p>Off</p></noscript>"):
         assert [t for _, t in parse(start + body).blocks] == want, start
+
+
+HOSTILE = {"nested": "<div>" * 100_000, "unclosed": "<a " * 100_000, "quotes": '<a ">" ' * 100_000, "odd": '<a "' * 100_001 + ">",
+           "scopes": "<p><button>" + "<span>" * 50_000 + "<div>" * 50_000, "ends": "<b>" * 50_000 + "</i>" * 50_000, "items": "<li><table>" * 50_000}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_hostile_pages_take_linear_time(name):
+    from time import process_time
+    start = process_time()
+    parse("<article><p>Text.</p>" + HOSTILE[name])
+    assert process_time() - start < 5  # minutes where each tag looks through the page or the stack
+
+
+def test_open_quotes_and_tags():
+    """A quote that never ends hides no later tags; a tag that never ends takes the rest."""
+    assert [t for _, t in parse("<p>one</p><a title=\"x><p>two</p><p>three").blocks] == ["one", "two", "three"]
+    assert [t for _, t in parse("<p>one</p><a title='>'>two</a><p>three <b class=").blocks] == ["one", "two", "three"]
+    assert [t for _, t in parse("<p>1 < 2 and <3 > 2").blocks] == ["1 < 2 and <3 > 2"]
+
+
+def test_labels_of_the_pages_are_not_read():
+    source = "<div data-y=0><p>Text.</p></div>"
+    assert [n.given for n in parse(source).nodes][:2] == [None, None]
+    assert [n.given for n in parse(source, labelled=True).nodes][:2] == [None, 0]
+
+
+def test_sample_counts_copies_once(spark):
+    rows = [(i, "u", PAGES[0][0]) for i in range(300)] + [(i, "u", h) for i, (h, _) in enumerate(PAGES)]
+    few = spark.createDataFrame(rows, "page_id long, url string, html string")
+    once = spark.createDataFrame(rows[299:], "page_id long, url string, html string")
+    assert np.allclose(fit(few).weights, fit(once).weights)
