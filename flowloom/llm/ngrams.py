@@ -11,10 +11,12 @@ a held-out part of the training documents, against counts without that part.
    block with their counts, as sorted 48-bit keys.
 2. Shards add up and answer each block with the totals of its n-grams.
 3. Held-out blocks are joined with their answers and put into a histogram of
-   component probabilities, whose size does not depend on the data.
+   component probabilities, which is stored. Its cells grow with the data, so
+   each round of expectation-maximisation is an aggregate over it on Spark.
 4. All blocks are joined with their answers, and texts are scored.
 
-Nothing of the corpus passes through the driver but totals and the histogram.
+Nothing of the corpus passes through the driver but totals and, from each round,
+the weights of the buckets.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ ORDER = 3
 BUCKETS = 12          # of log2 of the longest context's count; 0: not seen
 CELL, CELLS = 8, 512  # histogram cells in an octave of probability, and in all
 BLOCK_BYTES = 8 << 20 # text of a block, about; a longer text is a block of its own
+SETTLED = 1e-6        # a change of weights that ends their learning
 COUNTED, WEIGHED, TESTED = 0, 1, 2
 END = np.uint64(0x5AFE0E4D5AFE0E4D)
 START = np.uint64(0x57A127D057A127D0)
@@ -121,18 +124,25 @@ class Weights:
     table: np.ndarray  # (buckets, order): from the unigram up
 
     @classmethod
-    def learn(cls, bucket: np.ndarray, probs: np.ndarray, counts: np.ndarray, rounds: int = 60) -> Weights:
-        """Expectation-maximisation over distinct (bucket, component) cells."""
-        order = probs.shape[1]
+    def learn(cls, cells: DataFrame, order: int, rounds: int = 60) -> Weights:
+        """Expectation-maximisation over rows (bucket int, p array, n long):
+        ``n`` tokens in that bucket with these component probabilities. Stops
+        when no weight moves by more than ``SETTLED``."""
         table = np.full((2 * BUCKETS, order), 1 / order)
         for _ in range(rounds):
-            share = table[bucket] * probs
-            share /= share.sum(axis=1, keepdims=True)
-            for j in range(order):
-                table[:, j] = np.bincount(bucket, weights=counts * share[:, j], minlength=2 * BUCKETS)
+            weight = [F.element_at(F.lit(table[:, j].tolist()), F.col("bucket") + 1) for j in range(order)]
+            parts = [w * F.col("p")[j] for j, w in enumerate(weight)]
+            whole = sum(parts[1:], parts[0])
+            sums = cells.groupBy("bucket").agg(*[F.sum(F.col("n") * part / whole).alias(f"s{j}") for j, part in enumerate(parts)])
+            fresh = np.zeros_like(table)
+            for r in sums.collect():  # a row for each bucket
+                fresh[r["bucket"]] = r[1:]
             # One token more for the unigram: a weight of zero would give a score of minus infinity.
-            table[:, 0] += 1
-            table /= table.sum(axis=1, keepdims=True)
+            fresh[:, 0] += 1
+            fresh /= fresh.sum(axis=1, keepdims=True)
+            moved, table = np.abs(fresh - table).max(), fresh
+            if moved <= SETTLED:
+                break
         return cls(table)
 
     def log10(self, bucket: np.ndarray, probs: list[np.ndarray]) -> np.ndarray:
@@ -256,12 +266,12 @@ def scores(docs: DataFrame, trained: Column, weighed: Column, order: int = ORDER
 
     held = left.filter(F.col("kind") == WEIGHED).groupBy("block").cogroup(
         answers.filter(F.col("kind") == WEIGHED).select("block", "gram", "part", "rest").groupBy("block"))
-    histogram = held.applyInArrow(look, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
-    cell, probs = histogram.column("cell").to_numpy(), []
-    for _ in range(order):
-        cell, step = cell // CELLS, cell % CELLS
-        probs.append(np.where(step > 0, np.exp2(-(step - 0.5) / CELL), 0.0))
-    weights = Weights.learn(cell, np.stack(probs[::-1], axis=1), histogram.column("n").to_numpy().astype(float))
+    histogram = held.applyInArrow(look, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n"))
+    steps = [F.expr(f"cell div {CELLS**j}") % CELLS for j in reversed(range(order))]
+    probs = [F.when(step > 0, F.pow(F.lit(2.0), (F.lit(0.5) - step) / CELL)).otherwise(0.0) for step in steps]
+    cells = write_table(histogram.select(
+        F.expr(f"cell div {CELLS**order}").cast("int").alias("bucket"), F.array(*probs).alias("p"), "n"), "ngram_cells")
+    weights = Weights.learn(cells, order)
 
     def score(table: pa.Table, answer: pa.Table) -> pa.Table:
         block = Block(encoded(table.column("text")), order)

@@ -20,6 +20,28 @@ def rows():
     return out + [out[0], (70, None), (70, None), (71, ""), (None, "a bb UNSEEN"), (72, "A BB\tÄ"), (73, "bb a " * 20_000)]
 
 
+def learned(held, order=3):
+    """Expectation-maximisation token by token."""
+    table = np.full((2 * BUCKETS, order), 1 / order)
+    for _ in range(60):
+        sums = np.zeros_like(table)
+        for b, p in held:
+            share = table[b] * p
+            sums[b] += share / share.sum()
+        sums[:, 0] += 1
+        table = sums / sums.sum(axis=1, keepdims=True)
+    return table
+
+
+def test_weights(spark):
+    rng = np.random.default_rng(2)
+    held = [(int(b), np.array([p, q, 0.0 if b % 3 else r])) for b, (p, q, r) in zip(rng.integers(0, 2 * BUCKETS, 300), rng.random((300, 3)))]
+    held += held[:50]
+    cells = spark.createDataFrame([(b, p.tolist(), 1) for b, p in held], "bucket int, p array<double>, n long")
+    assert np.allclose(Weights.learn(cells, 3).table, learned(held), atol=1e-4)
+    assert np.allclose(Weights.learn(cells.filter("false"), 3).table, [[1.0, 0, 0]] * (2 * BUCKETS))
+
+
 def test_against_counts(documents):
     """The counts and base score of brute force, and the mixture recomputed
     from plain dictionaries with weights learned from exact components."""
@@ -52,7 +74,7 @@ def test_against_counts(documents):
         return out
 
     held = [x for k, (_, t) in zip(kind, data) if k == 1 for x in parts(t, 1)]
-    w = Weights.learn(np.array([b for b, _ in held]), np.array([p for _, p in held]), np.ones(len(held)))
+    w = Weights(learned([(b, np.array(p)) for b, p in held]))
     want = []
     for i, t in data:
         found = parts(t, 0)
