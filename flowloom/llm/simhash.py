@@ -65,9 +65,9 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
     return picked.mapInArrow(run, "doc_id long, fp long")
 
 
-def masks(half: int) -> np.ndarray:
-    """All flips of at most ``half`` of 64 bits."""
-    return np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(64), k)], np.uint64)
+def masks(half: int, width: int = 64) -> np.ndarray:
+    """All flips of at most ``half`` of the lower ``width`` bits."""
+    return np.array([sum(1 << i for i in c) for k in range(half + 1) for c in combinations(range(width), k)], np.uint64)
 
 
 class Cosets:
