@@ -134,3 +134,25 @@ def test_headers(spark):
     assert ds.normalise_columns(df).columns == ["label", "flow iat"]
     with pytest.raises(ValueError, match="clash"):
         ds.normalise_columns(spark.createDataFrame([(1, 2)], ["A ", "a"]))
+
+
+def test_probabilities_are_those_of_mllib(spark, flows):
+    """One function for all trees gives what the members and curves give one by one."""
+    from pyspark.ml.functions import vector_to_array
+    attacks = flows.filter("binary_label = 'MALICIOUS'")
+    plain = training.train_attack(attacks, settings=SMALL, top_k=None)
+    curved = training.calibrate(attacks, "attack_type", lambda part: training.train_attack(part, settings=SMALL), folds=2)
+    gap = spark.createDataFrame([(None,) * len(MODEL_FEATURES)], ", ".join(f"{c} float" for c in MODEL_FEATURES))
+    given = attacks.select(*MODEL_FEATURES).union(gap)
+    for model in (plain, curved):
+        rows = model._vector(given)
+        for i, member in enumerate(model.members):
+            rows = member.transform(rows).withColumn(f"p{i}", vector_to_array(member.getProbabilityCol())[1])
+        for i, curve in enumerate(model.calibrators):
+            rows = curve.transform(rows.withColumn(curve.getFeaturesCol(), F.col(f"p{i}"))).withColumn(f"p{i}", F.col(curve.getPredictionCol()))
+        total = sum((F.col(f"p{i}") for i in range(3)), F.lit(0.0))
+        want = F.array(*[F.when(total > 0, F.col(f"p{i}") / total).otherwise(1 / 3) for i in range(3)])
+        both = model.probabilities(rows.withColumn("want", want)).select("prob", "want").collect()
+        assert len(both) == 451 and all(abs(a - b) < 1e-12 for r in both for a, b in zip(r.prob, r.want))
+    text = model.probabilities(given)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("score(") <= 2 and "UDF(" not in text.replace("PythonUDF(", "")
