@@ -156,3 +156,10 @@ def test_probabilities_are_those_of_mllib(spark, flows):
         assert len(both) == 451 and all(abs(a - b) < 1e-12 for r in both for a, b in zip(r.prob, r.want))
     text = model.probabilities(given)._jdf.queryExecution().optimizedPlan().toString()
     assert text.count("score(") <= 2 and "UDF(" not in text.replace("PythonUDF(", "")
+
+
+def test_trees_are_fitted_on_bounded_partitions(spark, flows):
+    wide = flows.coalesce(1)
+    assert training.in_parts(wide, 100).rdd.getNumPartitions() == 6
+    assert max(training.in_parts(wide, 100).rdd.glom().map(len).collect()) <= 110
+    assert training.in_parts(wide).rdd.getNumPartitions() == 1
