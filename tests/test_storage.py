@@ -174,3 +174,22 @@ def test_draw_keeps_to_a_key_order(spark):
     got = {c: sorted(r.v for r in test.collect() if r.k == c) for c in "ab"}
     assert got == {c: sorted(want[c][:round(len(want[c]) * 0.1)]) for c in "ab"}
     assert train.count() + test.count() == 3000 and train.intersect(test).isEmpty()
+
+
+def test_csv_files_of_a_part_follow_the_splits_of_the_input(spark, folder):
+    """More input is more files, not larger ones; all of the first two parts are read."""
+    import glob
+    from flowloom.runtime import shared_dir
+    from workload.queries import QUERIES
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    lines.repartition(4).write.parquet(f"{folder}/lineitem.parquet")
+    before = set(glob.glob(f"{shared_dir(spark)}/cic-files-*"))
+    small = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4MB")
+    try:
+        got = {r.ds: r.n for r in QUERIES["some_csv_flows"](spark, folder).collect()}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", small)
+    (made,) = set(glob.glob(f"{shared_dir(spark)}/cic-files-*")) - before
+    assert all(len(glob.glob(f"{made}/part={k}/*.csv")) > 1 for k in range(4))
+    assert got == {0: lines.filter("l_suppkey % 4 = 0 AND (l_orderkey * 10 + l_linenumber) % 4 < 2").count(), 3: 100}
