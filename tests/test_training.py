@@ -163,3 +163,11 @@ def test_trees_are_fitted_on_bounded_partitions(spark, flows):
     assert training.in_parts(wide, 100).rdd.getNumPartitions() == 6
     assert max(training.in_parts(wide, 100).rdd.glom().map(len).collect()) <= 110
     assert training.in_parts(wide).rdd.getNumPartitions() == 1
+
+
+@pytest.mark.parametrize("name", ["balanced_weights", "indexed_labels"])
+def test_flows_are_mapped_once(spark, name):
+    """What reads the classes again does not read the flows again."""
+    from workload.queries import QUERIES
+    read = QUERIES[name](spark, "/root/testdata/sf0.001").inputFiles()
+    assert read and not any("lineitem" in f for f in read)
