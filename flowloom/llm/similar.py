@@ -3,11 +3,18 @@ an exact check.
 
 Texts with the same set of shingles are one class. Each class has ``REPEATS``
 independent SimHashes of 32 bits; in each repeat it sends its record to shards,
-which find all variants within ``RADIUS / 2`` flips of it. On a variant, each
-class is compared with the first one there and with the one before it, by the
-bits of all repeats together. A shard keeps the closest partner on either side
-of each class (by key): two rows a class at most, however many meet. The closest
-of all shards are checked on the whole sets, and links that hold are joined.
+which find all variants within ``RADIUS / 2`` flips of it.
+
+First the classes that meet on a variant are compared by the bits of all repeats
+together: all pairs of up to ``FEW``, else each with the first one there and with
+the one before it. A shard keeps the closest partner on either side of each class
+(by key): two rows a class at most, however many meet. The closest of all shards
+are checked on the whole sets, and links that hold are joined. Classes that may have
+further partners are marked.
+
+Then the marked classes meet once more, with the groups they are in by now: every
+pair of different groups is checked as well, so no pair that meets is left out. Pairs
+inside a group change nothing and are not formed, so a large group of near copies costs little.
 
 Two texts of similarity 0.8 differ in 15% of the bits, so a repeat finds them with
 a chance of 0.46 and six with 0.975; at 0.9 it is 0.9998.
@@ -16,6 +23,7 @@ a chance of 0.46 and six with 0.975; at 0.9 it is 0.9998.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +40,10 @@ REPEATS, WIDTH, RADIUS = 6, 32, 4
 MOST_BITS = 48            # of all repeats; pairs at 0.8 differ in 29, with deviation 5
 SHARD_ROWS = 1 << 23      # what one task may get: 256 MB
 SLICE_VARIANTS = 1 << 21
+FEW = 16
+MOST_PAIRS = 1 << 20      # that a task holds at once
 RECORD = np.dtype([("key", "<u8"), ("fp", "<u4", (REPEATS,))])
+GROUPED = np.dtype([*RECORD.descr, ("root", "<i8")])
 FPS = [f"fp{k}" for k in range(REPEATS * WIDTH // 64)]  # two fingerprints in each number
 
 
@@ -90,82 +101,180 @@ def shard_bits(rows: int, variants: int) -> int:
 
 
 class Closest:
-    """The closest partner found of each node, ties to the smaller one."""
+    """The closest partner found of each node, ties to the smaller one, and
+    whether there are others."""
 
     def __init__(self, n: int) -> None:
         self.bits, self.partner = np.full(n, 1 << 15, np.int64), np.full(n, -1, np.int64)
+        self.others = np.zeros(n, bool)
 
     def offer(self, node: np.ndarray, partner: np.ndarray, bits: np.ndarray) -> None:
+        self.others[node[(self.partner[node] >= 0) & (self.partner[node] != partner)]] = True
         order = np.lexsort((partner, bits, node))
         node, partner, bits = node[order], partner[order], bits[order]
         first = np.diff(node, prepend=-1) != 0
+        self.others[node[~first]] = True  # the pairs of an offer are distinct
         node, partner, bits = node[first], partner[first], bits[first]
         better = (bits < self.bits[node]) | ((bits == self.bits[node]) & (partner < self.partner[node]))
         self.bits[node[better]], self.partner[node[better]] = bits[better], partner[better]
 
 
-def candidates(classes: DataFrame) -> DataFrame:
-    """Rows (node, fp0 to fp2) to pairs (a, b, bits), a < b as unsigned numbers: of each
-    node and shard the closest partner below and above it."""
-    flips = masks(RADIUS // 2, WIDTH)
-    count = classes.count()
-    bits = shard_bits(count, len(flips))
-    fine = max(0, int(count * len(flips) / 2**bits / SLICE_VARIANTS).bit_length())
-    homes = spread_keys(classes.sparkSession, min(REPEATS << bits, 1 << 13))
-
-    def scatter(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cosets, home = Cosets(masks(RADIUS // 2, WIDTH), bits, fine), np.array(homes)
+class Shards:
+    """Where the classes of a table meet: ``record`` is what travels of each."""
+
+    def __init__(self, classes: DataFrame, record: np.dtype) -> None:
+        flips, count = masks(RADIUS // 2, WIDTH), classes.count()
+        self.record, self.bits = record, shard_bits(count, len(flips))
+        self.fine = max(0, int(count * len(flips) / 2**self.bits / SLICE_VARIANTS).bit_length())
+        self.homes = spread_keys(classes.sparkSession, min(REPEATS << self.bits, 1 << 13))
+        self.sent = classes.mapInArrow(self.scatter, "home int, shard int, rows binary").repartition(len(self.homes), "home").groupBy("home", "shard")
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "sent"}
+
+    def cosets(self) -> Cosets:
+        return Cosets(masks(RADIUS // 2, WIDTH), self.bits, self.fine)
+
+    def scatter(self, parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cosets, home = self.cosets(), np.array(self.homes)
         for whole in parts:
             for b in slim(whole, 4096):
-                rows = np.zeros(b.num_rows, RECORD)
+                rows = np.zeros(b.num_rows, self.record)
                 rows["key"] = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                 rows["fp"] = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FPS], axis=1).view("<u4")
+                if "root" in self.record.names:
+                    rows["root"] = b.column("root").to_numpy(zero_copy_only=False)
                 for repeat in range(REPEATS):
-                    cell = cosets.cell(rows["fp"][:, repeat].astype(np.uint64)) >> fine
+                    cell = cosets.cell(rows["fp"][:, repeat].astype(np.uint64)) >> self.fine
                     shard = (cell[:, None] ^ cosets.shards[None, :]).ravel()
                     order = np.argsort(shard, kind="stable")
-                    shard, sent = shard[order] + (repeat << bits), rows[order // len(cosets.shards)]
+                    shard, sent = shard[order] + (repeat << self.bits), rows[order // len(cosets.shards)]
                     first = np.flatnonzero(np.diff(shard, prepend=-1))
                     data = [sent[i:j].tobytes() for i, j in zip(first, np.append(first[1:], len(shard)))]
                     yield pa.record_batch([pa.array(home[shard[first] % len(home)], pa.int32()), pa.array(shard[first], pa.int32()),
                                            pa.array(data, pa.binary())], ["home", "shard", "rows"])
 
-    def meet(table: pa.Table) -> pa.Table:
-        cosets = Cosets(masks(RADIUS // 2, WIDTH), bits, fine)
-        repeat, shard = divmod(table.column("shard")[0].as_py(), 1 << bits)
-        rows = np.concatenate([np.frombuffer(x, RECORD) for x in table.column("rows").to_pylist()])
+    def read(self, shard: int, blocks: list[bytes]) -> tuple[int, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
+        """The repeat of a shard, its classes by key, and in slices the variants that several
+        may have, sorted, with the number of each one's owner."""
+        rows = np.concatenate([np.frombuffer(x, self.record) for x in blocks])
         rows = rows[np.unique(rows["key"], return_index=True)[1]]
-        values = rows["fp"][:, repeat].astype(np.uint64)
-        every = np.ascontiguousarray(rows["fp"]).view(np.uint64)
-        cells, n = cosets.cell(values), len(rows)
-        below, above = Closest(n), Closest(n)
-        for part in range(1 << fine):
-            variant, owner = cosets.variants(values, cells, shard << fine | part)
-            ordered = np.sort(variant)
-            shared = ordered[1:][ordered[1:] == ordered[:-1]]
-            marks = np.zeros(1 << 22, bool)  # leaves few variants that only one class has
-            marks[mix(shared) >> np.uint64(42)] = True
-            keep = marks[mix(variant) >> np.uint64(42)]
-            variant, owner = variant[keep], owner[keep]
-            order = np.argsort(variant, kind="stable")  # owners rise within a variant
-            variant, owner = variant[order], owner[order]
-            start = np.concatenate([[True], np.diff(variant) != 0])[:len(owner)]
-            head = owner[np.flatnonzero(start)[np.cumsum(start) - 1]]
-            pairs = np.concatenate([head[~start] * n + owner[~start], owner[:-1][~start[1:]] * n + owner[1:][~start[1:]]])
-            a, b = np.divmod(np.unique(pairs), max(1, n))
+        repeat, shard = divmod(shard, 1 << self.bits)
+
+        def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            cosets, values = self.cosets(), rows["fp"][:, repeat].astype(np.uint64)
+            cells = cosets.cell(values)
+            for part in range(1 << self.fine):
+                variant, owner = cosets.variants(values, cells, shard << self.fine | part)
+                ordered = np.sort(variant)
+                shared = ordered[1:][ordered[1:] == ordered[:-1]]
+                marks = np.zeros(1 << 22, bool)  # leaves few variants that only one class has
+                marks[mix(shared) >> np.uint64(42)] = True
+                keep = marks[mix(variant) >> np.uint64(42)]
+                variant, owner = variant[keep], owner[keep]
+                order = np.argsort(variant, kind="stable")  # owners rise within a variant
+                yield variant[order], owner[order]
+
+        return repeat, rows, slices()
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry of sorted values, where its run begins and ends."""
+    start = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])[:len(values)])
+    size = np.diff(np.append(start, len(values)))
+    return np.repeat(start, size), np.repeat(start + size, size)
+
+
+def candidates(classes: DataFrame) -> DataFrame:
+    """Rows (node, fp0 to fp2) to pairs (a, b, bits, more), a < b as unsigned numbers: of each
+    node and shard the closest partner below and above it. ``more`` is 1 if a may have others,
+    plus 2 if b may. A node that may have partners, but none was found, comes with itself."""
+    where = Shards(classes, RECORD)
+
+    def meet(table: pa.Table) -> pa.Table:
+        _, rows, slices = where.read(table.column("shard")[0].as_py(), table.column("rows").to_pylist())
+        every, n = np.ascontiguousarray(rows["fp"]).view(np.uint64), len(rows)
+        below, above, crowded = Closest(n), Closest(n), np.zeros(n, bool)
+        for variant, owner in slices:
+            first, end = _runs(variant)
+            crowd = end - first > FEW
+            crowded[owner[crowd]] = True
+            at = np.flatnonzero(crowd & (first < np.arange(len(owner))))
+            found = [owner[first[at]] * n + owner[at], owner[at - 1] * n + owner[at]]
+            at = np.flatnonzero(~crowd)
+            for step in range(1, FEW):
+                at = at[at + step < end[at]]
+                found.append(owner[at] * n + owner[at + step])
+            a, b = np.divmod(np.unique(np.concatenate(found)), max(1, n))
             apart = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int64)
             good = (apart <= MOST_BITS) & (a != b)
             below.offer(b[good], a[good], apart[good])
             above.offer(a[good], b[good], apart[good])
+        more = below.others | above.others | crowded
         one, two = np.flatnonzero(below.partner >= 0), np.flatnonzero(above.partner >= 0)
-        pairs = np.unique(np.concatenate([below.partner[one] * n + one, two * n + above.partner[two]]))
+        alone = np.flatnonzero(crowded & (below.partner < 0) & (above.partner < 0))
+        pairs = np.unique(np.concatenate([below.partner[one] * n + one, two * n + above.partner[two], alone * n + alone]))
         a, b = np.divmod(pairs, max(1, n))
         apart = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int32)
         key = rows["key"].view(np.int64)
-        return pa.table({"a": key[a], "b": key[b], "bits": apart})
+        return pa.table({"a": key[a], "b": key[b], "bits": apart, "more": more[a] + 2 * more[b].astype(np.int32)})
+
+    return where.sent.applyInArrow(meet, "a long, b long, bits int, more int")
+
 
-    sent = classes.mapInArrow(scatter, "home int, shard int, rows binary")
-    return sent.repartition(len(homes), "home").groupBy("home", "shard").applyInArrow(meet, "a long, b long, bits int")
+def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of the variants that two fingerprints have in common, one that is fixed by the two."""
+    apart, out = a ^ b, a.copy()
+    low = apart & (~apart + np.uint32(1))
+    far = np.bitwise_count(apart)
+    out[far >= 2] ^= low[far >= 2]
+    apart ^= low
+    low = apart & (~apart + np.uint32(1))
+    out[far >= 4] ^= low[far >= 4]
+    return out
+
+
+def other_groups(classes: DataFrame) -> DataFrame:
+    """Rows (node, fp0 to fp2, root) to all pairs (a, b) of different roots that meet on a variant
+    and differ in at most ``MOST_BITS``, each pair once."""
+    where = Shards(classes, GROUPED)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [(b.column("shard")[0].as_py(), b.column("rows").to_pylist()) for b in batches if b.num_rows]
+        repeat, rows, slices = where.read(held[0][0], [x for _, blocks in held for x in blocks])
+        del held
+        fp, key = np.ascontiguousarray(rows["fp"]), rows["key"].view(np.int64)
+        every, rank = fp.view(np.uint64), np.unique(rows["root"], return_inverse=True)[1]
+
+        def checked(i: np.ndarray, j: np.ndarray, variant: np.ndarray) -> pa.RecordBatch:
+            a, b = np.minimum(i, j), np.maximum(i, j)
+            good = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            a, b, variant = a[good], b[good], variant[good]
+            # A pair that meets in several places counts in one of them.
+            good = np.argmax(np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS, axis=1) == repeat
+            good &= _middle(fp[a, repeat], fp[b, repeat]) == variant
+            return pa.record_batch([pa.array(key[a[good]]), pa.array(key[b[good]])], ["a", "b"])
+
+        for variant, owner in slices:
+            order = np.lexsort((rank[owner], variant))
+            variant, owner = variant[order], owner[order]
+            end = _runs(variant)[1]
+            run = np.concatenate([[True], (variant[1:] != variant[:-1]) | (rank[owner[1:]] != rank[owner[:-1]])])[:len(owner)]
+            at = np.arange(len(owner))
+            after = _runs(np.cumsum(run))[1]  # the first entry of another group
+            waiting, n = [], 0
+            while len(at := at[after[at] < end[at]]):
+                for some in np.array_split(at, -(-len(at) // MOST_PAIRS)):
+                    waiting.append((owner[some], owner[after[some]], variant[some]))
+                    n += len(some)
+                    if n >= MOST_PAIRS:
+                        yield checked(*(np.concatenate(x) for x in zip(*waiting)))
+                        waiting, n = [], 0
+                after[at] += 1
+            if waiting:
+                yield checked(*(np.concatenate(x) for x in zip(*waiting)))
+
+    return where.sent.applyInArrow(meet, "a long, b long")
 
 
 def _holds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,13 +289,23 @@ def _holds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
+def _links(pairs: DataFrame, rows: DataFrame, step: str) -> DataFrame:
+    """The pairs (a, b) that hold, stored. Sets travel only where a class has a partner."""
+    met = write_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"shingle_met_{step}")
+    sets = write_table(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), f"shingle_sets_{step}")
+    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
+    return write_table(both.mapInArrow(_holds, "a long, b long"), f"shingle_links_{step}")
+
+
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """(doc_id, node long, component_id) for each row of ``docs``.
 
     ``component_id`` is the smallest doc_id that a row reaches over links
     between sets of ``words``-word shingles of similarity 0.8 or more, itself
     included. Texts with equal sets are always linked, those without words too.
-    Every link holds exactly; links found are as the module says. Repeated rows and ids
+    Every link holds exactly, and every pair that meets in a repeat is joined if it
+    holds; the chance to meet is as the module says. Repeated rows and ids
     each keep their row; a null id is never the smallest, so ``component_id`` is null
     only where all ids of the component are null. Extra columns are ignored, an
     empty table gives an empty result. Sets are told apart by 64 bits.
@@ -195,14 +314,22 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     rows = write_table(sketches(docs, words), "shingle_sketches")
     classes = write_table(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in FPS]), "shingle_classes")
     pairs = write_table(candidates(classes.select("node", *FPS).repartition(shards(spark))), "shingle_pairs")
-    closest = write_table(pairs.groupBy("b").agg(F.min(F.struct("bits", "a")).alias("m")).select("m.a", "b").unionByName(
-        pairs.groupBy("a").agg(F.min(F.struct("bits", "b")).alias("m")).select("a", "m.b")).distinct(), "shingle_links")
-    # Sets travel only where a class has a partner.
-    met = write_table(closest.select(F.col("a").alias("node")).union(closest.select("b")).distinct(), "shingle_met")
-    sets = write_table(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), "shingle_sets")
-    of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
-    links = closest.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b").mapInArrow(_holds, "a long, b long")
+    met = pairs.filter("a <> b")
+    sides = [met.groupBy(end).agg(F.min(F.struct("bits", other)).alias("m"), (F.min(other) != F.max(other)).alias("others"))
+             for end, other in (("b", "a"), ("a", "b"))]
+    closest = write_table(sides[0].select("m.a", "b").unionByName(sides[1].select("a", "m.b")).distinct(), "shingle_closest")
+    links = _links(closest, rows, "first")
     roots = components(links)
+    marked = [pairs.filter("more & 1 = 1").select("a"), pairs.filter("more & 2 = 2").select("b"),
+              *[side.filter("others").select(end) for end, side in zip("ba", sides)]]
+    marked = reduce(DataFrame.union, marked).toDF("node").distinct()
+    marked = write_table(classes.select("node", *FPS).join(marked, "node", "left_semi").join(roots, "node", "left")
+                         .withColumn("root", F.coalesce("root", "node")), "shingle_marked")
+    if marked.head(1):
+        more = write_table(other_groups(marked.repartition(shards(spark))), "shingle_more")
+        more = _links(more, rows, "more")
+        if more.head(1):
+            roots = components(links.unionByName(more))
     linked = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))
     smallest = linked.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = linked.select("node", "root").join(smallest, "root").select("node", "component_id")

@@ -87,3 +87,53 @@ def test_shards_put_out_two_rows_a_class(spark):
         rows[size] = found.count()
         assert rows[size] <= 2 * 48 * size
     assert rows[800] <= 2.5 * rows[400] <= 6.25 * rows[200]
+
+
+def test_every_pair_that_meets_is_joined(documents):
+    """Where the closest partner by bits does not hold, another one may."""
+    import numpy as np
+    from flowloom.llm.similar import MOST_BITS, RADIUS, fingerprints, shingles
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(3000)]
+    texts = []
+    for _ in range(40):
+        base = [rng.choice(words) for _ in range(rng.randrange(60, 120))]
+        for _ in range(25):  # most pairs are near 0.8, on either side
+            text = list(base)
+            text[rng.randrange(4, len(text) - 4)] = rng.choice(words)
+            texts.append(" ".join(text))
+    hashes = [shingles(t.encode()) for t in texts]
+    sets = [plain(t) for t in texts]
+    fps = np.stack([fingerprints(h) for h in hashes]).view("<u4")
+    root = list(range(len(texts)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+    for i in range(len(texts)):
+        apart = np.bitwise_count(fps[i] ^ fps[:i])
+        for j in np.flatnonzero((apart.min(axis=1) <= RADIUS) & (apart.sum(axis=1) <= MOST_BITS)):
+            if find(i) != find(int(j)) and alike(sets[i], sets[j]):
+                a, b = sorted((find(i), find(int(j))))
+                root[b] = a
+    got = {r.doc_id: r.component_id for r in near_copies(documents(list(enumerate(texts)))).collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert 40 < len(set(got.values())) < len(texts) / 2
+
+
+def test_pairs_of_other_groups(spark):
+    """All pairs of different roots, each once; none within a root."""
+    import numpy as np
+    from flowloom.llm.similar import MOST_BITS, RADIUS, other_groups
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 1 << 32, (3, 6), dtype=np.uint64)
+    flips = lambda: (np.uint64(1) << rng.integers(0, 32, 6, dtype=np.uint64))
+    fps = np.array([base[i % 3] ^ flips() ^ flips() ^ flips() for i in range(150)]).astype("<u4")
+    data = [(i, *fps[i].view("<i8").tolist(), i % 10) for i in range(150)]
+    found = [(r.a, r.b) for r in other_groups(spark.createDataFrame(data, "node long, fp0 long, fp1 long, fp2 long, root long")).collect()]
+    apart = np.bitwise_count(fps[:, None] ^ fps[None])
+    want = [(a, b) for a in range(150) for b in range(a + 1, 150) if a % 10 != b % 10
+            and apart[a, b].min() <= RADIUS and apart[a, b].sum() <= MOST_BITS]
+    assert sorted(found) == want and len(want) > 1000
