@@ -37,6 +37,7 @@ from .numbering import numbered, running_total
 # (the packet ``at`` is reconnaissance warning ``step``), "end" (warnings open at the
 # end, or BLOCKED).
 FACTS = "ip string, what string, epoch bigint, at bigint, step int"
+REJECTED = "_rejected"
 BLOCKED = -1
 
 
@@ -115,9 +116,16 @@ def is_address(col: Column | str) -> Column:
 
 def split_rejects(rows: DataFrame, cfg: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
     """Packets whose source would be acted on but is no address cannot be
-    blocked; they go to a rejects table instead of the log."""
-    bad = is_true(trigger(cfg).isNotNull() & ~is_address("source_ip"))
-    return rows.filter(~bad), rows.filter(bad)
+    blocked; they go to a rejects table instead of the log. Tables that are
+    stored first may bring the answer along, see ``marked``."""
+    if REJECTED not in rows.columns:
+        rows = marked(rows, cfg)
+    return rows.filter(~F.col(REJECTED)).drop(REJECTED), rows.filter(REJECTED).drop(REJECTED)
+
+
+def marked(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
+    """Add whether ``split_rejects`` takes a row out, to be looked up once only."""
+    return rows.withColumn(REJECTED, is_true(trigger(cfg).isNotNull() & ~is_address("source_ip")))
 
 
 def select_action(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:

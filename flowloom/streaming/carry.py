@@ -25,6 +25,7 @@ class CarryTable:
         self.spark, self.path, self.keys, self.buckets = spark, path, keys, buckets
         self.schema = T.StructType.fromDDL(schema)
         self._open: dict[int, list[int]] = {}  # batch -> the buckets it has asked for
+        self._fresh: dict[int, bool] = {}
 
     def bucket(self) -> Column:
         return F.pmod(F.hash(*[F.col(k) for k in self.keys]), F.lit(self.buckets))
@@ -35,15 +36,25 @@ class CarryTable:
         asked = {r[0] for r in touched.select(self.bucket().alias("k")).distinct().collect()}  # at most ``buckets`` numbers
         self._open[batch_id] = sorted(asked | {batch_id % self.buckets})
         paths = [p for k in self._open[batch_id] if (p := self._newest(k, batch_id))]
+        self._fresh[batch_id] = not paths
         if not paths:
             return self.spark.createDataFrame([], self.schema)
         return self.spark.read.schema(self._stored()).parquet(*paths).filter(F.col("_row")).select(*self.schema.names)
 
-    def save(self, batch_id: int, touched: DataFrame, before: DataFrame, keep: Column | None = None) -> None:
+    def fresh(self, batch_id: int) -> bool:
+        """Whether ``before`` found nothing stored for a batch."""
+        return self._fresh[batch_id]
+
+    def save(self, batch_id: int, touched: DataFrame, before: DataFrame, keep: Column | None = None,
+             named: DataFrame | None = None) -> None:
         """Write the opened buckets: ``touched``, and the rows of ``before`` with
-        other keys that ``keep`` holds for."""
-        rest = before.join(touched.select(*self.keys), self.keys, "left_anti")
-        rows = touched.select(*self.schema.names).unionByName(rest if keep is None else rest.filter(keep))
+        other keys that ``keep`` holds for. ``named`` has the keys of ``touched``,
+        where these are had for less than ``touched`` itself. ``before`` may be
+        changed on the way, but has no rows where ``fresh`` holds, unless given."""
+        rows = touched.select(*self.schema.names)
+        if not self._fresh.get(batch_id) or before.head(1):
+            rest = before.join((touched if named is None else named).select(*self.keys), self.keys, "left_anti")
+            rows = rows.unionByName(rest if keep is None else rest.filter(keep))
         rows = rows.withColumns({"_row": F.lit(True), BUCKET: self.bucket()})
         # a bucket without rows is written too, or its last version would count
         marks = self.spark.createDataFrame([(False, k) for k in self._open[batch_id]], f"_row boolean, {BUCKET} int")

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..config import Config, DEFAULT
-from ..functions import network as net
-from ..operators.features import SESSION
+from ..operators.features import SESSION, flow_named
 from ..operators.history import join_tails, tails
 from ..schemas import PACKETS
 
@@ -28,7 +27,7 @@ def batch_state(packets: DataFrame, before: DataFrame, cfg: Config = DEFAULT,
                 idle_timeout: float | None = None) -> tuple[DataFrame, DataFrame]:
     """State of the flows in a batch before it and after it, one small row per
     flow. A flow silent for more than ``idle_timeout`` seconds begins anew."""
-    rows = packets.withColumn("flow_key", net.flow_key()).withColumn("flow_id", net.flow_id("flow_key"))
+    rows = flow_named(packets)
     now = rows.groupBy(*FLOW).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col("length").cast("long")).alias("b"),
         F.min_by("ts_us", "seq").alias("first_us"), F.max_by("ts_us", "seq").alias("newest_us"))

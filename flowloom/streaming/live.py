@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..config import Config, DEFAULT
-from ..functions import network as net
 from ..operators import dashboard as dash, gates, response, verdict
-from ..operators.features import SESSION, flow_features, packet_ids, rate_features, session_features, slice_size
+from ..operators.features import SESSION, flow_features, flow_named, packet_ids, rate_features, session_features, slice_size
 from ..operators.history import join_tails, tails
+from ..operators.numbering import renamed, same_keys
 from ..plans.detect import scored_rows, usable_scorer
 from ..runtime import step_tables, write_table
 from ..sources.logstore import STORED, append_once
@@ -20,6 +20,7 @@ from .flow_state import FLOW, FLOW_STATE, batch_state, flow_history
 
 SESSION_TAIL = "sensor_id string, session_id string, tail array<struct<seq:bigint,ts_us:bigint,length:int>>"
 VOTE_TAIL = "sensor_id string, session_id string, flow_id string, tail array<struct<seq:bigint,_mal:int>>"
+VOTE = "_vote"
 RESPONSE = "sensor_id string, ip string, blocked boolean, open_warnings int"
 
 
@@ -61,14 +62,27 @@ class LiveDetection:
         self.responses = table("responses", ["sensor_id", "ip"], RESPONSE)
         self.ids = table("ids", ["name"], "name string, last bigint", 1)
 
-    def on_time(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame]:
-        """The packets of a batch that come in order, and the others."""
-        last = self.sessions.before(batch_id, rows).select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
-        copy = F.row_number().over(Window.partitionBy(*SESSION, "seq").orderBy("ts_us"))
-        rows = rows.join(last, SESSION, "left").withColumn("_copy", copy)
+    def on_time(self, rows: DataFrame, batch_id: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The packets of a batch that come in order with the names of their
+        flows, the others, and the tails before. The batch is stored as it comes;
+        only if some are late or copies, which narrow columns tell, it is split."""
+        names = rows.columns
+        rows = write_table(flow_named(rows), "packets")
+        before = self.sessions.before(batch_id, rows)
+        last = before.select(*SESSION, F.element_at("tail", -1)["seq"].alias("_last"))
+        keys = [*SESSION, "seq"]
+        seen = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows")).join(last, SESSION, "left")
+        odd = seen.filter((F.col("_rows") > 1) | F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False)))
+        odd = write_table(renamed(odd.select(*keys, "_last"), keys), "odd")
+        if not odd.head(1):
+            return rows, rows.select(*names).filter(F.lit(False)), before
+        copy = F.row_number().over(Window.partitionBy(*keys).orderBy("ts_us"))
+        some = rows.join(odd, same_keys(keys)).withColumn("_copy", copy)
         late = F.coalesce(F.col("seq") <= F.col("_last"), F.lit(False)) | (F.col("_copy") > 1)
-        rows = write_table(rows.withColumn("_late", late).drop("_last", "_copy"), "packets")
-        return rows.filter("NOT _late").drop("_late"), rows.filter("_late").drop("_late")
+        some = write_table(some.withColumn("_late", late).select(*rows.columns, "_late"), "split")
+        rest = rows.join(odd, same_keys(keys), "left_anti")
+        packets = write_table(rest.unionByName(some.filter("NOT _late").drop("_late")), "on_time")
+        return packets, some.filter("_late").select(*names), before
 
     def numbered(self, packets: DataFrame, batch_id: int) -> DataFrame:
         """Ids after those of the batches before."""
@@ -79,34 +93,36 @@ class LiveDetection:
         self.ids.save(batch_id, now, before)
         return packets
 
-    def session_carry(self, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
+    def session_carry(self, rows: DataFrame, before: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
         """Session features of a batch, given the tails before it."""
-        before, n = self.sessions.before(batch_id, rows), self.cfg.rolling_window
+        n, named = self.cfg.rolling_window, rows.select(*SESSION).distinct()
         now = tails(rows, SESSION, "seq", ["ts_us", "length"], n)
-        self.sessions.save(batch_id, join_tails(before, now, SESSION, n), before)
-        known = before.join(rows.select(*SESSION).distinct(), SESSION, "left_semi")
+        self.sessions.save(batch_id, join_tails(before, now, SESSION, n), before, named=named)
+        known = None if self.sessions.fresh(batch_id) else before.join(named, SESSION, "left_semi")
         return session_features(rows, self.cfg, size, known)
 
     def flow_carry(self, packets: DataFrame, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
         """Flow features of a batch, given the flows before it. Flows that have
         been silent twice as long as ``idle_timeout`` leave the table."""
-        keyed = packets.withColumn("flow_key", net.flow_key()).withColumn("flow_id", net.flow_id("flow_key"))
-        before = self.flows.before(batch_id, keyed)
+        before = self.flows.before(batch_id, packets)
         known, after = batch_state(packets, before, self.cfg, self.idle_timeout)
         keep = None
         if self.idle_timeout is not None:
             newest = packets.agg(F.max("ts_us")).first()[0]
             keep = None if newest is None else F.col("last_us") >= newest - int(2 * self.idle_timeout * 1_000_000)
-        self.flows.save(batch_id, after, before, keep)
-        return flow_features(rows, self.cfg, size, flow_history(known))
-
-    def vote_carry(self, rows: DataFrame, batch_id: int, size: int | None = None) -> DataFrame:
-        """Vote shares of a batch, given the votes before it."""
-        before = self.votes.before(batch_id, rows)
-        now = gates.vote_tails(rows, self.cfg)
+        self.flows.save(batch_id, after, before, keep, packets.select(*FLOW).distinct())
+        return flow_features(rows, self.cfg, size, None if self.flows.fresh(batch_id) else flow_history(known))
+
+    def vote_carry(self, packets: DataFrame, rows: DataFrame, batch_id: int, size: int | None = None) -> tuple[DataFrame, DataFrame]:
+        """Vote shares of a batch, given the votes before it, and these."""
+        before, touched = self.votes.before(batch_id, packets), None
+        if not self.votes.fresh(batch_id):
+            touched = before.join(packets.select(*gates.VOTER).distinct(), gates.VOTER, "left_semi")
+        return gates.consensus(rows.withColumn(VOTE, gates.vote(self.cfg)), self.cfg, size, touched), before
+
+    def save_votes(self, decided: DataFrame, before: DataFrame, batch_id: int) -> None:
+        now = gates.vote_tails(decided, VOTE, self.cfg)
         self.votes.save(batch_id, join_tails(before, now, gates.VOTER, self.cfg.vote_window), before)
-        touched = before.join(rows.select(*gates.VOTER).distinct(), gates.VOTER, "left_semi")
-        return gates.consensus(rows, self.cfg, size, touched)
 
     def response_batch(self, rows: DataFrame, batch_id: int) -> response.Replay:
         """Replay a batch on top of the blocks and warnings before it."""
@@ -132,22 +148,27 @@ class LiveDetection:
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         cfg = self.cfg
-        packets, late = self.on_time(batch, batch_id)
+        packets, late, before = self.on_time(batch, batch_id)
         late.write.mode("overwrite").parquet(f"{self.state}/rejects/b={batch_id}")
         packets = self.numbered(packets, batch_id) if self.number else packets
         size = slice_size(packets, cfg, "auto")
-        rows = self.flow_carry(packets, self.session_carry(packets, batch_id, size), batch_id, size)
+        rows = self.flow_carry(packets, self.session_carry(packets, before, batch_id, size), batch_id, size)
         rows = rate_features(rows)
         scorer = usable_scorer(rows.columns, self.scorer)
         if self.score_columns is None and scorer is None:
-            decided = gates.metadata_rules(rows, cfg)
+            decided = write_table(response.marked(verdict.classify(gates.metadata_rules(rows, cfg), cfg), cfg), "decided")
         else:
-            scored = write_table(scored_rows(rows, cfg, self.score_columns, scorer), "scored")
-            decided = gates.decide(self.vote_carry(scored, batch_id, size), cfg)
-        decided = write_table(verdict.classify(decided, cfg), "decided")
+            rows = scored_rows(rows, cfg, self.score_columns, scorer)
+            if size is not None:
+                rows = write_table(rows, "scored")  # the sliced vote window reads it more than once
+            voted, before = self.vote_carry(packets, rows, batch_id, size)
+            decided = response.marked(verdict.classify(gates.decide(voted, cfg), cfg), cfg)
+            decided = write_table(decided, "decided")
+            self.save_votes(decided, before, batch_id)
+            decided = decided.drop(VOTE)
         replay = self.response_batch(decided, batch_id)
         replay.rejects.write.mode("overwrite").parquet(f"{self.state}/bad-sources/b={batch_id}")
-        append_once(write_table(verdict.build_logs(replay.rows, log_id="id" if self.number else "seq"), "batch_logs"), self.logs, batch_id)
+        append_once(verdict.build_logs(replay.rows, log_id="id" if self.number else "seq"), self.logs, batch_id)
 
 
 def start_detection(packets: DataFrame, detection: LiveDetection, checkpoint: str,

@@ -125,3 +125,21 @@ def test_carry_tables_touch_only_their_buckets(spark, folder):
     assert {r.k: r.v for r in table.current().collect()} == {k: v for k, v in want.items() if v > 0}
     import os
     assert all(len(os.listdir(f"{folder}/carry/{d}")) <= 2 for d in os.listdir(f"{folder}/carry") if d.startswith("_k="))
+
+
+def test_batch_is_stored_twice_only(spark, folder, monkeypatch):
+    """The packets as they come, and what is decided; all else on the way is narrow or small."""
+    from flowloom.streaming import live as module
+    rows, stored = packets(14, 60), {}
+    write = module.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        stored[name] = out.count()
+        return out
+
+    monkeypatch.setattr(module, "write_table", counted)
+    live = LiveDetection(spark, f"{folder}/logs", f"{folder}/state", CFG, score_columns=scores())
+    live(frame(spark, rows), 0)
+    assert sum(n >= len(rows) for n in stored.values()) == 2
+    assert stored_logs(spark, f"{folder}/logs").count() == len(rows)
