@@ -2,7 +2,7 @@
 
 A string of ``length`` bytes is removed where it also starts in a document
 with a smaller id. Every such window has an anchor: the smallest hash among
-its ``gram``-byte substrings that start in its first bytes, the leftmost on
+its ``gram``-byte substrings that start in its first bytes (upper 43 bits), the leftmost on
 ties. Equal windows have equal anchors, so only suffixes at anchors are sorted,
 each with the bytes to its left that belong to windows of that anchor.
 
@@ -44,6 +44,7 @@ NO_ID = np.iinfo(np.int64).max
 
 _TABLE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
+_PLACE = np.uint64(4 * PIECE - 1)  # PIECE + LENGTH - 1 places fit
 
 
 def _grams(data: np.ndarray) -> np.ndarray:
@@ -66,26 +67,25 @@ def _pieces(flat: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator[
         if len(data) < LENGTH:
             break
         h = _grams(data)
-        arg = np.arange(len(h), dtype=np.int32)
-        low, step = h, 1
+        # The place fills the lower bits, so the least number is the leftmost least hash.
+        low, step = h & ~_PLACE | np.arange(len(h), dtype=np.uint64), 1
         while 2 * step <= REACH:
-            left = low[:-step] <= low[step:]
-            arg = np.where(left, arg[:-step], arg[step:])
-            low = np.where(left, low[:-step], low[step:])
+            low = np.minimum(low[:-step], low[step:])
             step *= 2
         if REACH > step:
-            by = REACH - step
-            left = low[:-by] <= low[by:]
-            arg = np.where(left, arg[:-by], arg[by:])
-        n = min(len(arg), PIECE)
-        arg = arg[:n].astype(np.int64) + at
+            low = np.minimum(low[:step - REACH], low[REACH - step:])
+        n = min(len(low), PIECE)
         # Windows lie inside one text.
-        last = np.searchsorted(ends, np.arange(at, at + n), side="right")
-        valid = np.arange(at, at + n) + LENGTH <= ends[last] if len(ends) else np.zeros(n, bool)
+        i, j = np.searchsorted(ends, [at, at + n - 1], side="right")
+        some = ends[i:j + 1]
+        edge = np.zeros(n + 1, np.int32)
+        np.add.at(edge, np.clip(some - LENGTH + 1 - at, 0, n), 1)  # windows that begin from here on reach beyond their text
+        np.add.at(edge, np.clip(some - at, 0, n), -1)
+        valid = np.cumsum(edge[:n]) == 0
         p = np.flatnonzero(valid)
         if not len(p):
             continue
-        a = arg[p]
+        a = (low[p] & _PLACE).astype(np.int64) + at
         new = np.concatenate([[True], (a[1:] != a[:-1]) | (p[1:] != p[:-1] + 1)])
         first = np.flatnonzero(new)
         stop = np.append(first[1:], len(p)) - 1

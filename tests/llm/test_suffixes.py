@@ -95,3 +95,24 @@ def test_shards_are_even():
     rows = block.suffixes(~none, none, 32)[0]
     sizes = np.bincount(rows[:, 0].astype(int) << 8 | rows[:, 1], minlength=32)
     assert len(sizes) == 32 and sizes.max() <= 1.5 * sizes.mean()
+
+
+def test_anchors_at_text_and_piece_edges(monkeypatch):
+    """Each window once, with the leftmost least hash of its own, also where texts are
+    shorter than a window or a piece ends inside one."""
+    import numpy as np
+    from flowloom.llm import suffixes as s
+    monkeypatch.setattr(s, "PIECE", 97)
+    rng = np.random.default_rng(4)
+    texts = [rng.integers(97, 100, n, dtype=np.uint8) for n in (300, 3, 49, 50, 1, 51, 10, 700, 60, 5)] + [np.zeros(200, np.uint8)]
+    ends = np.cumsum([len(t) for t in texts])
+    starts, flat = ends - [len(t) for t in texts], np.concatenate(texts)
+    found = {}
+    for _, anchor, first, last in s._pieces(flat, starts, ends):
+        for a, p, q in zip(anchor, first, last):
+            for window in range(p, q + 1):
+                assert window not in found
+                found[window] = int(a)
+    upper = s._grams(flat) >> np.uint64(21)
+    want = {p: p + int(np.argmin(upper[p:p + s.REACH])) for x, y in zip(starts, ends) for p in range(x, y - s.LENGTH + 1)}
+    assert found == want
