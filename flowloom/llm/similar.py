@@ -15,6 +15,8 @@ further partners are marked.
 Then the marked classes meet once more, with the groups they are in by now: every
 pair of different groups is checked as well, so no pair that meets is left out. Pairs
 inside a group change nothing and are not formed, so a large group of near copies costs little.
+Nor do pairs travel: a shard puts out the classes that have such a pair, once each, their sets
+are brought to it, and it joins what holds, so it puts out fewer links than classes.
 
 Two texts of similarity 0.8 differ in 15% of the bits, so a repeat finds them with
 a chance of 0.46 and six with 0.975; at 0.9 it is 0.9998.
@@ -32,7 +34,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from flowloom.llm.common import encoded, mix, shards, slim, spread_keys
 from flowloom.llm.components import components
-from flowloom.llm.simhash import Cosets, masks
+from flowloom.llm.simhash import Cosets, _join, masks
 from flowloom.runtime import write_table
 
 WORDS, LEAST = 5, (4, 5)  # similarity as a fraction
@@ -42,8 +44,10 @@ SHARD_ROWS = 1 << 23      # what one task may get: 256 MB
 SLICE_VARIANTS = 1 << 21
 FEW = 16
 MOST_PAIRS = 1 << 20      # that a task holds at once
+MOST_HASHES = 1 << 23     # of the sets that are compared at once: 32 MB
 RECORD = np.dtype([("key", "<u8"), ("fp", "<u4", (REPEATS,))])
 GROUPED = np.dtype([*RECORD.descr, ("root", "<i8")])
+SIZED = np.dtype([*GROUPED.descr, ("size", "<i8")])
 FPS = [f"fp{k}" for k in range(REPEATS * WIDTH // 64)]  # two fingerprints in each number
 
 
@@ -75,21 +79,22 @@ def fingerprints(hashes: np.ndarray) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, words: int = WORDS) -> DataFrame:
-    """(doc_id, node long, fp0 to fp2 long, hashes binary) of each row: the key of its
-    set of shingles, its fingerprints, and the upper halves of the hashes."""
+    """(doc_id, node long, fp0 to fp2 long, size long, hashes binary) of each row: the key of its
+    set of shingles, its fingerprints, and the upper halves of the hashes with their number."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in parts:
             for b in slim(whole, 500):
                 sets = [shingles(t, words) for t in encoded(b.column("text"))]
                 keys = np.array([xxhash.xxh3_64_intdigest(s.tobytes()) for s in sets], np.uint64)
                 fps = np.stack([fingerprints(s) for s in sets])
+                halves = [np.unique(s >> np.uint64(32)).astype(np.uint32) for s in sets]
                 yield pa.record_batch([
                     b.column("doc_id"), pa.array(keys.view(np.int64)), *[pa.array(fps[:, k]) for k in range(len(FPS))],
-                    pa.array([np.unique(s >> np.uint64(32)).astype(np.uint32).tobytes() for s in sets], pa.binary())],
-                    ["doc_id", "node", *FPS, "hashes"])
+                    pa.array([len(h) for h in halves], pa.int64()), pa.array([h.tobytes() for h in halves], pa.binary())],
+                    ["doc_id", "node", *FPS, "size", "hashes"])
 
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in FPS)}, hashes binary")
+    return picked.mapInArrow(run, f"doc_id long, node long, {', '.join(f'{c} long' for c in FPS)}, size long, hashes binary")
 
 
 def shard_bits(rows: int, variants: int) -> int:
@@ -142,8 +147,8 @@ class Shards:
                 rows = np.zeros(b.num_rows, self.record)
                 rows["key"] = b.column("node").to_numpy(zero_copy_only=False).view(np.uint64)
                 rows["fp"] = np.stack([b.column(c).to_numpy(zero_copy_only=False) for c in FPS], axis=1).view("<u4")
-                if "root" in self.record.names:
-                    rows["root"] = b.column("root").to_numpy(zero_copy_only=False)
+                for c in self.record.names[2:]:
+                    rows[c] = b.column(c).to_numpy(zero_copy_only=False)
                 for repeat in range(REPEATS):
                     cell = cosets.cell(rows["fp"][:, repeat].astype(np.uint64)) >> self.fine
                     shard = (cell[:, None] ^ cosets.shards[None, :]).ravel()
@@ -155,27 +160,65 @@ class Shards:
                                            pa.array(data, pa.binary())], ["home", "shard", "rows"])
 
     def read(self, shard: int, blocks: list[bytes]) -> tuple[int, np.ndarray, Iterator[tuple[np.ndarray, np.ndarray]]]:
-        """The repeat of a shard, its classes by key, and in slices the variants that several
-        may have, sorted, with the number of each one's owner."""
+        """The repeat of a shard, its classes by key, and the slices of their variants."""
         rows = np.concatenate([np.frombuffer(x, self.record) for x in blocks])
         rows = rows[np.unique(rows["key"], return_index=True)[1]]
+        return shard >> self.bits, rows, self.slices(shard, rows)
+
+    def slices(self, shard: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """In slices, the variants that several classes of a shard may have, sorted, with the
+        number of each one's owner."""
         repeat, shard = divmod(shard, 1 << self.bits)
+        cosets, values = self.cosets(), rows["fp"][:, repeat].astype(np.uint64)
+        cells = cosets.cell(values)
+        for part in range(1 << self.fine):
+            variant, owner = cosets.variants(values, cells, shard << self.fine | part)
+            ordered = np.sort(variant)
+            shared = ordered[1:][ordered[1:] == ordered[:-1]]
+            marks = np.zeros(1 << 22, bool)  # leaves few variants that only one class has
+            marks[mix(shared) >> np.uint64(42)] = True
+            keep = marks[mix(variant) >> np.uint64(42)]
+            variant, owner = variant[keep], owner[keep]
+            order = np.argsort(variant, kind="stable")  # owners rise within a variant
+            yield variant[order], owner[order]
+
+    def across(self, shard: int, rows: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """All pairs a < b (numbers of rows) of different roots that meet in the shard, differ in at
+        most ``MOST_BITS`` and, where sizes are known, may be similar by them. A pair that meets
+        in several places counts in one of them."""
+        repeat = shard >> self.bits
+        fp = np.ascontiguousarray(rows["fp"])
+        every, rank = fp.view(np.uint64), np.unique(rows["root"], return_inverse=True)[1]
 
-        def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            cosets, values = self.cosets(), rows["fp"][:, repeat].astype(np.uint64)
-            cells = cosets.cell(values)
-            for part in range(1 << self.fine):
-                variant, owner = cosets.variants(values, cells, shard << self.fine | part)
-                ordered = np.sort(variant)
-                shared = ordered[1:][ordered[1:] == ordered[:-1]]
-                marks = np.zeros(1 << 22, bool)  # leaves few variants that only one class has
-                marks[mix(shared) >> np.uint64(42)] = True
-                keep = marks[mix(variant) >> np.uint64(42)]
-                variant, owner = variant[keep], owner[keep]
-                order = np.argsort(variant, kind="stable")  # owners rise within a variant
-                yield variant[order], owner[order]
+        def checked(i: np.ndarray, j: np.ndarray, variant: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            a, b = np.minimum(i, j), np.maximum(i, j)
+            good = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
+            if "size" in rows.dtype.names:
+                x, y = rows["size"][a], rows["size"][b]
+                good &= np.minimum(x, y) * LEAST[1] >= np.maximum(x, y) * LEAST[0]
+            a, b, variant = a[good], b[good], variant[good]
+            good = np.argmax(np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS, axis=1) == repeat
+            good &= _middle(fp[a, repeat], fp[b, repeat]) == variant
+            return a[good], b[good]
 
-        return repeat, rows, slices()
+        for variant, owner in self.slices(shard, rows):
+            order = np.lexsort((rank[owner], variant))
+            variant, owner = variant[order], owner[order]
+            end = _runs(variant)[1]
+            run = np.concatenate([[True], (variant[1:] != variant[:-1]) | (rank[owner[1:]] != rank[owner[:-1]])])[:len(owner)]
+            at = np.arange(len(owner))
+            after = _runs(np.cumsum(run))[1]  # the first entry of another group
+            waiting, n = [], 0
+            while len(at := at[after[at] < end[at]]):
+                for some in np.array_split(at, -(-len(at) // MOST_PAIRS)):
+                    waiting.append((owner[some], owner[after[some]], variant[some]))
+                    n += len(some)
+                    if n >= MOST_PAIRS:
+                        yield checked(*(np.concatenate(x) for x in zip(*waiting)))
+                        waiting, n = [], 0
+                after[at] += 1
+            if waiting:
+                yield checked(*(np.concatenate(x) for x in zip(*waiting)))
 
 
 def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -236,45 +279,110 @@ def _middle(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def other_groups(classes: DataFrame) -> DataFrame:
     """Rows (node, fp0 to fp2, root) to all pairs (a, b) of different roots that meet on a variant
-    and differ in at most ``MOST_BITS``, each pair once."""
+    and differ in at most ``MOST_BITS``, each pair once. They may grow with the square of a group."""
     where = Shards(classes, GROUPED)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column("shard")[0].as_py(), b.column("rows").to_pylist()) for b in batches if b.num_rows]
-        repeat, rows, slices = where.read(held[0][0], [x for _, blocks in held for x in blocks])
-        del held
-        fp, key = np.ascontiguousarray(rows["fp"]), rows["key"].view(np.int64)
-        every, rank = fp.view(np.uint64), np.unique(rows["root"], return_inverse=True)[1]
+        shard, rows = _gathered(where, batches)
+        key = rows["key"].view(np.int64)
+        for a, b in where.across(shard, rows):
+            yield pa.record_batch([pa.array(key[a]), pa.array(key[b])], ["a", "b"])
 
-        def checked(i: np.ndarray, j: np.ndarray, variant: np.ndarray) -> pa.RecordBatch:
-            a, b = np.minimum(i, j), np.maximum(i, j)
-            good = np.bitwise_count(every[a] ^ every[b]).sum(axis=1, dtype=np.int64) <= MOST_BITS
-            a, b, variant = a[good], b[good], variant[good]
-            # A pair that meets in several places counts in one of them.
-            good = np.argmax(np.bitwise_count(fp[a] ^ fp[b]) <= RADIUS, axis=1) == repeat
-            good &= _middle(fp[a, repeat], fp[b, repeat]) == variant
-            return pa.record_batch([pa.array(key[a[good]]), pa.array(key[b[good]])], ["a", "b"])
+    return where.sent.applyInArrow(meet, "a long, b long")
 
-        for variant, owner in slices:
-            order = np.lexsort((rank[owner], variant))
-            variant, owner = variant[order], owner[order]
-            end = _runs(variant)[1]
-            run = np.concatenate([[True], (variant[1:] != variant[:-1]) | (rank[owner[1:]] != rank[owner[:-1]])])[:len(owner)]
-            at = np.arange(len(owner))
-            after = _runs(np.cumsum(run))[1]  # the first entry of another group
-            waiting, n = [], 0
-            while len(at := at[after[at] < end[at]]):
-                for some in np.array_split(at, -(-len(at) // MOST_PAIRS)):
-                    waiting.append((owner[some], owner[after[some]], variant[some]))
-                    n += len(some)
-                    if n >= MOST_PAIRS:
-                        yield checked(*(np.concatenate(x) for x in zip(*waiting)))
-                        waiting, n = [], 0
-                after[at] += 1
-            if waiting:
-                yield checked(*(np.concatenate(x) for x in zip(*waiting)))
 
-    return where.sent.applyInArrow(meet, "a long, b long")
+def _gathered(where: Shards, batches: Iterator[pa.RecordBatch]) -> tuple[int, np.ndarray]:
+    held = [(b.column("shard")[0].as_py(), b.column("rows").to_pylist()) for b in batches if b.num_rows]
+    return held[0][0], where.read(held[0][0], [x for _, blocks in held for x in blocks])[1]
+
+
+def _bins(parent: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (number, bin, part, block), the members of each tree of ``parent`` together in bins of
+    about ``MOST_HASHES``. A larger tree is cut into blocks, and any two blocks make a part."""
+    member = np.flatnonzero(np.bincount(parent, minlength=len(parent))[parent] > 1)
+    member = member[np.argsort(parent[member], kind="stable")]
+    tree = np.cumsum(np.diff(parent[member], prepend=-1) != 0) - 1
+    first = np.flatnonzero(np.diff(tree, prepend=-1))
+    start = np.cumsum(size[member]) - size[member]
+    block = (start - start[first][tree]) // MOST_HASHES
+    blocks = np.maximum.reduceat(block, first)[tree] + 1 if len(first) else block
+    at, other = np.arange(len(member)).repeat(blocks), _places(blocks)
+    low, high = np.minimum(block[at], other), np.maximum(block[at], other)
+    return member[at], (start[first] // MOST_HASHES)[tree][at], high * (high + 1) // 2 + low, block[at]
+
+
+def _places(counts: np.ndarray) -> np.ndarray:
+    """0, 1, ... up to each count."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+MET = f"home int, shard int, bin long, part long, block long, node long, root long, {', '.join(f'{c} long' for c in FPS)}"
+
+
+def meetings(where: Shards) -> DataFrame:
+    """The classes of each shard that have a pair in ``Shards.across``: one row a class and shard
+    at most, but for trees of such pairs with over ``MOST_HASHES``."""
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, rows = _gathered(where, batches)
+        parent = np.arange(len(rows))
+        for a, b in where.across(shard, rows):
+            parent = _join(parent, a, b)
+        at, bins, part, block = _bins(parent, rows["size"])
+        home = np.array(where.homes)[(shard + bins + part) % len(where.homes)]
+        fps = np.ascontiguousarray(rows["fp"]).view("<i8")
+        for k in range(0, len(at), 1 << 16):
+            some = slice(k, k + (1 << 16))
+            columns = [home[some], np.full(len(at[some]), shard), bins[some], part[some], block[some], rows["key"].view(np.int64)[at[some]],
+                       rows["root"][at[some]], *fps[at[some]].T]
+            kinds = [pa.int32(), pa.int32(), *[pa.int64()] * (len(columns) - 2)]
+            yield pa.record_batch([pa.array(np.ascontiguousarray(c), t) for c, t in zip(columns, kinds)],
+                                  ["home", "shard", "bin", "part", "block", "node", "root", *FPS])
+
+    return where.sent.applyInArrow(meet, MET)
+
+
+def joined(met: DataFrame, where: Shards) -> DataFrame:
+    """Rows of ``meetings`` with their sets (hashes) to links (a, b) that hold: the pairs of a part
+    that hold have, with the roots, the same components as these. Fewer links than rows."""
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches([b for b in batches if b.num_rows])
+        table = table.take(np.unique(table.column("node").to_numpy().view(np.uint64), return_index=True)[1])
+        sets = [np.frombuffer(x, np.uint32) for x in table.column("hashes").to_pylist()]
+        rows = np.zeros(len(sets), SIZED)
+        rows["key"], rows["root"] = table.column("node").to_numpy().view(np.uint64), table.column("root").to_numpy()
+        rows["fp"] = np.stack([table.column(c).to_numpy() for c in FPS], axis=1).view("<u4")
+        rows["size"] = size = np.array([len(x) for x in sets])
+        block, shard = table.column("block").to_numpy(), table.column("shard")[0].as_py()
+        cut = block.min() != block.max()  # pairs of one block are those of another part
+        del table
+        ids = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int32)
+        sets = np.split(ids, np.cumsum(size)[:-1])
+        has, group = np.zeros(ids.max(initial=0) + 1, bool), np.unique(rows["root"], return_inverse=True)[1]
+        key, links = rows["key"].view(np.int64), []
+        for a, b in where.across(shard, rows):
+            if cut:
+                a, b = a[block[a] != block[b]], b[block[a] != block[b]]
+            order = np.argsort(a, kind="stable")
+            a, b = a[order], b[order]
+            bounds = np.flatnonzero(np.diff(a, prepend=-1, append=len(sets)))
+            for first, end in zip(bounds[:-1], bounds[1:]):
+                one = a[first]
+                has[sets[one]] = True
+                for at in range(first, end, 64):
+                    with_ = b[at:min(at + 64, end)]
+                    with_ = with_[group[with_] != group[one]]
+                    if not len(with_):
+                        continue
+                    both = np.add.reduceat(has[np.concatenate([sets[i] for i in with_])], np.cumsum(size[with_]) - size[with_], dtype=np.int64)
+                    with_ = with_[both * LEAST[1] >= LEAST[0] * (size[one] + size[with_] - both)]
+                    found, place = np.unique(group[with_], return_index=True)
+                    links += [(key[one], key[i]) for i in with_[place]]
+                    group[np.isin(group, found)] = group[one]
+                has[sets[one]] = False
+        links = np.array(links, np.int64).reshape(-1, 2)
+        yield pa.record_batch([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    return met.repartition(len(where.homes), "home").groupBy("home", "shard", "bin", "part").applyInArrow(check, "a long, b long")
 
 
 def _holds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,13 +397,18 @@ def _holds(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
-def _links(pairs: DataFrame, rows: DataFrame, step: str) -> DataFrame:
+def _links(pairs: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs (a, b) that hold, stored. Sets travel only where a class has a partner."""
-    met = write_table(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), f"shingle_met_{step}")
-    sets = write_table(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), f"shingle_sets_{step}")
+    sets = _sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")), rows, "first")
     of = lambda end: sets.select(F.col("node").alias(end), F.col("hashes").alias(f"of_{end}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b").select("a", "b", "of_a", "of_b")
-    return write_table(both.mapInArrow(_holds, "a long, b long"), f"shingle_links_{step}")
+    return write_table(both.mapInArrow(_holds, "a long, b long"), "shingle_links_first")
+
+
+def _sets(nodes: DataFrame, rows: DataFrame, step: str) -> DataFrame:
+    """(node, hashes), stored, of the classes that are named."""
+    met = write_table(nodes.distinct(), f"shingle_met_{step}")
+    return write_table(rows.select("node", "hashes").join(met, "node", "left_semi").dropDuplicates(["node"]), f"shingle_sets_{step}")
 
 
 def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
@@ -312,22 +425,23 @@ def near_copies(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = write_table(sketches(docs, words), "shingle_sketches")
-    classes = write_table(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in FPS]), "shingle_classes")
+    classes = write_table(rows.groupBy("node").agg(F.min("doc_id").alias("first_id"), *[F.min(c).alias(c) for c in [*FPS, "size"]]), "shingle_classes")
     pairs = write_table(candidates(classes.select("node", *FPS).repartition(shards(spark))), "shingle_pairs")
     met = pairs.filter("a <> b")
     sides = [met.groupBy(end).agg(F.min(F.struct("bits", other)).alias("m"), (F.min(other) != F.max(other)).alias("others"))
              for end, other in (("b", "a"), ("a", "b"))]
     closest = write_table(sides[0].select("m.a", "b").unionByName(sides[1].select("a", "m.b")).distinct(), "shingle_closest")
-    links = _links(closest, rows, "first")
+    links = _links(closest, rows)
     roots = components(links)
     marked = [pairs.filter("more & 1 = 1").select("a"), pairs.filter("more & 2 = 2").select("b"),
               *[side.filter("others").select(end) for end, side in zip("ba", sides)]]
     marked = reduce(DataFrame.union, marked).toDF("node").distinct()
-    marked = write_table(classes.select("node", *FPS).join(marked, "node", "left_semi").join(roots, "node", "left")
+    marked = write_table(classes.select("node", *FPS, "size").join(marked, "node", "left_semi").join(roots, "node", "left")
                          .withColumn("root", F.coalesce("root", "node")), "shingle_marked")
     if marked.head(1):
-        more = write_table(other_groups(marked.repartition(shards(spark))), "shingle_more")
-        more = _links(more, rows, "more")
+        where = Shards(marked.repartition(shards(spark)), SIZED)
+        met = write_table(meetings(where), "shingle_meetings")
+        more = write_table(joined(met.join(_sets(met.select("node"), rows, "more"), "node"), where), "shingle_links_more")
         if more.head(1):
             roots = components(links.unionByName(more))
     linked = classes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root"))

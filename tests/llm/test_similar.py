@@ -137,3 +137,48 @@ def test_pairs_of_other_groups(spark):
     want = [(a, b) for a in range(150) for b in range(a + 1, 150) if a % 10 != b % 10
             and apart[a, b].min() <= RADIUS and apart[a, b].sum() <= MOST_BITS]
     assert sorted(found) == want and len(want) > 1000
+
+
+def test_rows_do_not_grow_with_the_square_of_a_group(documents, monkeypatch):
+    """Texts that meet, but are less than 0.8 alike, travel once a shard, not once a pair."""
+    from flowloom.llm import similar
+    stored, write = {}, similar.write_table
+
+    def counted(df, name):
+        out = write(df, name)
+        stored[name] = out.count()
+        return out
+    monkeypatch.setattr(similar, "write_table", counted)
+    base, most = [f"w{i}" for i in range(60)], {}
+    for size in (200, 800):
+        rng = random.Random(7)
+        texts = []
+        for i in range(size):
+            text = list(base)
+            for k in rng.sample(range(4, 56), 1):
+                text[k] = f"new{i}"
+            texts.append(" ".join(text))
+        found = similar.near_copies(documents(list(enumerate(texts)))).collect()
+        part = components([plain(t) for t in texts])
+        assert all(part[r.component_id] == part[r.doc_id] for r in found)
+        assert len(found) == size and stored["shingle_marked"] > size / 2
+        most[size] = max(stored.values())
+    assert most[800] <= 6 * most[200]
+
+
+def test_parts_of_a_large_group(monkeypatch):
+    """A group over the size of a bin is cut into blocks: each pair is checked in one part."""
+    import numpy as np
+    from flowloom.llm import similar
+    parent = np.array([0, 0, 2, 3, 3, 3, 3, 3, 8, 8])
+    monkeypatch.setattr(similar, "MOST_HASHES", 20)
+    parts = {}
+    for i, bin_, part, block in zip(*similar._bins(parent, np.full(10, 10))):
+        parts.setdefault((bin_, part), {})[i] = block
+    for a in range(10):
+        for b in range(a):
+            together = [x for x in parts.values() if a in x and b in x]
+            checked = [x for x in together if len({*x.values()}) == 1 or x[a] != x[b]]
+            assert parent[a] != parent[b] or len(checked) == 1
+    assert len(parts) > 6 and not any(2 in x for x in parts.values())
+    assert [len(x) for x in similar._bins(np.arange(4), np.ones(4, np.int64))] == [0] * 4
