@@ -194,17 +194,20 @@ def search_logs(logs: DataFrame, text: str = "", severity: str = "all", action:
     return hits
 
 
-def alert_key() -> Column:
-    """Identity of an alert, null for rows that alert nobody."""
-    label = attack_label()
+def alerts(logs: DataFrame) -> DataFrame:
+    """The enriched rows of threats and warnings with ``alert_key``, the identity of an alert.
+    They are looked for among the columns as stored, each test once: filters on derived
+    columns take copies of all that these are made of."""
+    grave = F.lower(F.coalesce(filled("severity"), _fallback_severity())).isin(*[w for w in SEVERITY_RANK if w != "info"])
+    rows = enrich(logs.filter(is_true(F.col("action") == "blocked") | is_warning() | is_true(grave)))
+    label = F.coalesce(filled("attack_label"), filled("prediction"), filled("signature"), F.lit("-"))
     source = F.lower(F.coalesce(filled("source_ip"), F.lit("unknown")))
-    alerting = (is_threat() | is_warning()) & (label != "-")
-    return F.when(alerting, F.concat_ws("|", source, F.lower(label)))
+    return rows.filter(label != "-").withColumn("alert_key", F.concat_ws("|", source, F.lower(label)))
 
 
 def first_alerts(logs: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """The first row of each alert identity not in ``seen`` (column ``alert_key``)."""
-    rows = enrich(logs).withColumn("alert_key", alert_key()).filter(F.col("alert_key").isNotNull())
+    rows = alerts(logs)
     if seen is not None:
         rows = rows.join(seen.select("alert_key").distinct(), "alert_key", "left_anti")
     first = Window.partitionBy("alert_key").orderBy("id")

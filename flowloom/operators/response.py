@@ -129,30 +129,29 @@ def marked(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
 
 
 def select_action(rows: DataFrame, cfg: Config = DEFAULT) -> DataFrame:
-    """Add ``action`` and ``response_note``, from ``blocked_before`` and ``recon_step``."""
-    kind = trigger(cfg)
+    """Add ``action`` and ``response_note``, from ``blocked_before`` and ``recon_step``.
+
+    The kind and the case are columns first: expressions that repeat them make
+    methods that are too large for the JIT.
+    """
     last = F.col("recon_step") >= cfg.recon_limit
     quiet = lab.is_benign("prediction") | (F.col("severity") == "info")
     uncertain = F.col("reason") == "model_uncertain_attack"
-
-    def choose(blocked, warned, allowed, at_once, recon_last, recon, alert) -> Column:
-        return (
-            F.when(F.col("blocked_before"), blocked).when(uncertain, warned).when(quiet, allowed)
-            .when(kind == "block", at_once)
-            .when((kind == "recon") & last, recon_last).when(kind == "recon", recon).otherwise(alert)
-        )
-
-    word = F.lit
+    kind, case = F.col("_kind"), F.col("_case")
+    cases = (
+        F.when(F.col("blocked_before"), "listed").when(uncertain, "uncertain").when(quiet, "quiet")
+        .when(kind == "block", "at_once").when((kind == "recon") & last, "recon_last").when(kind == "recon", "recon")
+        .otherwise("alert")
+    )
+    rows = rows.withColumn("_kind", trigger(cfg)).withColumn("_case", cases)
     return rows.withColumns({
-        "action": choose(word("blocked"), word("warning"), word("allow"), word("blocked"),
-                         word("blocked"), word("warning"), word("alert")),
-        "response_note": choose(
-            word(NOTE_BLOCKLISTED), word(NOTE_UNCERTAIN), word(None).cast("string"),
-            F.concat(word("Auto-blocked "), F.col("prediction"), word(" traffic")),
-            word(f"Auto-blocked after {cfg.recon_limit} reconnaissance warnings"),
-            F.concat(word("Recon warning "), F.col("recon_step").cast("string"), word(f"/{cfg.recon_limit}")),
-            word(None).cast("string")),
-    })
+        "action": F.when(case.isin("listed", "at_once", "recon_last"), "blocked")
+        .when(case.isin("uncertain", "recon"), "warning").when(case == "quiet", "allow").otherwise("alert"),
+        "response_note": F.when(case == "listed", NOTE_BLOCKLISTED).when(case == "uncertain", NOTE_UNCERTAIN)
+        .when(case == "at_once", F.concat(F.lit("Auto-blocked "), F.col("prediction"), F.lit(" traffic")))
+        .when(case == "recon_last", f"Auto-blocked after {cfg.recon_limit} reconnaissance warnings")
+        .when(case == "recon", F.concat(F.lit("Recon warning "), F.col("recon_step").cast("string"), F.lit(f"/{cfg.recon_limit}"))),
+    }).drop("_kind", "_case")
 
 
 def preview_action(rows: DataFrame, blocked: DataFrame | None = None, cfg: Config = DEFAULT) -> DataFrame:

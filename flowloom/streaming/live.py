@@ -156,14 +156,15 @@ class LiveDetection:
         rows = rate_features(rows)
         scorer = usable_scorer(rows.columns, self.scorer)
         if self.score_columns is None and scorer is None:
-            decided = write_table(response.marked(verdict.classify(gates.metadata_rules(rows, cfg), cfg), cfg), "decided")
+            decided = verdict.log_inputs(verdict.classify(gates.metadata_rules(rows, cfg), cfg))
+            decided = write_table(response.marked(decided, cfg), "decided")
         else:
             rows = scored_rows(rows, cfg, self.score_columns, scorer)
             if size is not None:
                 rows = write_table(rows, "scored")  # the sliced vote window reads it more than once
             voted, before = self.vote_carry(packets, rows, batch_id, size)
-            decided = response.marked(verdict.classify(gates.decide(voted, cfg), cfg), cfg)
-            decided = write_table(decided, "decided")
+            decided = verdict.log_inputs(verdict.classify(gates.decide(voted, cfg), cfg), VOTE)
+            decided = write_table(response.marked(decided, cfg), "decided")
             self.save_votes(decided, before, batch_id)
             decided = decided.drop(VOTE)
         replay = self.response_batch(decided, batch_id)
@@ -204,5 +205,4 @@ def live_summary(logs: DataFrame, width: str = "5 minutes") -> DataFrame:
 
 def notify_once(logs: DataFrame) -> DataFrame:
     """The first log row of each alert identity in the stream."""
-    rows = dash.enrich(logs).withColumn("alert_key", dash.alert_key())
-    return rows.filter(F.col("alert_key").isNotNull()).dropDuplicates(["alert_key"])
+    return dash.alerts(logs).dropDuplicates(["alert_key"])
