@@ -11,11 +11,14 @@ numbers follow, and are parsed in parallel with numpy.
 
 from __future__ import annotations
 
+import ipaddress
 import json
 import struct
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import islice
+from functools import lru_cache
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -44,6 +47,7 @@ SURVEY = ("path string, size bigint, at bigint, upto bigint, start bigint, stop
           "news string, unread bigint, ended boolean")
 INDEX = f"{CHUNKS}, at bigint, reason string"
 HEADER_BYTES = 256  # more than any header chain that is looked into
+PACKETS_AT_ONCE, BYTES_AT_ONCE = 1 << 14, 16 << 20  # small chunks are parsed together up to either
 GUESS_BYTES = 1 << 20  # bytes whose places are tried at once
 GUESS_CHAIN = 6        # plausible headers in a row that make a guess
 LIKELY_LENGTH = 1 << 18
@@ -329,12 +333,15 @@ def _assemble(chunk_packets: int):
         if about["format"] == "pcapng":
             about["order"] = "<" if f.read(8, 4) == b"\x4d\x3c\x2b\x1a" else ">"
         ended = False
-        for (_, upto), own in rows.sort_values(["at", "start"]).groupby(["at", "upto"], sort=True):
+        # plain rows, as most files have a few: frames of frames cost more than the walk
+        names = ["at", "upto", "start", "stop", "packets", "news", "unread", "ended"]
+        found = sorted(zip(*[(rows[c].fillna(-1) if c in ("start", "stop") else rows[c]).tolist() for c in names]), key=itemgetter(0, 2))
+        for (_, upto), own in groupby(found, key=itemgetter(0, 1)):
             if ended or at >= upto:
                 continue
-            if own["start"].iloc[0] == at:
-                pieces = [_Piece(int(r.start), int(r.stop), int(r.packets), json.loads(r.news), int(r.unread), bool(r.ended))
-                          for r in own.itertuples(index=False)]
+            own = list(own)
+            if own[0][2] == at:
+                pieces = [_Piece(int(r[2]), int(r[3]), int(r[4]), json.loads(r[5]), int(r[6]), bool(r[7])) for r in own]
             else:
                 pieces = _hop(f, at, int(upto), about, chunk_packets)
             for p in pieces:
@@ -346,8 +353,8 @@ def _assemble(chunk_packets: int):
             out.append((path, None, None, None, 0, None, at, "cut off or corrupt from here on"))
         if unread:
             out.append((path, None, None, None, 0, None, 0, f"{unread} packet blocks of a kind that is not read"))
-        frame = pd.DataFrame(out, columns=[c.split()[0] for c in INDEX.split(", ")])
-        return frame.astype({c: "Int64" for c in ("start", "stop", "first_seq", "packets", "at")})
+        columns = zip([c.split() for c in INDEX.split(", ")], zip(*out) if out else [()] * (INDEX.count(",") + 1))
+        return pd.DataFrame({n: pd.array(v, dtype="Int64" if t == "bigint" else object) for (n, t), v in columns})
     return assemble
 
 
@@ -368,7 +375,7 @@ def _indexed(spark: SparkSession, path: str, chunk_packets: int, chunk_bytes: in
     ranges = _files(spark, path).select("path", "size", F.explode(starts).alias("at"))
     ranges = ranges.withColumn("upto", F.least("size", F.col("at") + chunk_bytes))
     surveyed = ranges.repartition(_tasks(spark), "path", "at").mapInPandas(_survey(chunk_packets), SURVEY)
-    return surveyed.groupBy("path").applyInPandas(_assemble(chunk_packets), INDEX)
+    return surveyed.repartition(_tasks(spark), "path").groupBy("path").applyInPandas(_assemble(chunk_packets), INDEX)
 
 
 def _unknown(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -401,14 +408,18 @@ def _be(buf: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+@lru_cache(1 << 16)
+def _address(raw: bytes) -> str:
+    return str(ipaddress.ip_address(raw))
+
+
 def _ip_text(buf: np.ndarray, at: np.ndarray, mask: np.ndarray, size: int, out: np.ndarray) -> None:
     """Write address texts where the mask is set; each distinct one is formatted once."""
-    import ipaddress
     if not mask.any():
         return
-    raw = buf[at[mask][:, None] + np.arange(size)]
-    values, back = np.unique(raw, axis=0, return_inverse=True)
-    texts = np.array([str(ipaddress.ip_address(v.tobytes())) for v in values], dtype=object)
+    raw = np.ascontiguousarray(buf[at[mask][:, None] + np.arange(size)])
+    values, back = np.unique(raw.view(np.dtype((np.void, size))).reshape(-1), return_inverse=True)
+    texts = np.array([_address(v.tobytes()) for v in values], dtype=object)
     out[mask] = texts[back.reshape(-1)]
 
 
@@ -512,18 +523,32 @@ def _places(f: _File, start: int, stop: int, about: dict) -> tuple[np.ndarray, .
     return buf, head + 16, _number(buf, head + 8, little), time, np.full(len(head), about["link"], dtype=np.int64)
 
 
+def _packets(held: list[tuple]) -> pd.DataFrame:
+    """The packets of some chunks, dissected as one."""
+    paths, firsts, bufs, places, lengths, times, links = zip(*held)
+    counts = [len(at) for at in places]
+    shifts = np.cumsum([0, *[len(buf) for buf in bufs[:-1]]])
+    at, length = np.concatenate([at + shift for at, shift in zip(places, shifts)]), np.concatenate(lengths)
+    seq = np.concatenate([first + np.arange(n) for first, n in zip(firsts, counts)])
+    fields = dissect(np.concatenate(bufs), at, length, np.concatenate(links))
+    return pd.DataFrame({"path": np.repeat(np.array(paths, dtype=object), counts), "seq": seq, **fields,
+                         "ts_us": np.concatenate(times), "length": length})
+
+
 def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
+        held, packets, size = [], 0, 0
         for row in batch.itertuples(index=False):
             f = _File(row.path)
-            buf, at, length, time, link = _places(f, row.start, row.stop, json.loads(row.about))
+            chunk = _places(f, row.start, row.stop, json.loads(row.about))
             f.close()
-            out = pd.DataFrame(dissect(buf, at, length, link))
-            out.insert(0, "seq", row.first_seq + np.arange(len(at)))
-            out.insert(0, "path", row.path)
-            out["ts_us"] = time
-            out["length"] = length
-            yield out
+            held.append((row.path, row.first_seq, *chunk))
+            packets, size = packets + len(chunk[1]), size + len(chunk[0])
+            if packets >= PACKETS_AT_ONCE or size >= BYTES_AT_ONCE:
+                yield _packets(held)
+                held, packets, size = [], 0, 0
+        if held:
+            yield _packets(held)
 
 
 _PARSED = ("path string, seq bigint, source_ip string, destination_ip string, source_port int, destination_port int, "

@@ -145,3 +145,18 @@ def test_filter_comes_before_running_features(spark, folder):
     assert capture_filter(packets, hosts=("2001::2",)).count() == 2
     rows = feat.packet_features(kept, skew="whole").filter("source_ip = '10.0.0.1'").collect()
     assert sorted(r.total_packets for r in rows) == [1, 1]
+
+
+def test_files_are_assembled_by_many_tasks(spark, folder):
+    """However few bytes the surveyed ranges have: most of the work is to open the files."""
+    from pyspark.sql import functions as F
+    from flowloom.sources import captures
+    for i in range(24):
+        write_pcap(f"{folder}/{i}.pcap", [p for p, _ in PACKETS])
+    spark.conf.set("spark.sql.shuffle.partitions", "6")
+    try:
+        index = captures._indexed(spark, folder, 100, 1 << 16)
+        assert index.filter("packets > 0").count() == 24
+        assert index.select(F.spark_partition_id()).distinct().count() > 3
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "2")

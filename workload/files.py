@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import struct
+from functools import lru_cache
 from typing import Any
 
 import pandas as pd
@@ -14,6 +15,11 @@ from flowloom.runtime import new_table_path
 PER_FILE = 2000
 
 
+@lru_cache(1 << 16)
+def _packed(ip: str) -> bytes:
+    return ipaddress.ip_address(ip).packed
+
+
 def _frame(row) -> bytes:
     """An Ethernet frame with the header fields of a packet row."""
     if row.source_ip is None or row.protocol_number == 0:
@@ -26,7 +32,7 @@ def _frame(row) -> bytes:
     else:
         body = b"\x08\x00\x00\x00"
     body = body.ljust(row.length, b"\x00")
-    ends = ipaddress.ip_address(row.source_ip).packed + ipaddress.ip_address(row.destination_ip).packed
+    ends = _packed(row.source_ip) + _packed(row.destination_ip)
     head = struct.pack(">BBHHHBBH", 0x45, 0, 20 + len(body), 0, 0, row.ttl, row.protocol_number, 0) + ends
     return b"\x00" * 12 + b"\x08\x00" + head + body
 
